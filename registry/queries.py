@@ -57,38 +57,41 @@ def _text(spark: SparkSession, sf: str) -> DataFrame:
     return demo.survey_text(spark, sf)
 
 
-def _answered(spark: SparkSession, sf: str) -> DataFrame:
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The coded survey as a written table, for queries that read it several times."""
+    return scratch.materialise(_num(spark, sf), "survey")
+
+
+def _answered(num: DataFrame) -> DataFrame:
     """Coded rows with all targets answered."""
-    return clean.drop_missing(
-        clean.filter_applicable(clean.codes_to_null(_num(spark, sf)), T), T
-    )
+    return clean.drop_missing(clean.filter_applicable(clean.codes_to_null(num), T), T)
 
 
 def _prepared(spark: SparkSession, sf: str) -> DataFrame:
     return clean.prepare(_num(spark, sf), T)
 
 
-def _real(spark: SparkSession, sf: str) -> DataFrame:
+def _real(num: DataFrame) -> DataFrame:
     """Spelled-out rows with all targets answered."""
-    return demo.spelled_out(_num(spark, sf).join(_answered(spark, sf).select("id"), "id", "left_semi"))
+    text_rows = clean.project_columns(demo.spelled_out(num), ["id", *FEATURES, *T])
+    return clean.semi_join_ids(text_rows, _answered(num))
 
 
 def _draws(rows: int) -> int:
     return rows + rows // 2
 
 
-def _candidates(spark: SparkSession, sf: str, mode: str = "text") -> DataFrame:
-    source = _real(spark, sf) if mode == "text" else _answered(spark, sf)
-    source = source.select("id", *FEATURES, *T)
+def _candidates(num: DataFrame, mode: str = "text") -> DataFrame:
+    source = _real(num) if mode == "text" else _answered(num).select("id", *FEATURES, *T)
     return candidates.generate_candidates(
         source, T, LABELS, _draws(source.count()), mode=mode, seed=SEED
     )
 
 
-def _rule_scored(spark: SparkSession, sf: str) -> DataFrame:
+def _rule_scored(num: DataFrame) -> DataFrame:
     """Candidates with a stand-in prediction that SQL can repeat."""
     guess = F.when(h32("accept", "id", "draw_no") % 3 == 0, 1).otherwise(0)
-    return _candidates(spark, sf).withColumn("prediction", guess)
+    return _candidates(num).withColumn("prediction", guess)
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,7 +138,8 @@ def variable_dictionary(spark, sf):
 @query
 def code_map_scan(spark, sf):
     path = scratch.scratch_path(spark, "label_map")
-    built, _ = study.build_label_maps(_num(spark, sf), _text(spark, sf), CONFIG)
+    num = _stored(spark, sf)
+    built, _ = study.build_label_maps(num, demo.spelled_out(num), CONFIG)
     writers.write_code_map(built, path)
     return readers.read_code_map(spark, path)
 
@@ -143,7 +147,7 @@ def code_map_scan(spark, sf):
 @query
 def split_read(spark, sf):
     path = scratch.scratch_path(spark, "splits")
-    folded = ranks.kfold_assign(_answered(spark, sf).select("id", *T), FOLDS, ["id"], SEED)
+    folded = ranks.kfold_assign(_answered(_stored(spark, sf)).select("id", *T), FOLDS, ["id"], SEED)
     split = F.when(F.col("fold") == 0, "test").otherwise("train")
     writers.write_table(folded.withColumn("split", split), path, ["split"])
     parts = [
@@ -156,7 +160,7 @@ def split_read(spark, sf):
 @query
 def candidate_scan(spark, sf):
     path = scratch.scratch_path(spark, "candidates")
-    writers.write_run(_candidates(spark, sf, "num"), path, "f4-0")
+    writers.write_run(_candidates(_stored(spark, sf), "num"), path, "f4-0")
     return readers.read_candidates(spark, path, "f4-0").select("id", "draw_no", *T)
 
 
@@ -171,7 +175,8 @@ def sink_roundtrip(spark, sf):
 
 @query
 def code_map_json(spark, sf):
-    built, _ = study.build_label_maps(_num(spark, sf), _text(spark, sf), CONFIG)
+    num = _stored(spark, sf)
+    built, _ = study.build_label_maps(num, demo.spelled_out(num), CONFIG)
     return labels.code_map_json(built)
 
 
@@ -251,7 +256,7 @@ def is_code(spark, sf):
 
 @query
 def accepted_rows(spark, sf):
-    return covariance.accepted_rows(_rule_scored(spark, sf)).select("id", "draw_no", *T)
+    return covariance.accepted_rows(_rule_scored(_stored(spark, sf))).select("id", "draw_no", *T)
 
 
 @query
@@ -263,7 +268,7 @@ def value_remap(spark, sf):
 
 @query
 def fold_split(spark, sf):
-    folded = ranks.kfold_assign(_answered(spark, sf).select("id"), FOLDS, ["id"], SEED)
+    folded = ranks.kfold_assign(_answered(_stored(spark, sf)).select("id"), FOLDS, ["id"], SEED)
     train, test = ranks.fold_split(folded, FOLDS - 1)
     return train.withColumn("split", F.lit("train")).unionAll(
         test.withColumn("split", F.lit("test"))
@@ -272,7 +277,7 @@ def fold_split(spark, sf):
 
 @query
 def encode_targets(spark, sf):
-    encoded = covariance.encode_targets(_rule_scored(spark, sf), T, LABELS)
+    encoded = covariance.encode_targets(_rule_scored(_stored(spark, sf)), T, LABELS)
     return encoded.select("id", "draw_no", *[f"{t}_num" for t in T])
 
 
@@ -281,26 +286,29 @@ def encode_targets(spark, sf):
 
 @query
 def semi_join_ids(spark, sf):
-    return clean.semi_join_ids(_text(spark, sf), _prepared(spark, sf))
+    num = _stored(spark, sf)
+    return clean.semi_join_ids(demo.spelled_out(num), clean.prepare(num, T))
 
 
 @query
 def holdout_anti_join(spark, sf):
-    drawn = _candidates(spark, sf)
-    n = _answered(spark, sf).count() // 2
+    num = _stored(spark, sf)
+    drawn = scratch.materialise(_candidates(num), "candidates")
+    n = _answered(num).count() // 2
     return ranks.holdout(drawn, n, ["id", "draw_no"], SEED).select("id", "draw_no", *T)
 
 
 @query
 def train_complement(spark, sf):
-    folded = ranks.kfold_assign(_answered(spark, sf).select("id"), FOLDS, ["id"], SEED)
+    folded = ranks.kfold_assign(_answered(_stored(spark, sf)).select("id"), FOLDS, ["id"], SEED)
     _, test = ranks.fold_split(folded, 0)
     return ranks.train_complement(folded, test, ["id"])
 
 
 @query
 def code_label_join(spark, sf):
-    return labels.code_label_join(_num(spark, sf), _text(spark, sf), T)
+    num = _stored(spark, sf)
+    return labels.code_label_join(num, demo.spelled_out(num), T)
 
 
 @query
@@ -314,13 +322,13 @@ def code_to_label(spark, sf):
 
 
 def _fold_sizes(spark, sf) -> DataFrame:
-    folded = ranks.fold_by_source(_answered(spark, sf).select("id"), FOLDS, "id", SEED)
+    folded = ranks.fold_by_source(_answered(_num(spark, sf)).select("id"), FOLDS, "id", SEED)
     return folded.groupBy("fold").agg(F.count("*").alias("test_rows"))
 
 
 @query
 def fold_by_source(spark, sf):
-    return ranks.fold_by_source(_answered(spark, sf).select("id"), FOLDS, "id", SEED)
+    return ranks.fold_by_source(_answered(_num(spark, sf)).select("id"), FOLDS, "id", SEED)
 
 
 @query
@@ -336,7 +344,7 @@ def param_grid(spark, sf):
 
 @query
 def expand_draws(spark, sf):
-    source = _answered(spark, sf).select("id")
+    source = _answered(_stored(spark, sf)).select("id")
     quotas = ranks.assign_quota(source, _draws(source.count()), ["id"], SEED)
     return candidates.expand_draws(quotas, ["id"])
 
@@ -376,12 +384,13 @@ def null_profile(spark, sf):
 
 @query
 def split_counts(spark, sf):
-    folded = ranks.kfold_assign(_answered(spark, sf).select("id"), FOLDS, ["id"], SEED)
+    folded = ranks.kfold_assign(_answered(_stored(spark, sf)).select("id"), FOLDS, ["id"], SEED)
     return folded.groupBy("fold").agg(F.count("*").alias("rows"))
 
 
 def _label_map(spark, sf) -> DataFrame:
-    cells_ = labels.code_label_join(_num(spark, sf), _text(spark, sf), T)
+    num = _stored(spark, sf)
+    cells_ = labels.code_label_join(num, demo.spelled_out(num), T)
     return labels.label_map(cells_)
 
 
@@ -400,7 +409,8 @@ def label_map(spark, sf):
 @query
 def reverse_label_map(spark, sf):
     """With the missing codes, where several codes may share a label."""
-    cells_ = labels.code_label_join(_num(spark, sf), _text(spark, sf), T)
+    num = _stored(spark, sf)
+    cells_ = labels.code_label_join(num, demo.spelled_out(num), T)
     shared = cells_.withColumn(
         "label", F.when(F.startswith("code", F.lit(".")), "no valid answer").otherwise(F.col("label"))
     )
@@ -420,8 +430,8 @@ def covariance_continuous(spark, sf):
 
 
 def _report(spark, sf) -> tuple[DataFrame, DataFrame]:
-    scored = _rule_scored(spark, sf)
-    return covariance.covariance_report(_prepared(spark, sf), scored, T, LABELS)
+    num = _stored(spark, sf)
+    return covariance.covariance_report(clean.prepare(num, T), _rule_scored(num), T, LABELS)
 
 
 @query
@@ -493,37 +503,37 @@ def best_config(spark, sf):
 
 @query
 def assign_quota(spark, sf):
-    source = _answered(spark, sf).select("id")
+    source = _answered(_stored(spark, sf)).select("id")
     return ranks.assign_quota(source, 2 * source.count() + 7, ["id"], SEED)
 
 
 @query
 def exact_sample(spark, sf):
-    source = _answered(spark, sf).select("id", *T)
+    source = _answered(_stored(spark, sf)).select("id", *T)
     return ranks.exact_sample(source, source.count() // 3, ["id"], SEED)
 
 
 @query
 def shuffle_index(spark, sf):
-    return ranks.shuffle_index(_answered(spark, sf).select("id", *T), ["id"], SEED)
+    return ranks.shuffle_index(_answered(_stored(spark, sf)).select("id", *T), ["id"], SEED)
 
 
 @query
 def kfold_assign(spark, sf):
-    return ranks.kfold_assign(_answered(spark, sf).select("id"), FOLDS, ["id"], SEED)
+    return ranks.kfold_assign(_answered(_stored(spark, sf)).select("id"), FOLDS, ["id"], SEED)
 
 
 @query
 def draw_alternative(spark, sf):
     """One draw per respondent, on codes."""
     return candidates.redraw_targets(
-        _answered(spark, sf).select("id", *T), T, LABELS, ["id"], "num", SEED
+        _answered(_num(spark, sf)).select("id", *T), T, LABELS, ["id"], "num", SEED
     )
 
 
 @query
 def generate_candidates(spark, sf):
-    return _candidates(spark, sf)
+    return _candidates(_stored(spark, sf))
 
 
 # -- sort, set operations ---------------------------------------------------------------
@@ -536,10 +546,10 @@ def top_k_features(spark, sf):
 
 @query
 def labelled_union(spark, sf):
-    drawn = _candidates(spark, sf)
-    n = _answered(spark, sf).count() // 2
-    sampled = ranks.exact_sample(drawn, n, ["id", "draw_no"], SEED)
-    real = _real(spark, sf).select("id", *FEATURES, *T)
+    num = _stored(spark, sf)
+    drawn = scratch.materialise(_candidates(num), "candidates")
+    real = _real(num)
+    sampled = ranks.exact_sample(drawn, real.count() // 2, ["id", "draw_no"], SEED)
     return study.labelled_union(real, sampled)
 
 
@@ -674,7 +684,7 @@ PARAMS = PlausibilityParams(num_epochs=2)
 
 def _vectors(spark, sf, folds: int = FOLDS) -> tuple[DataFrame, DataFrame]:
     """(labelled rows with fold and vector, held-back candidates with vector)."""
-    real = scratch.materialise(_real(spark, sf).select("id", *FEATURES, *T), "real")
+    real = scratch.materialise(_real(_num(spark, sf)), "real")
     n = real.count()
     drawn = scratch.materialise(
         candidates.generate_candidates(real, T, LABELS, _draws(n), seed=SEED), "candidates"
@@ -764,24 +774,23 @@ def select_features(spark, sf):
     return _rounded(study.select_features(_prepared(spark, sf), CONFIG, 3), ["mi_sum"])
 
 
-@query
-def training_set(spark, sf):
-    prepared = _prepared(spark, sf)
+def _training_set(spark, sf) -> study.TrainingSet:
+    num = _stored(spark, sf)
+    prepared = scratch.materialise(clean.prepare(num, T), "clean")
     rows = prepared.count()
-    built = study.training_set(
-        prepared, _text(spark, sf), CONFIG, demo.DICTIONARY, 4, _draws(rows), rows // 2
+    return study.training_set(
+        prepared, demo.spelled_out(num), CONFIG, demo.DICTIONARY, len(FEATURES), _draws(rows), rows // 2
     )
-    return built.training.select("id", "labels", "text")
+
+
+@query
+def training_set(spark, sf):
+    return _training_set(spark, sf).training.select("id", "labels", "text")
 
 
 @query
 def remaining_candidates(spark, sf):
-    prepared = _prepared(spark, sf)
-    rows = prepared.count()
-    built = study.training_set(
-        prepared, _text(spark, sf), CONFIG, demo.DICTIONARY, 4, _draws(rows), rows // 2
-    )
-    return built.remaining.select("id", "text", *T)
+    return _training_set(spark, sf).remaining.select("id", "text", *T)
 
 
 @query
@@ -793,7 +802,8 @@ def covariance_report(spark, sf):
 
 @query
 def label_maps(spark, sf):
-    forward, reverse = study.build_label_maps(_num(spark, sf), _text(spark, sf), CONFIG)
+    num = _stored(spark, sf)
+    forward, reverse = study.build_label_maps(num, demo.spelled_out(num), CONFIG)
     return (
         forward.select("feature", F.col("code").alias("key"), F.col("label").alias("value"))
         .withColumn("map", F.lit("label_map"))

@@ -35,18 +35,23 @@ def draw_groups(sizes: dict[str, int]) -> list[list[str]]:
     return groups
 
 
-def draw_choices(sizes: dict[str, int], keys: list[str], seed: str) -> dict[str, Column]:
-    """Per target a uniform whole number in [0, size - 1), independent across targets."""
-    choices = {}
+def draw_choices(
+    sizes: dict[str, int], keys: list[str], seed: str
+) -> tuple[dict[str, Column], dict[str, Column]]:
+    """(hash columns, choices): per target a uniform whole number in [0, size - 1).
+
+    The choices of a group are the digits of its hash column in mixed radix.
+    """
+    hashes, choices = {}, {}
     for number, group in enumerate(draw_groups(sizes)):
-        rest = h60(f"{seed}:draw{number}", *keys)
-        divisor = 1
+        name, divisor = f"_hash{number}", 1
+        hashes[name] = h60(f"{seed}:draw{number}", *keys)
         for target in group:
             alternatives = sizes[target] - 1
-            quotient = rest if divisor == 1 else int_div(rest, F.lit(divisor))
-            choices[target] = quotient % alternatives
+            rest = F.col(name) if divisor == 1 else int_div(F.col(name), F.lit(divisor))
+            choices[target] = rest % alternatives
             divisor *= alternatives
-    return choices
+    return hashes, choices
 
 
 def draw_alternative(current: Column, values: list, own: list, choice: Column) -> Column:
@@ -77,7 +82,7 @@ def redraw_targets(
         raise ValueError(f"unknown mode {mode!r}")
     reverse = reverse_of(labels)
     codes = {t: sorted(labels[t], key=int) for t in targets}
-    choices = draw_choices({t: len(codes[t]) for t in targets}, keys, seed)
+    hashes, choices = draw_choices({t: len(codes[t]) for t in targets}, keys, seed)
     types = dict(df.dtypes)
     replaced = {}
     for t in targets:
@@ -89,8 +94,9 @@ def redraw_targets(
             own = [labels[t][c] if reverse[t][labels[t][c]] == c else None for c in codes[t]]
             drawn = draw_alternative(F.col(t), text, own, choices[t])
         replaced[t] = drawn
-    # one select: all draws read the original cells
-    return df.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in df.columns])
+    # hashes first, so that each is computed once; then one select, so that all
+    # draws read the original cells
+    return df.withColumns(hashes).select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in df.columns])
 
 
 def expand_draws(

@@ -119,10 +119,11 @@ def rank_band(
     digits: int = RANK_DIGITS,
 ) -> DataFrame:
     """Add the number of ``positions`` that are <= the row's hash rank."""
+    cuts = rank_cuts(df, keys, salt, positions, digits)
     return (
-        df.withColumn("_cuts", rank_cuts(df, keys, salt, positions, digits))
-        .withColumn(name, _band(digest(salt, *keys), F.col("_cuts"), n_positions))
-        .drop("_cuts")
+        df.withColumns({"_cuts": cuts, "_order": digest(salt, *keys)})
+        .withColumn(name, _band(F.col("_order"), F.col("_cuts"), n_positions))
+        .drop("_cuts", "_order")
     )
 
 

@@ -14,6 +14,7 @@ from surveyloom.operators.candidates import generate_candidates
 from surveyloom.operators.clean import candidate_features, project_columns, semi_join_ids
 from surveyloom.operators.labels import code_label_join, label_map, reverse_label_map
 from surveyloom.operators.tokens import with_text
+from surveyloom.sources.scratch import materialise
 
 CANDIDATE_KEY = "draw_no"
 REAL = -1
@@ -102,8 +103,11 @@ def training_set(
     """All steps from the cleaned and the spelled-out table."""
     features = information.feature_names(select_features(clean, config, k))
     real = text_dataset(text, clean, config, features)
-    candidates = generate_candidates(
-        real, config.targets, config.labels, num, config.id_col, "text", config.seed, spread
+    candidates = materialise(
+        generate_candidates(
+            real, config.targets, config.labels, num, config.id_col, "text", config.seed, spread
+        ),
+        "candidates",
     )
     return build_training_set(real, candidates, config, dictionary, features, train_candidates)
 

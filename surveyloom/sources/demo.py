@@ -6,12 +6,12 @@ with spelled-out answers, a variable dictionary, and the matching settings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.config import SurveyConfig
-from surveyloom.functions.hashing import h32
 from surveyloom.operators.labels import LabelMap
+from surveyloom.sources.scratch import deal_out
 
 VARIABLES = [
     "prio", "status", "seg", "region", "pricebin", "nation", "yr", "mon", "balbin", "pricegrp",
@@ -49,54 +49,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _with_gaps(name: str, value: Column) -> Column:
+# variable -> its code, over the joined order tables
+CODES = {
+    "prio": "substr(o_orderpriority, 1, 1)",
+    "status": "case o_orderstatus when 'F' then '1' when 'O' then '2' else '3' end",
+    "seg": "case c_mktsegment when 'AUTOMOBILE' then '1' when 'BUILDING' then '2' "
+    "when 'FURNITURE' then '3' when 'HOUSEHOLD' then '4' else '5' end",
+    "region": "r_regionkey + 1",
+    "pricebin": "least(26, cast(floor(o_totalprice / 20000) as int) + 1)",
+    "nation": "c_nationkey",
+    "yr": "year(o_orderdate)",
+    "mon": "month(o_orderdate)",
+    "balbin": "cast(floor(c_acctbal / 1000) as int)",
+    "pricegrp": "cast(floor(o_totalprice / 100000) as int)",
+}
+
+
+def _with_gaps(name: str) -> str:
     """One fortieth of the cells each becomes one of the missing codes."""
-    gap = F.get(F.array(*[F.lit(m) for m in MISSING]), (h32(f"miss:{name}", "id") % 40).cast("int"))
-    return F.coalesce(gap, value.cast("string")).alias(name)
+    gaps = ", ".join(f"'{m}'" for m in MISSING)
+    draw = f"conv(substr(md5(concat('miss:{name}:', o_orderkey)), 1, 8), 16, 10)"
+    return (
+        f"coalesce(get(array({gaps}), cast(cast({draw} as bigint) % 40 as int)), "
+        f"cast({CODES[name]} as string)) as {name}"
+    )
 
 
 def survey_num(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = (
-        table(spark, sf_dir, "orders")
-        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .withColumn("id", F.col("o_orderkey"))
+    orders = deal_out(
+        table(spark, sf_dir, "orders").select(
+            "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+            "o_orderpriority",
+        ),
+        "o_orderkey",
     )
-    segment = F.col("c_mktsegment")
-    values = {
-        "prio": F.substring("o_orderpriority", 1, 1),
-        "status": F.when(F.col("o_orderstatus") == "F", "1")
-        .when(F.col("o_orderstatus") == "O", "2")
-        .otherwise("3"),
-        "seg": F.when(segment == "AUTOMOBILE", "1")
-        .when(segment == "BUILDING", "2")
-        .when(segment == "FURNITURE", "3")
-        .when(segment == "HOUSEHOLD", "4")
-        .otherwise("5"),
-        "region": F.col("r_regionkey") + 1,
-        "pricebin": F.least(F.lit(26), F.floor(F.col("o_totalprice") / 20000).cast("int") + 1),
-        "nation": F.col("c_nationkey"),
-        "yr": F.year("o_orderdate"),
-        "mon": F.month("o_orderdate"),
-        "balbin": F.floor(F.col("c_acctbal") / 1000).cast("int"),
-        "pricegrp": F.floor(F.col("o_totalprice") / 100000).cast("int"),
-    }
-    return joined.select(
-        "id",
-        (F.col("o_custkey") % 3 + 1).cast("string").alias("wt"),
-        *[_with_gaps(name, value) for name, value in values.items()],
+    return (
+        orders.join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+        .join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+        .selectExpr(
+            "o_orderkey as id",
+            "cast(o_custkey % 3 + 1 as string) as wt",
+            *[_with_gaps(name) for name in VARIABLES],
+        )
     )
 
 
 def spelled_out(num: DataFrame) -> DataFrame:
     """The text table: codes and missing codes replaced by their labels."""
-    def text(name: str) -> Column:
+    def text(name: str) -> str:
         entries = {**MISSING_TEXT, **LABELS.get(name, {})}
-        known = F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
-        return F.coalesce(F.try_element_at(known, F.col(name)), F.col(name)).alias(name)
+        cases = " ".join(f'when "{code}" then "{label}"' for code, label in entries.items())
+        return f"case {name} {cases} else {name} end as {name}"
 
-    return num.select(*[text(c) if c in VARIABLES else F.col(c) for c in num.columns])
+    return num.selectExpr(*[text(c) if c in VARIABLES else c for c in num.columns])
 
 
 def survey_text(spark: SparkSession, sf_dir: str) -> DataFrame:

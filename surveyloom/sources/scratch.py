@@ -39,3 +39,16 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deal_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a scan with too few partitions out over all cores.
+
+    A file with a single row group is one task, however many cores wait. A scan
+    that already feeds the cores, as any large table does, is left as it is and
+    never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores, *keys)
