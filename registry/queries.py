@@ -68,7 +68,7 @@ def _answered(num: DataFrame) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.prepare(_num(spark, sf), T)
+    return clean.prepare(_stored(spark, sf), T)
 
 
 def _real(num: DataFrame) -> DataFrame:
@@ -322,13 +322,13 @@ def code_to_label(spark, sf):
 
 
 def _fold_sizes(spark, sf) -> DataFrame:
-    folded = ranks.fold_by_source(_answered(_num(spark, sf)).select("id"), FOLDS, "id", SEED)
+    folded = ranks.fold_by_source(_answered(_stored(spark, sf)).select("id"), FOLDS, "id", SEED)
     return folded.groupBy("fold").agg(F.count("*").alias("test_rows"))
 
 
 @query
 def fold_by_source(spark, sf):
-    return ranks.fold_by_source(_answered(_num(spark, sf)).select("id"), FOLDS, "id", SEED)
+    return ranks.fold_by_source(_answered(_stored(spark, sf)).select("id"), FOLDS, "id", SEED)
 
 
 @query
@@ -527,7 +527,7 @@ def kfold_assign(spark, sf):
 def draw_alternative(spark, sf):
     """One draw per respondent, on codes."""
     return candidates.redraw_targets(
-        _answered(_num(spark, sf)).select("id", *T), T, LABELS, ["id"], "num", SEED
+        _answered(_stored(spark, sf)).select("id", *T), T, LABELS, ["id"], "num", SEED
     )
 
 
@@ -766,7 +766,7 @@ def metrics_by_task(spark, sf):
 
 @query
 def prepare_numeric(spark, sf):
-    return clean.prepare(_num(spark, sf), T)
+    return _prepared(spark, sf)
 
 
 @query

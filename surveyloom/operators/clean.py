@@ -75,14 +75,14 @@ def prepare(
 ) -> DataFrame:
     """Rows with all targets answered, every cell a number, gaps as the sentinel.
 
-    The row filter is stated on the raw cells (null and code comparisons only),
-    so it reaches the scan; cells that parse as no number end as the sentinel
-    and are counted by ``unparseable_counts``.
+    The row filter is stated on the raw cells, so it reaches the scan; being in no
+    list is unknown for null, which drops the row as well. Cells that parse as no
+    number end as the sentinel and are counted by ``unparseable_counts``.
     """
     gaps = [fv.INAPPLICABLE_CODE, *fv.MISSING_CODES]
     kept = df
     for target in checked_columns(df, targets):
-        kept = kept.where(F.col(target).isNotNull() & ~F.col(target).isin(gaps))
+        kept = kept.where(~F.col(target).isin(gaps))
 
     def number(cell: Column) -> Column:
         return F.coalesce(to_number(cell), F.lit(float(fv.SENTINEL)))

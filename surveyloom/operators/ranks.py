@@ -4,8 +4,7 @@ The order of rows is the order of ``digest(salt, keys)``. Two tools use it:
 
 * ``hash_rank`` numbers every row. Rows are spread over 16**digits buckets by
   the head of their digest and numbered inside the bucket; bucket offsets come
-  from a table of at most 16**digits counts, which is therefore safe to
-  broadcast.
+  from a table of at most 65,536 counts, which is therefore safe to broadcast.
 * ``rank_band`` only tells on which side of given ranks a row lies. It looks up
   the digests that sit at those ranks from the (column-pruned) keys and compares
   against them, so the wide rows are never shuffled or sorted. Samples, quotas
@@ -23,14 +22,26 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions.hashing import digest, h32, int_div
 
-RANK_DIGITS = 3
+MIN_DIGITS, MAX_DIGITS = 2, 4
+BUCKETS_PER_PARTITION = 8
+
+
+def rank_digits(df: DataFrame) -> int:
+    """Digest digits that name a bucket: several buckets per shuffle partition.
+
+    At least 256 and at most 65,536 buckets; ranks do not depend on the choice.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digits = MIN_DIGITS
+    while digits < MAX_DIGITS and 16**digits < BUCKETS_PER_PARTITION * partitions:
+        digits += 1
+    return digits
 
 
 def _running_counts(digests: DataFrame) -> DataFrame:
     """Per bucket: rows in it, rows before it, rows in total.
 
-    The unpartitioned windows run over the bucket table only, at most
-    16**digits rows.
+    The unpartitioned windows run over the bucket table only, at most 65,536 rows.
     """
     counts = digests.groupBy("_bucket").agg(F.count("*").alias("_in_bucket"))
     running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -46,9 +57,10 @@ def _running_counts(digests: DataFrame) -> DataFrame:
 
 
 def hash_rank(
-    df: DataFrame, keys: list[str], salt: str, name: str = "rank", digits: int = RANK_DIGITS
+    df: DataFrame, keys: list[str], salt: str, name: str = "rank", digits: int | None = None
 ) -> DataFrame:
     """Add the row's place 0..n-1 in the hash order, without a global sort."""
+    digits = digits or rank_digits(df)
     marked = df.withColumn("_digest", digest(salt, *keys)).withColumn(
         "_bucket", F.substring("_digest", 1, digits)
     )
@@ -67,13 +79,14 @@ def rank_cuts(
     keys: list[str],
     salt: str,
     positions: Callable[[Column], list[Column]],
-    digits: int = RANK_DIGITS,
+    digits: int | None = None,
 ) -> Column:
     """Scalar subquery struct(rows, cuts): the digest at each position, if any.
 
     ``positions`` maps the row count to the wanted ranks, so the count needs no
     job of its own.
     """
+    digits = digits or rank_digits(df)
     marked = df.select(digest(salt, *keys).alias("_digest")).withColumn(
         "_bucket", F.substring("_digest", 1, digits)
     )
@@ -116,7 +129,7 @@ def rank_band(
     positions: Callable[[Column], list[Column]],
     n_positions: int,
     name: str = "band",
-    digits: int = RANK_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Add the number of ``positions`` that are <= the row's hash rank."""
     cuts = rank_cuts(df, keys, salt, positions, digits)
@@ -129,7 +142,7 @@ def rank_band(
 
 def assign_quota(
     df: DataFrame, num: int, keys: list[str], seed: str, name: str = "quota",
-    digits: int = RANK_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Spread ``num`` draws evenly: num div rows each, num mod rows get one more."""
     salt = f"{seed}:quota"
@@ -145,7 +158,7 @@ def assign_quota(
 
 def mark_sample(
     df: DataFrame, n: int, keys: list[str], seed: str, name: str = "sampled",
-    digits: int = RANK_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Flag exactly ``n`` rows (all, if there are fewer) without replacement."""
     banded = rank_band(
@@ -170,7 +183,7 @@ def shuffle_index(df: DataFrame, keys: list[str], seed: str, name: str = "index"
 
 def kfold_assign(
     df: DataFrame, folds: int, keys: list[str], seed: str, name: str = "fold",
-    digits: int = RANK_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Blocks of n div k shuffled rows, the last fold takes the rest."""
 

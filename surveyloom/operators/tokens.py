@@ -101,20 +101,23 @@ def length_histogram(df: DataFrame, length: Column, bins: int = fv.LENGTH_BINS)
     Every bin is listed, empty ones too. A single distinct length gets a range of
     one around it.
     """
-    lengths = df.select(length.cast("double").alias("_length")).where(F.col("_length").isNotNull())
-    low, high = F.min("_length"), F.max("_length")
-    half = F.when(low == high, F.lit(0.5)).otherwise(F.lit(0.0))
-    bounds = lengths.agg(F.struct((low - half).alias("low"), (high + half).alias("high"))).scalar()
-    placed = lengths.withColumn("_range", bounds).select(
-        F.col("_range.low").alias("_low"),
-        F.col("_range.high").alias("_high"),
-        "_length",
+    # one row per distinct length: the texts behind them are read once
+    lengths = (
+        df.select(length.cast("double").alias("_length"))
+        .where(F.col("_length").isNotNull())
+        .groupBy("_length")
+        .agg(F.count("*").alias("_rows"))
+    )
+    low, high = F.min("_length").over(Window.partitionBy()), F.max("_length").over(Window.partitionBy())
+    half = F.when(F.col("_min") == F.col("_max"), F.lit(0.5)).otherwise(F.lit(0.0))
+    placed = lengths.select("*", low.alias("_min"), high.alias("_max")).select(
+        "_length", "_rows", (F.col("_min") - half).alias("_low"), (F.col("_max") + half).alias("_high")
     )
     number = F.floor(
         (F.col("_length") - F.col("_low")) * F.lit(bins) / (F.col("_high") - F.col("_low"))
     )
     counts = placed.groupBy(F.least(number, F.lit(bins - 1)).cast("int").alias("bin")).agg(
-        F.count("*").alias("n"), F.first("_low").alias("_low"), F.first("_high").alias("_high")
+        F.sum("_rows").alias("n"), F.first("_low").alias("_low"), F.first("_high").alias("_high")
     )
     # at most `bins` rows from here on
     filled = counts.agg(

@@ -94,17 +94,11 @@ def run_experiment(
             real, candidates, config, labels_of_names, features, sizes.train_candidates
         )
         write_run(built.remaining, f"{out_dir}/remain_dataset", f"f{k}")
+        # one hashing pass serves every grid point and fold; training reads only
+        # the vector and label columns of the stored table
         folded = assign_folds(built.training, sizes.folds, config, sizes.fold_by)
-        training = materialise(folded, "training")
-        write_run(training.drop("fold"), f"{out_dir}/text_dataset", f"f{k}")
-
-        # one hashing pass serves every grid point and fold
-        vectors = materialise(
-            with_vectors(training.drop("text"), features, targets, sizes.base).select(
-                id_col, "draw_no", "labels", "fold", "features"
-            ),
-            "vectors",
-        )
+        vectors = materialise(with_vectors(folded, features, targets, sizes.base), "vectors")
+        write_run(vectors.drop("fold", "features"), f"{out_dir}/text_dataset", f"f{k}")
         remaining_vectors = with_vectors(
             built.remaining, features, targets, sizes.base
         )
@@ -117,15 +111,15 @@ def run_experiment(
         for grid_no, params in enumerate(grid):
             for fold in folds:
                 _run_point(
-                    spark, out_dir, config, k, grid_no, params, fold, vectors, training,
+                    spark, out_dir, config, k, grid_no, params, fold, vectors,
                     remaining_vectors, numbers, write_scored=fold == folds[0],
                 )
     return spark.read.schema(LEDGER_SCHEMA).parquet(f"{out_dir}/ledger")
 
 
 def _run_point(
-    spark, out_dir, config, k, grid_no, params, fold, vectors, training, remaining_vectors,
-    numbers, write_scored,
+    spark, out_dir, config, k, grid_no, params, fold, vectors, remaining_vectors, numbers,
+    write_scored,
 ) -> None:
     """Train one model, evaluate its fold, score the held-back rows, note the result."""
     run_id = run_name(k, grid_no)
@@ -143,9 +137,7 @@ def _run_point(
     accepted = F.lit(None).cast("bigint")
     norm = F.lit(None).cast("double")
     if write_scored:
-        keys = [config.id_col, "draw_no"]
-        texts = training.where(F.col("fold") == fold).select(*keys, "text")
-        write_run(texts.join(scored, keys), f"{out_dir}/scored_test", run_id)
+        write_run(scored, f"{out_dir}/scored_test", run_id)
         write_run(score(model, remaining_vectors), f"{out_dir}/scored_candidates", run_id)
         table = spark.read.parquet(f"{out_dir}/scored_candidates").where(F.col("run_id") == run_id)
         diff, frobenius = covariance_report(numbers, table, config.targets, config.labels)
