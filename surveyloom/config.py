@@ -64,4 +64,5 @@ class ExperimentConfig:
     folds: int = fv.DEFAULT_FOLDS
     run_folds: list[int] | None = None
     fold_by: str = "id"
+    search_epochs: tuple[int, int] = fv.SEARCH_EPOCH_RANGE
     base: PlausibilityParams = field(default_factory=PlausibilityParams)

@@ -15,12 +15,13 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyloom import fixed_values as fv
 from surveyloom.config import PlausibilityParams
 from surveyloom.functions.arrays import argmax
-from surveyloom.operators.grid import grid_rows
+from surveyloom.operators.grid import grid_rows, param_draws
 from surveyloom.operators.metrics import binary_metrics
 from surveyloom.operators.ranks import fold_split
 
@@ -122,6 +123,19 @@ def grid_of(base: PlausibilityParams, epochs: list[int], rates: list[float]) ->
     return [base.with_values(**p) for p in grid_rows({}, num_epochs=epochs, learning_rate=rates)]
 
 
+def drawn_trials(
+    spark: SparkSession, base: PlausibilityParams, trials: int, seed: str,
+    epoch_range: tuple[int, int] = fv.SEARCH_EPOCH_RANGE,
+) -> list[PlausibilityParams]:
+    """Settings drawn from the search space; one row per trial comes to the driver."""
+    one_search = spark.range(1).withColumnRenamed("id", "search")
+    table = param_draws(one_search, trials, seed, ["search"], ranges={"num_train_epochs": epoch_range})
+    return [
+        base.with_values(num_epochs=row["num_train_epochs"], learning_rate=row["learning_rate"])
+        for row in table.orderBy("trial").collect()
+    ]
+
+
 def search_best(
     vectors: DataFrame,
     trials: list[PlausibilityParams],

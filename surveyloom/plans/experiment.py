@@ -13,6 +13,7 @@ from surveyloom.operators.covariance import covariance_report
 from surveyloom.operators.labels import dictionary_of, domain_violations
 from surveyloom.operators.metrics import binary_metrics
 from surveyloom.operators.plausibility import (
+    drawn_trials,
     grid_of,
     score,
     search_best,
@@ -60,13 +61,14 @@ def run_experiment(
     out_dir: str,
     config: SurveyConfig | None = None,
     sizes: ExperimentConfig | None = None,
-    parameter_search: bool = False,
+    search_trials: int = 0,
 ) -> DataFrame:
     """Prepare, generate, train, evaluate, score and compare; returns the ledger.
 
     What does not depend on the grid point is done once: cleaning, the feature
     ranking, the candidates' quota. Each table that is read several times is
-    written to the shared folder first.
+    written to the shared folder first. With ``search_trials`` the grid is replaced
+    by the best of that many drawn settings.
     """
     config, sizes = config or SurveyConfig(), sizes or ExperimentConfig()
     targets, id_col = config.targets, config.id_col
@@ -104,9 +106,10 @@ def run_experiment(
         )
         folds = list(range(sizes.folds)) if sizes.run_folds is None else sizes.run_folds
         grid = grid_of(sizes.base, sizes.epochs, sizes.learning_rates)
-        if parameter_search:
-            best, trials = search_best(vectors, grid, folds)
-            append_rows(trials, f"{out_dir}/search")
+        if search_trials:
+            drawn = drawn_trials(spark, sizes.base, search_trials, config.seed, sizes.search_epochs)
+            best, trials = search_best(vectors, drawn, folds)
+            write_run(trials, f"{out_dir}/search", f"f{k}")
             grid = [best]
         for grid_no, params in enumerate(grid):
             for fold in folds:

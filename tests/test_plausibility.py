@@ -84,6 +84,29 @@ def test_search(parts):
     assert best.learning_rate == 1e-3 and table.count() == 4
 
 
+def test_drawn_settings(spark):
+    drawn = plausibility.drawn_trials(spark, PARAMS, 30, "s")
+    assert len(drawn) == 30 and drawn == plausibility.drawn_trials(spark, PARAMS, 30, "s")
+    assert all(15 <= p.num_epochs <= 25 for p in drawn)
+    assert {p.learning_rate for p in drawn} <= {5e-5, 1e-4, 2e-4, 3e-4, 5e-4, 1e-3}
+    assert len(set(drawn)) > 10
+
+
+def test_experiment_with_search(spark, sf, tmp_path):
+    num = scratch.materialise(demo.survey_num(spark, sf), "num")
+    names = spark.createDataFrame(list(demo.DICTIONARY.items()), "name string, simplab string")
+    sizes = ExperimentConfig(
+        feature_counts=[2], candidates=900, train_candidates=400, folds=2, run_folds=[1], search_epochs=(1, 2)
+    )
+    out = str(tmp_path / "out")
+    rows = run_experiment(
+        spark, num, demo.spelled_out(num), names, out, demo.CONFIG, sizes, search_trials=2
+    ).collect()
+    trials = spark.read.parquet(f"{out}/search").orderBy("accuracy").collect()
+    assert len(rows) == 1 and len(trials) == 2
+    assert rows[0].accuracy == pytest.approx(trials[-1].accuracy)
+
+
 def test_own_scorer(spark):
     df = spark.range(10)
     scored = plausibility.score_with(df, lambda batch: batch["id"] * 0.5)
