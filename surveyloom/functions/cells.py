@@ -10,12 +10,13 @@ from surveyloom import fixed_values as fv
 
 def code_to_null(cell: Column) -> Column:
     """The twelve missing codes become null; the inapplicable code stays."""
-    return F.when(~cell.isin(fv.MISSING_CODES), cell)
+    return F.when(~cell.cast("string").isin(fv.MISSING_CODES), cell)
 
 
 def sentinel_filled(cell: Column) -> Column:
     """Inapplicable or absent becomes the sentinel category, as text."""
-    return F.coalesce(F.nullif(cell, F.lit(fv.INAPPLICABLE_CODE)), F.lit(str(fv.SENTINEL)))
+    answer = F.nullif(cell.cast("string"), F.lit(fv.INAPPLICABLE_CODE))
+    return F.coalesce(answer, F.lit(str(fv.SENTINEL)))
 
 
 def to_number(cell: Column) -> Column:
@@ -29,7 +30,6 @@ def is_code(cell: Column) -> Column:
 
 def remap(value: Column, mapping: dict) -> Column:
     """Replace listed values; anything else passes through."""
-    result = value
     groups: dict = {}
     for old, new in mapping.items():
         groups.setdefault(new, []).append(old)
@@ -37,4 +37,4 @@ def remap(value: Column, mapping: dict) -> Column:
     for new, olds in groups.items():
         hit = value.isin(olds)
         branches = F.when(hit, F.lit(new)) if branches is None else branches.when(hit, F.lit(new))
-    return result if branches is None else branches.otherwise(value)
+    return value if branches is None else branches.otherwise(value)

@@ -40,7 +40,7 @@ def compile_prompt(
     for name in columns:
         if name in skip or name not in dictionary:
             continue
-        inapplicable = F.col(name).eqNullSafe(F.lit(fv.INAPPLICABLE_LABEL))
+        inapplicable = F.col(name).cast("string").eqNullSafe(F.lit(fv.INAPPLICABLE_LABEL))
         parts.append(
             F.when(inapplicable, F.lit("")).otherwise(_phrase(dictionary[name], name, skip_absent))
         )

@@ -38,7 +38,7 @@ def candidate_features(df: DataFrame, targets: list[str], excluded: list[str]) -
 def filter_applicable(df: DataFrame, targets: list[str]) -> DataFrame:
     """Keep rows where no target has the inapplicable code (null passes)."""
     for target in checked_columns(df, targets):
-        df = df.where(~F.col(target).eqNullSafe(F.lit(fv.INAPPLICABLE_CODE)))
+        df = df.where(~F.col(target).cast("string").eqNullSafe(F.lit(fv.INAPPLICABLE_CODE)))
     return df
 
 
@@ -82,7 +82,7 @@ def prepare(
     gaps = [fv.INAPPLICABLE_CODE, *fv.MISSING_CODES]
     kept = df
     for target in checked_columns(df, targets):
-        kept = kept.where(~F.col(target).isin(gaps))
+        kept = kept.where(~F.col(target).cast("string").isin(gaps))
 
     def number(cell: Column) -> Column:
         return F.coalesce(to_number(cell), F.lit(float(fv.SENTINEL)))

@@ -26,26 +26,45 @@ from surveyloom.operators.metrics import binary_metrics
 from surveyloom.operators.ranks import fold_split
 
 
-def interaction_tokens(features: list[str], targets: list[str], crosses: bool = True) -> Column:
-    """List of ``column=value`` tokens and, if wanted, of their crosses."""
+def value_tokens(columns: list[str]) -> Column:
+    """One ``column=value`` token per column."""
+    return F.array(
+        *[
+            F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("nan")))
+            for c in columns
+        ]
+    )
+
 
-    def token(name: str) -> Column:
-        value = F.coalesce(F.col(name).cast("string"), F.lit("nan"))
-        return F.concat(F.lit(f"{name}="), value)
+def crossed_tokens(tokens: Column, n_features: int, n_targets: int) -> Column:
+    """The tokens and their feature x target and target x target pairs.
 
-    tokens = [token(c) for c in [*features, *targets]]
-    if crosses:
-        pairs = [(f, t) for f in features for t in targets]
-        pairs += [(s, t) for i, s in enumerate(targets) for t in targets[i + 1 :]]
-        tokens += [F.concat(token(a), F.lit("&"), token(b)) for a, b in pairs]
-    return F.array(*tokens)
+    ``tokens`` lists the features first. Pairs are formed from the list itself, so
+    a value is turned into text once however many pairs it is part of, and the
+    expression has the same size for any number of columns.
+    """
+    of_features = F.slice(tokens, 1, n_features)
+    of_targets = F.slice(tokens, n_features + 1, n_targets)
+
+    def with_each(token: Column, others: Column) -> Column:
+        return F.transform(others, lambda other: F.concat(token, F.lit("&"), other))
+
+    mixed = F.flatten(F.transform(of_features, lambda f: with_each(f, of_targets)))
+    among_targets = F.flatten(
+        F.transform(of_targets, lambda t, i: with_each(t, F.slice(of_targets, i + 2, n_targets)))
+    )
+    return F.concat(tokens, mixed, among_targets)
 
 
 def with_vectors(
     df: DataFrame, features: list[str], targets: list[str], params: PlausibilityParams
 ) -> DataFrame:
     """Add the hashed ``features`` vector; done once, then shared by all models."""
-    tokens = df.withColumn("_tokens", interaction_tokens(features, targets, params.crosses))
+    tokens = df.withColumn("_tokens", value_tokens([*features, *targets]))
+    if params.crosses:
+        tokens = tokens.withColumn(
+            "_tokens", crossed_tokens(F.col("_tokens"), len(features), len(targets))
+        )
     return _hasher(params).transform(tokens).drop("_tokens")
 
 

@@ -84,3 +84,10 @@ def test_filters_and_columns_reach_a_stored_table(spark, sf, tmp_path):
     assert "PushedFilters: [IsNotNull" in plan or "PushedFilters: [Not(In" in plan
     assert "balbin" not in plan.split("ReadSchema")[1]
     assert "Exchange" not in plan
+
+
+def test_columns_that_hold_numbers_already(spark):
+    df = spark.createDataFrame([(1, 3, 2.5), (2, None, 1.0), (3, 4, None)], "id bigint, goal int, item double")
+    for make in (clean.prepare, clean.prepare_numeric):
+        got = sorted(tuple(r) for r in make(df, ["goal"]).collect())
+        assert got == [(1, 3.0, 2.5), (3, 4.0, -9.0)]

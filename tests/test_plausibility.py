@@ -42,6 +42,18 @@ def test_training_set_is_complete(parts):
     assert rows.groupBy(*keys).count().where("count > 1").isEmpty()
 
 
+def test_tokens(spark):
+    df = spark.createDataFrame([("1", None, 2.0, "x")], "a string, b string, s double, t string")
+    tokens = plausibility.value_tokens(["a", "b", "s", "t"])
+    row = df.select(plausibility.crossed_tokens(tokens, 2, 2).alias("x")).collect()[0].x
+    assert row == [
+        "a=1", "b=nan", "s=2.0", "t=x", "a=1&s=2.0", "a=1&t=x", "b=nan&s=2.0", "b=nan&t=x", "s=2.0&t=x",
+    ]
+    assert df.select(plausibility.crossed_tokens(tokens, 3, 1).alias("x")).collect()[0].x[4:] == [
+        "a=1&t=x", "b=nan&t=x", "s=2.0&t=x",
+    ]
+
+
 def test_crosses_learn_what_main_effects_cannot(parts):
     rows = parts[3]
     accuracy = {}

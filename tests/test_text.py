@@ -25,6 +25,12 @@ def test_sentences(spark):
     assert one(df, skipping) == "P: second is 3. "
 
 
+def test_numeric_cells_in_a_sentence(spark):
+    df = spark.createDataFrame([(4, 2.5)], "a int, b double")
+    sentence = text.compile_prompt(["a", "b"], {"a": "x", "b": "y"}, [], "")
+    assert one(df, sentence) == "x is 4. y is 2.5. "
+
+
 def test_only_described_columns(spark):
     df = spark.createDataFrame([("1", "2")], "a string, b string")
     assert one(df, text.compile_prompt(["a", "b"], {}, [], "P")) == "P"
