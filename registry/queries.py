@@ -820,7 +820,7 @@ def experiment(spark, sf):
     rows = num.count()
     names = spark.createDataFrame(list(demo.DICTIONARY.items()), "name string, simplab string")
     sizes = ExperimentConfig(
-        feature_counts=[2, 4], epochs=[1, 2], candidates=rows, train_candidates=rows // 2,
+        feature_counts=[2, 4], epochs=[1], candidates=rows, train_candidates=rows // 2,
         folds=3, run_folds=[0], base=PARAMS,
     )
     return run_experiment(

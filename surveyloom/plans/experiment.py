@@ -27,6 +27,7 @@ from surveyloom.plans.training_set import (
     rank_features,
     text_dataset,
 )
+from surveyloom.sources.readers import read_candidates, read_run
 from surveyloom.sources.scratch import materialise
 from surveyloom.sources.writers import append_rows, run_name, write_run
 
@@ -66,9 +67,9 @@ def run_experiment(
     """Prepare, generate, train, evaluate, score and compare; returns the ledger.
 
     What does not depend on the grid point is done once: cleaning, the feature
-    ranking, the candidates' quota. Each table that is read several times is
-    written to the shared folder first. With ``search_trials`` the grid is replaced
-    by the best of that many drawn settings.
+    ranking, the join with the texts, the candidates. Each table that is read
+    several times is written to the shared folder first. With ``search_trials`` the
+    grid is replaced by the best of that many drawn settings.
     """
     config, sizes = config or SurveyConfig(), sizes or ExperimentConfig()
     targets, id_col = config.targets, config.id_col
@@ -77,23 +78,29 @@ def run_experiment(
     ranks.require_unique(clean, [id_col])
     sums = materialise(rank_features(clean, config), "mi")
 
+    # the largest feature set holds every smaller one, and candidates do not depend
+    # on the features at all: join and draw once, then read fewer columns
+    ranked = information.feature_names(
+        information.top_k_features(sums, max(sizes.feature_counts))
+    )
+    all_real = materialise(text_dataset(text, clean, config, ranked), "real")
+    _require_legal_targets(all_real, config)
+    all_candidates = materialise(
+        generate_candidates(
+            all_real, targets, config.labels, sizes.candidates, id_col, "text", config.seed,
+            _spread(all_real.count(), sizes.candidates),
+        ),
+        "candidates",
+    )
+
     for k in sizes.feature_counts:
-        features = information.feature_names(information.top_k_features(sums, k))
+        features = ranked[:k]
+        columns = [id_col, *features, *targets]
         numbers = number_dataset(clean, config, features)
         write_run(numbers, f"{out_dir}/number_dataset", f"f{k}")
-
-        real = materialise(text_dataset(text, clean, config, features), "real")
-        _require_legal_targets(real, config)
-        rows = real.count()
-        candidates = materialise(
-            generate_candidates(
-                real, targets, config.labels, sizes.candidates, id_col, "text", config.seed,
-                _spread(rows, sizes.candidates),
-            ),
-            "candidates",
-        )
         built = build_training_set(
-            real, candidates, config, labels_of_names, features, sizes.train_candidates
+            all_real.select(*columns), all_candidates.select(*columns, "draw_no"), config,
+            labels_of_names, features, sizes.train_candidates,
         )
         write_run(built.remaining, f"{out_dir}/remain_dataset", f"f{k}")
         # one hashing pass serves every grid point and fold; training reads only
@@ -101,9 +108,8 @@ def run_experiment(
         folded = assign_folds(built.training, sizes.folds, config, sizes.fold_by)
         vectors = materialise(with_vectors(folded, features, targets, sizes.base), "vectors")
         write_run(vectors.drop("fold", "features"), f"{out_dir}/text_dataset", f"f{k}")
-        remaining_vectors = with_vectors(
-            built.remaining, features, targets, sizes.base
-        )
+        remaining = read_candidates(spark, f"{out_dir}/remain_dataset", f"f{k}")
+        remaining_vectors = with_vectors(remaining, features, targets, sizes.base)
         folds = list(range(sizes.folds)) if sizes.run_folds is None else sizes.run_folds
         grid = grid_of(sizes.base, sizes.epochs, sizes.learning_rates)
         if search_trials:
@@ -142,7 +148,7 @@ def _run_point(
     if write_scored:
         write_run(scored, f"{out_dir}/scored_test", run_id)
         write_run(score(model, remaining_vectors), f"{out_dir}/scored_candidates", run_id)
-        table = spark.read.parquet(f"{out_dir}/scored_candidates").where(F.col("run_id") == run_id)
+        table = read_run(spark, f"{out_dir}/scored_candidates", run_id)
         diff, frobenius = covariance_report(numbers, table, config.targets, config.labels)
         write_run(diff, f"{out_dir}/covariance", run_id)
         norm = frobenius.scalar()

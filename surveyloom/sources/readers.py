@@ -49,9 +49,13 @@ def read_splits(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"train": parts["train"], "validate": parts["test"], "test": parts["test"]}
 
 
+def read_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """One run's rows. Its own folder is read, since runs differ in their feature columns."""
+    return spark.read.parquet(f"{path}/run_id={run_id}")
+
+
 def read_candidates(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    table = read_table(spark, path)
-    return table if run_id is None else table.where(F.col("run_id") == run_id).drop("run_id")
+    return read_table(spark, path) if run_id is None else read_run(spark, path, run_id)
 
 
 def read_code_map(spark: SparkSession, path: str) -> DataFrame:
