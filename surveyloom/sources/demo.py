@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from surveyloom.config import SurveyConfig
 from surveyloom.operators.labels import LabelMap
-from surveyloom.sources.scratch import deal_out
 
 VARIABLES = [
     "prio", "status", "seg", "region", "pricebin", "nation", "yr", "mon", "balbin", "pricegrp",
@@ -76,12 +75,8 @@ def _with_gaps(name: str) -> str:
 
 
 def survey_num(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = deal_out(
-        table(spark, sf_dir, "orders").select(
-            "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
-            "o_orderpriority",
-        ),
-        "o_orderkey",
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
     )
     return (
         orders.join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))

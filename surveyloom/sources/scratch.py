@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+WAREHOUSE_CONF = "spark.sql.warehouse.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder.
+    """The session's checkpoint folder; where it is unset, a folder in the warehouse.
 
-    Only a local session without the setting gets one of its own, since there
-    driver and executors see the same disk.
+    Both are places that the driver and all executors reach. A folder of the
+    machine's own temporary space is never taken.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="surveyloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        return folder.rstrip("/")
+    return f"{spark.conf.get(WAREHOUSE_CONF).rstrip('/')}/checkpoints"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -39,16 +35,3 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def deal_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows of a scan with too few partitions out over all cores.
-
-    A file with a single row group is one task, however many cores wait. A scan
-    that already feeds the cores, as any large table does, is left as it is and
-    never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > cores:
-        return df
-    return df.repartition(cores, *keys)

@@ -74,8 +74,11 @@ def test_scratch_lies_in_the_shared_folder(spark):
     assert scratch.scratch_path(spark, "t") != scratch.scratch_path(spark, "t")
 
 
-def test_small_scans_are_dealt_out_and_large_ones_left(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert scratch.deal_out(spark.range(0, 50, 1, 1), "id").rdd.getNumPartitions() == cores
-    wide = spark.range(0, 50, 1, 4 * cores)
-    assert scratch.deal_out(wide, "id") is wide
+def test_scratch_falls_back_to_the_warehouse(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.unset("spark.checkpoint.dir")
+    try:
+        found = scratch.shared_folder(spark)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", folder)
+    assert found in (folder, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
