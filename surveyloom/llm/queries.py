@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from surveyloom.llm.sharding import shard_documents
+from surveyloom.llm.packing import pack_documents
 from surveyloom.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,4 +24,9 @@ def op3_label_propagation_shards(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+@query
+def op2_least_squares_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
 ORACLES: dict[str, str] = {}
