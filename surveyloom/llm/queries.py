@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from surveyloom.llm.sharding import shard_documents
 from surveyloom.llm.packing import pack_documents
+from surveyloom.llm.warc import archive_round_trip
 from surveyloom.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,4 +30,24 @@ def op2_least_squares_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
-ORACLES: dict[str, str] = {}
+@query
+def op10_dictionary_warc(spark, sf_dir):
+    return archive_round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+ORACLES: dict[str, str] = {
+    "op10_dictionary_warc": """
+    with hashed as (
+        select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as hex from pages
+    ), topped as (
+        select *, max(page_id) over (partition by hex) as top from hashed
+    )
+    select page_id, strlen(payload) as payload_bytes,
+        array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4), lambda k: substr(
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + ((('0x' || substr(hex, 1 + 5 * i, 5))::bigint >> (15 - 5 * k)) & 31), 1)), '')), '') as payload_digest,
+        case when page_id is distinct from top then 'revisit' else 'response' end as record_type,
+        case when page_id is distinct from top then top end as refers_to
+    from topped
+    """,
+}
