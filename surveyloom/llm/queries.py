@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from surveyloom.llm.sharding import shard_documents
 from surveyloom.llm.packing import pack_documents
 from surveyloom.llm.warc import archive_round_trip
+from surveyloom.llm.chat import chat_windows, conversation_digests
+from surveyloom.sources.scratch import materialise
 from surveyloom.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +37,14 @@ def op10_dictionary_warc(spark, sf_dir):
     return archive_round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
 
 
+@query
+def op4_budgeted_chat_windows(spark, sf_dir):
+    tricky = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return conversation_digests(materialise(chat_windows(turns), "windows"))
+
+
 ORACLES: dict[str, str] = {
     "op10_dictionary_warc": """
     with hashed as (
@@ -50,4 +60,59 @@ ORACLES: dict[str, str] = {
         case when page_id is distinct from top then top end as refers_to
     from topped
     """,
+    "op4_budgeted_chat_windows": """
+    with turns as (
+        select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all values (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')
+    ), t1 as (
+        select *, coalesce(cast(floor(turn / 256) as bigint), -4611686018427387904) as block,
+            ceil(strlen(text) / 4)::bigint + 4 as tokens
+        from turns
+    ), t2 as (
+        select *, min(block) over (partition by conv_id) as opening,
+            first_value(role) over c as lead_role, first_value(tokens) over c as lead_tokens,
+            first_value(text) over c as lead_text, row_number() over c as place
+        from t1 window c as (partition by conv_id order by turn nulls first, role, text)
+    ), t3 as (
+        select conv_id, block, turn, role, text, tokens, false as copy, place = 1 and role = 'system' as system,
+            case when lead_role = 'system' then lead_tokens else 0 end as head
+        from t2
+        union all
+        select distinct conv_id, block, null, 'system', lead_text, lead_tokens, true, true, lead_tokens
+        from t2 where block > opening and lead_role = 'system'
+    ), t4 as (
+        select *, case when system then 0 else tokens end as body,
+            greatest(1, cast(floor((1024 - head - 128) / 2) as bigint)) as step,
+            row_number() over (partition by conv_id, block order by copy desc, turn nulls first, role, text) as ord
+        from t3
+    ), t5 as (
+        select *, coalesce(sum(body) over b, 0)::bigint as start, (body > step)::int as long
+        from t4 window b as (partition by conv_id, block order by ord rows between unbounded preceding and 1 preceding)
+    ), t6 as (
+        select *, sum(long) over (partition by conv_id, block order by ord)
+            + coalesce(sum(long) over (partition by conv_id, block order by ord rows between unbounded preceding and 1 preceding), 0) as segment
+        from t5
+    ), t7 as (
+        select *, (start - min(start) over (partition by conv_id, block, segment)) // step as stretch from t6
+    ), t8 as (
+        select *, max(start + body) over (partition by conv_id, block, segment, stretch) as next_start,
+            dense_rank() over (partition by conv_id, block order by segment, stretch) - 1 as win
+        from t7
+    ), t9 as (
+        select *, max(win) over (partition by conv_id, block) as last_win from t8
+    ), t10 as (
+        select *, 8 + 6 + 1
+            + length(replace(replace(replace(role, '\\', '\\b'), '<', '\\l'), chr(10), '\\n'))
+            + length(replace(replace(text, '\\', '\\b'), '<', '\\l')) as piece,
+            case when system then last_win + 1 when win < last_win and next_start - start <= 128 then 2 else 1 end as times
+        from t9
+    )
+    select conv_id,
+        count(*) filter (not copy) as n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' order by block, ord) filter (not copy)) as turns_sha256,
+        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by block, ord) filter (role = 'assistant'), '')) as loss_sha256,
+        sum(piece * times)::bigint as formatted_chars
+    from t10 group by conv_id
+    """,
 }
