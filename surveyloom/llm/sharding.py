@@ -104,7 +104,9 @@ def shard_documents(
     )
     total = rows.count()
     blocks = parts_for(spark, total, BLOCK_ROWS)
+    # written, so that joins with it deal a large group's rows out afresh instead of keeping them together
     groups = rows.where("grp is not null").groupBy("grp").agg(F.count("*").alias("group_rows")).where("group_rows > 1")
+    groups = materialise(groups, "groups")
     shard0 = F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")
     linked = rows.select("rid", "grp").join(groups.select("grp"), "grp").select("rid", "grp", shard0.alias("shard"))
     linked = materialise(linked, "linked")
