@@ -12,6 +12,7 @@ from surveyloom.llm.packing import pack_documents
 from surveyloom.llm.warc import archive_round_trip
 from surveyloom.llm.chat import chat_windows, conversation_digests
 from surveyloom.sources.scratch import materialise
+from surveyloom.llm.neardup import near_duplicates
 from surveyloom.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +46,11 @@ def op4_budgeted_chat_windows(spark, sf_dir):
     return conversation_digests(materialise(chat_windows(turns), "windows"))
 
 
+@query
+def op9_hamming_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 ORACLES: dict[str, str] = {
     "op10_dictionary_warc": """
     with hashed as (
