@@ -13,6 +13,7 @@ from surveyloom.llm.warc import archive_round_trip
 from surveyloom.llm.chat import chat_windows, conversation_digests
 from surveyloom.sources.scratch import materialise
 from surveyloom.llm.neardup import near_duplicates
+from surveyloom.llm.langid import language_mixtures
 from surveyloom.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +52,11 @@ def op9_hamming_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+@query
+def op1_language_mixtures(spark, sf_dir):
+    return language_mixtures(table(spark, sf_dir, "documents"))
+
+
 ORACLES: dict[str, str] = {
     "op10_dictionary_warc": """
     with hashed as (
