@@ -14,6 +14,7 @@ from surveyloom.llm.chat import chat_windows, conversation_digests
 from surveyloom.sources.scratch import materialise
 from surveyloom.llm.neardup import near_duplicates
 from surveyloom.llm.langid import language_mixtures
+from surveyloom.llm.lmscore import score_documents
 from surveyloom.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +58,11 @@ def op1_language_mixtures(spark, sf_dir):
     return language_mixtures(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_context_tree_scores(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 ORACLES: dict[str, str] = {
     "op10_dictionary_warc": """
     with hashed as (
