@@ -15,6 +15,7 @@ from surveyloom.sources.scratch import materialise
 from surveyloom.llm.neardup import near_duplicates
 from surveyloom.llm.langid import language_mixtures
 from surveyloom.llm.lmscore import score_documents
+from surveyloom.llm.quality import judge
 from surveyloom.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +64,11 @@ def op7_context_tree_scores(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_kneser_ney_quality(spark, sf_dir):
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("same")
+
+
 ORACLES: dict[str, str] = {
     "op10_dictionary_warc": """
     with hashed as (
