@@ -16,6 +16,7 @@ from surveyloom.llm.neardup import near_duplicates
 from surveyloom.llm.langid import language_mixtures
 from surveyloom.llm.lmscore import score_documents
 from surveyloom.llm.quality import judge
+from surveyloom.llm.decontaminate import contaminated
 from surveyloom.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +70,11 @@ def op6_kneser_ney_quality(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("same")
 
 
+@query
+def op5_edit_distance_leaks(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ORACLES: dict[str, str] = {
     "op10_dictionary_warc": """
     with hashed as (

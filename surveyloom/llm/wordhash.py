@@ -46,7 +46,8 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class WordHasher:
     """Hashes words in pieces of about PIECE bytes; a piece ends at white space or a text's end."""
 
-    def __init__(self):
+    def __init__(self, fold: np.ndarray = FOLD):
+        self.fold = fold  # byte -> byte; 32 stands between words
         self.grow(PIECE + 1)
 
     def grow(self, size: int):
@@ -85,18 +86,18 @@ class WordHasher:
             last = min(last, count)
             lo, hi = int(offsets[at]), int(offsets[last])
             if hi - lo <= PIECE or last > at + 1:
-                x = FOLD[data[lo:hi]]
+                x = self.fold[data[lo:hi]]
                 bounds = offsets[at : last + 1] - lo
                 yield at, last, *self._counted(x, bounds)
             else:
                 while lo < hi:
                     stop = min(hi, lo + PIECE)
-                    x = FOLD[data[lo:stop]]
+                    x = self.fold[data[lo:stop]]
                     if stop < hi:
                         blanks = np.flatnonzero(x == 32)
                         while not len(blanks) and stop < hi:  # one word beyond a piece
                             stop = min(hi, stop + (stop - lo))
-                            x = FOLD[data[lo:stop]]
+                            x = self.fold[data[lo:stop]]
                             blanks = np.flatnonzero(x == 32)
                         if stop < hi:
                             stop = lo + int(blanks[-1]) + 1
