@@ -198,23 +198,10 @@ def _signed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.where(close).select("a", "b")
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row.
-
-    Documents are linked when 100 * |common shingles| >= percent * |all shingles|;
-    `percent` must be at least 80, for which signatures are laid out.
-
-    * A text of fewer than `width` words has its whole word sequence as one shingle. A
-      null text, or one without words, has no shingles and no link.
-    * Rows that repeat a text share its class. Rows that repeat an id are kept or
-      dropped together; a null id is never the smallest of a component unless all are.
-    * An empty table gives an empty result. Other columns are ignored.
-    """
+def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, same, size, component, component_id) for every row (doc_id, bytes); null component for no words."""
     if percent < 80:
         raise ValueError("signatures are laid out for similarities of 0.8 or more")
-    docs = docs.select(F.col(id_col).alias("doc_id"), text_bytes(F.col(text_col)).alias("bytes"))
     rows = materialise(shingle_classes(docs, width), "rows")
     names = [f"s{k}" for k in range(WORDS)]
     classes = materialise(
@@ -263,9 +250,46 @@ def near_duplicates(
         found.withColumnRenamed("node", "cid"), "cid", "left"
     ).withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = materialise(named.join(smallest, "component").select("digest", "component_id"), "named")
-    own = rows.select("doc_id", "size", "digest").join(named, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return own.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id")).withColumn(
+    named = materialise(named.join(smallest, "component").select("digest", "component", "component_id"), "named")
+    return rows.select("doc_id", "same", "size", "digest").join(named, "digest", "left").drop("digest")
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row.
+
+    Documents are linked when 100 * |common shingles| >= percent * |all shingles|;
+    `percent` must be at least 80, for which signatures are laid out.
+
+    * A text of fewer than `width` words has its whole word sequence as one shingle. A
+      null text, or one without words, has no shingles and no link.
+    * Rows that repeat a text share its class. Rows that repeat an id are kept or
+      dropped together; a null id is never the smallest of a component unless all are.
+    * An empty table gives an empty result. Other columns are ignored.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_bytes(F.col(text_col)).alias("bytes"))
+    found = _classified(rows, width, percent)
+    component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def one_of_each(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of `docs`, all columns, without near duplicates of a row with a smaller id.
+
+    Rows without words all stay. Of rows that repeat an id and a text one stays.
+    """
+    data = text_bytes(F.col(text_col))
+    found = _classified(docs.select(F.col(id_col).alias("doc_id"), data.alias("bytes")), width, percent)
+    leads = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "same")).alias("lead"))
+    leads = materialise(leads.select(F.col("lead.doc_id").alias("lead_id"), F.col("lead.same").alias("lead_same")), "leads")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.md5(data).alias("_same"))
+    same = F.col("_id").eqNullSafe(F.col("lead_id")) & (F.col("_same") == F.col("lead_same"))
+    first = rows.join(leads, same).groupBy("_id", "_same").agg(F.first("row").alias("row"))
+    wordless = found.where("component is null").select(F.col("same").alias("lead_same")).distinct()
+    rest = rows.join(wordless, F.col("_same") == F.col("lead_same"), "left_semi")
+    return first.select("row.*").unionByName(rest.select("row.*"))
