@@ -15,10 +15,12 @@ only for the components they form:
 1. each class is held against the smallest class it shares an entry with; confirmed
    links give first components;
 2. in entries that hold more than one component, every class outside the entry's
-   largest component is held against all members of other components.
+   largest component is held against all members of other components. Among the
+   members of such entries, a class has at most as much in common with another as it
+   has shingles that are not its own alone; where that is too little for a link, as
+   with texts changed in too many places, the pair is not formed.
 
-No entry's members are paired as a whole unless they all stay apart, and no list of
-members is ever gathered: an entry is a key of joins that Spark may split.
+No list of members is ever gathered: an entry is a key of joins that Spark may split.
 """
 
 from __future__ import annotations
@@ -149,10 +151,11 @@ def _entry_rows(classes: DataFrame) -> DataFrame:
     return classes.where(F.col("size") >= FEWEST).select("cid", *names).mapInArrow(run, "key bigint, cid bigint")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose full sets have at least `percent` similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    source = classes.join(wanted, "cid").select("cid", F.col("lead.doc_id").alias("lead_id"), F.col("lead.same").alias("lead_same"))
+def _sets_of(wanted: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(cid, set) of the classes in `wanted`: the sorted hashes of all shingles, read from the lead's text."""
+    source = classes.join(wanted, "cid").select(
+        "cid", F.col("lead.doc_id").alias("lead_id"), F.col("lead.same").alias("lead_same")
+    )
     texts = docs.select("doc_id", "bytes", F.md5("bytes").alias("same")).join(
         source, F.expr("doc_id <=> lead_id and same = lead_same")
     )
@@ -168,7 +171,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int
                 )
 
     found = texts.select("cid", "bytes").mapInArrow(run, "cid bigint, set binary")
-    sets = materialise(found.dropDuplicates(["cid"]), "sets")
+    return materialise(found.dropDuplicates(["cid"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes whose full sets have at least `percent` similarity."""
 
     def check(batches):
         for batch in batches:
@@ -187,15 +194,41 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int
     )
 
 
-def _signed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that sizes and signatures allow to be similar."""
-    for side in "ab":
-        mine = classes.select(
-            F.col("cid").alias(side), F.col("size").alias(f"n{side}"), *(F.col(f"s{k}").alias(f"{side}{k}") for k in range(WORDS))
-        )
-        pairs = pairs.join(mine, side)
-    close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (distance("a", "b") <= FAR)
-    return pairs.where(close).select("a", "b")
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(cid, own): how many shingles of a class no other class in `sets` has."""
+
+    def run(batches):
+        for batch in batches:
+            for cid, packed in zip(batch.column("cid").to_pylist(), batch.column("set")):
+                hashes = np.frombuffer(packed.as_buffer(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes), pa.array(np.full(len(hashes), cid))], names=["shingle", "cid"]
+                )
+
+    rows = sets.mapInArrow(run, "shingle bigint, cid bigint")
+    lone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).where("n = 1")
+    return lone.groupBy("cid").agg(F.count("*").alias("own"))
+
+
+def _sided(classes: DataFrame, side: str) -> DataFrame:
+    """Size, shared shingles and signature of a class, named for one side of a pair."""
+    return classes.select(
+        F.col("cid").alias(side), F.col("size").alias(f"n{side}"), F.col("shared").alias(f"m{side}"),
+        *(F.col(f"s{k}").alias(f"{side}{k}") for k in range(WORDS)),
+    )
+
+
+def _may_link(percent: int) -> Column:
+    """What sizes, shared shingles and signatures of a pair allow.
+
+    Two sets have at most as much in common as either shares with any other, and
+    similar ones have at least percent / (100 + percent) of their sizes' sum.
+    """
+    return (
+        (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        & ((100 + percent) * F.least("ma", "mb") >= percent * (F.col("na") + F.col("nb")))
+        & (distance("a", "b") <= FAR)
+    )
 
 
 def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -220,8 +253,11 @@ def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
     )
     members = materialise(keyed.join(shared, "key"), "members")
     star = members.where("cid <> least").groupBy(F.col("cid").alias("b")).agg(F.min("least").alias("a"))
-    star = materialise(_signed(star, classes, percent), "star")
-    links = materialise(_confirmed(star, docs, classes, width, percent), "links")
+    known = classes.withColumn("shared", F.col("size"))
+    star = star.join(_sided(known, "a"), "a").join(_sided(known, "b"), "b").where(_may_link(percent)).select("a", "b")
+    star = materialise(star, "star")
+    sets = _sets_of(star.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), docs, classes, width)
+    links = materialise(_confirmed(star, sets, percent), "links")
     first = connected_components(links, "a", "b")
 
     labelled = members.select("key", "cid").join(first.withColumnRenamed("node", "cid"), "cid", "left").select(
@@ -234,16 +270,19 @@ def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
         .where("parts > 1").select("key", F.col("most.component").alias("major")),
         "mixed",
     )
-    inside = labelled.join(mixed, "key")
+    inside = materialise(labelled.join(mixed, "key"), "inside")
+    sets = _sets_of(inside.select("cid").distinct(), docs, classes, width)
+    known = classes.join(sets.select("cid"), "cid").join(_own_shingles(sets), "cid", "left")
+    known = materialise(known.withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))), "known")
     minor = inside.where("component <> major").select("key", F.col("cid").alias("a"), F.col("component").alias("ca"))
     other = inside.select("key", F.col("cid").alias("b"), F.col("component").alias("cb"), "major")
     across = (
-        minor.join(other, "key").where("ca <> cb and (cb = major or a < b)")
+        minor.join(_sided(known, "a"), "a").join(other.join(_sided(known, "b"), "b"), "key")
+        .where("ca <> cb and (cb = major or a < b)").where(_may_link(percent))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    across = materialise(_signed(across, classes, percent), "across")
-    more = _confirmed(across, docs, classes, width, percent)
-    links = materialise(links.select("a", "b").unionByName(more), "links")
+    across = materialise(across, "across")
+    links = materialise(links.select("a", "b").unionByName(_confirmed(across, sets, percent)), "links")
 
     found = connected_components(links, "a", "b")
     named = classes.select("cid", "digest", "first_id").join(
