@@ -288,7 +288,8 @@ def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
     named = classes.select("cid", "digest", "first_id").join(
         found.withColumnRenamed("node", "cid"), "cid", "left"
     ).withColumn("component", F.coalesce("component", "cid"))
-    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # both written, so that their joins deal out a large component or class afresh
+    smallest = materialise(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "smallest")
     named = materialise(named.join(smallest, "component").select("digest", "component", "component_id"), "named")
     return rows.select("doc_id", "same", "size", "digest").join(named, "digest", "left").drop("digest")
 
