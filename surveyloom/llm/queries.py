@@ -17,6 +17,7 @@ from surveyloom.llm.langid import language_mixtures
 from surveyloom.llm.lmscore import score_documents
 from surveyloom.llm.quality import judge
 from surveyloom.llm.decontaminate import contaminated
+from surveyloom.llm.hamming import nearest_vectors
 from surveyloom.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +76,11 @@ def op5_edit_distance_leaks(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op8_multi_index_neighbours(spark, sf_dir):
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), k=10)
+
+
 ORACLES: dict[str, str] = {
     "op10_dictionary_warc": """
     with hashed as (
@@ -145,4 +151,16 @@ ORACLES: dict[str, str] = {
         sum(piece * times)::bigint as formatted_chars
     from t10 group by conv_id
     """,
+    "op8_multi_index_neighbours": """
+    with codes as (
+        select vec_id, list_transform(embedding, lambda x: x > 0) as signs from embeddings where len(embedding) = 64
+    ), pairs as (
+        select q.vec_id as query_id, v.vec_id as neighbour_id,
+            list_sum(list_transform(range(1, 65), lambda i: (q.signs[i] <> v.signs[i])::int))::int as distance
+        from codes q join codes v on q.vec_id % 20 = 0 and q.vec_id <> v.vec_id
+    ), ranked as (
+        select *, row_number() over (partition by query_id order by distance, neighbour_id)::int as rank from pairs
+    )
+    select query_id, rank, neighbour_id, distance from ranked where rank <= 10
+    """,
 }
