@@ -95,7 +95,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
         for lang, total in totals.items():
             found = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(found)), pa.array(found), pa.array(total[found])], names=["lang", "bin", "n"]
+                [pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(total[found])], names=["lang", "bin", "n"]
             )
 
     counted = docs.select("lang", "text").mapInArrow(run, "lang string, bin bigint, n bigint")
@@ -257,7 +257,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
             found, score, noise, langs, shares = identifier(texts)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("row"), pa.array(found), pa.array(score), pa.array(noise),
+                    batch.column("row"), pa.array(found, pa.string()), pa.array(score), pa.array(noise),
                     pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64())),
                 ],
                 names=["row", *PREDICTION.names],

@@ -70,7 +70,7 @@ def _survey(requests: DataFrame, depth: int):
             keys, zeros, ones, children = ctw.local_levels(grams, counts, depth)[0].parents(1)
         else:
             keys, zeros, ones, children = [-1], [float(counts.sum())], [float((counts > 0).sum())], [0.0]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(zeros), pa.array(ones), pa.array(children)],
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(c, pa.float64()) for c in (zeros, ones, children))],
                                          names=["key", "zeros", "ones", "children"])
 
     found = bucket_rows(requests, work, "key bigint, zeros double, ones double, children double")
