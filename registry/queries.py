@@ -23,8 +23,8 @@ from surveyloom.operators import (
     ranks,
     tokens,
 )
+from surveyloom.plans import experiment as experiment_plan
 from surveyloom.plans import training_set as study
-from surveyloom.plans.experiment import run_experiment
 from surveyloom.sources import demo, readers, scratch, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +33,6 @@ REGISTRY: dict[str, Query] = {}
 T, FEATURES, LABELS, CONFIG = demo.TARGETS, demo.FEATURES, demo.LABELS, demo.CONFIG
 SEED = CONFIG.seed
 FOLDS = 5
-CUTOFF = 900
 END = "</s>"
 MARKER = ".\n"
 WITH_INPUT = "Task:\n{instruction}\n\nContext:\n{input}\n\nAnswer:\n"
@@ -68,7 +67,7 @@ def _answered(num: DataFrame) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.prepare(_stored(spark, sf), T)
+    return clean.prepare(_num(spark, sf), T)
 
 
 def _real(num: DataFrame) -> DataFrame:
@@ -429,20 +428,20 @@ def covariance_continuous(spark, sf):
     return _rounded(covariance.covariance_matrix(lines, columns), ["cov"], 4)
 
 
-def _report(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _report(spark, sf) -> DataFrame:
     num = _stored(spark, sf)
-    return covariance.covariance_report(clean.prepare(num, T), _rule_scored(num), T, LABELS)
+    scored = scratch.materialise(_rule_scored(num).select(*T, "prediction"), "scored")
+    return covariance.covariance_report(clean.prepare(num, T), scored, T, LABELS)
 
 
 @query
 def covariance_diff(spark, sf):
-    diff, _ = _report(spark, sf)
-    return _rounded(diff.select("row", "col", "diff"), ["diff"], 4)
+    return _rounded(_report(spark, sf).select("row", "col", "diff"), ["diff"], 4)
 
 
 @query
 def covariance_frobenius(spark, sf):
-    _, norm = _report(spark, sf)
+    norm = covariance.frobenius_norm(_report(spark, sf))
     return _rounded(norm, ["frobenius_norm"], 4)
 
 
@@ -489,7 +488,7 @@ def relevance_metrics(spark, sf):
 
 @query
 def token_length_histogram(spark, sf):
-    records = tokens.token_arrays(demo.table(spark, sf, "documents"), "text", CUTOFF, END)
+    records = tokens.token_arrays(demo.table(spark, sf, "documents"), "text", END)
     return _rounded(tokens.length_histogram(records, F.size("input_ids")), ["bin_start", "bin_end"])
 
 
@@ -527,7 +526,7 @@ def kfold_assign(spark, sf):
 def draw_alternative(spark, sf):
     """One draw per respondent, on codes."""
     return candidates.redraw_targets(
-        _answered(_stored(spark, sf)).select("id", *T), T, LABELS, ["id"], "num", SEED
+        _answered(_num(spark, sf)).select("id", *T), T, LABELS, ["id"], "num", SEED
     )
 
 
@@ -626,7 +625,7 @@ def extract_response(spark, sf):
 @query
 def token_arrays(spark, sf):
     documents = demo.table(spark, sf, "documents").withColumn("label", F.col("n_chars") % 2)
-    records = tokens.token_arrays(documents, "text", CUTOFF, END, "label")
+    records = tokens.token_arrays(documents, "text", END, "label")
     return records.select(
         "doc_id",
         _joined(F.col("input_ids")).alias("input_ids"),
@@ -638,7 +637,7 @@ def token_arrays(spark, sf):
 @query
 def loss_mask(spark, sf):
     answered = _turns(spark, sf).where(F.col("answer").isNotNull())
-    records = tokens.supervised_records(answered, "text", "answer", END, cutoff=CUTOFF)
+    records = tokens.supervised_records(answered, "text", "answer", END)
     return records.select(
         "conv_id",
         "turn",
@@ -651,7 +650,7 @@ def loss_mask(spark, sf):
 @query
 def pad_batches(spark, sf):
     records = tokens.token_arrays(
-        demo.table(spark, sf, "documents").select("doc_id", "text"), "text", CUTOFF, END
+        demo.table(spark, sf, "documents").select("doc_id", "text"), "text", END
     ).drop("text")
     padded = tokens.pad_batches(records, "input_ids", ["doc_id"], 32, SEED)
     return padded.select(
@@ -680,6 +679,8 @@ def covariance_clamped(spark, sf):
 # -- learning and scoring -----------------------------------------------------------------
 
 PARAMS = PlausibilityParams(num_epochs=2)
+TRIALS = 4
+SEARCHED_EPOCHS = (1, 4)
 
 
 def _vectors(spark, sf, folds: int = FOLDS) -> tuple[DataFrame, DataFrame]:
@@ -698,41 +699,66 @@ def _vectors(spark, sf, folds: int = FOLDS) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def _beats_majority(result: DataFrame) -> DataFrame:
+    """What SQL can state of held-out folds, and whether the model did better than the larger class."""
+    better = (F.col("accuracy") > F.col("majority_rate")).alias("beats_majority")
+    return _rounded(result.select("fold", "test_rows", "positives", "majority_rate", better), ["majority_rate"])
+
+
+def _sound(scored: DataFrame) -> Column:
+    return F.col("plausibility").between(0, 1) & F.col("prediction").isin(0, 1)
+
+
 @query
 def train_plausibility(spark, sf):
     vectors, _ = _vectors(spark, sf)
     scored = plausibility.score(plausibility.train_plausibility(vectors, PARAMS), vectors)
-    return scored.groupBy("labels", "prediction").agg(F.count("*").alias("rows"))
+    right = F.avg((F.col("prediction") == F.col("labels")).cast("int"))
+    return scored.groupBy("labels").agg(F.count("*").alias("rows"), (right > 0.5).alias("mostly_right"))
 
 
 @query
 def evaluate_fold(spark, sf):
     vectors, _ = _vectors(spark, sf)
     train, test = ranks.fold_split(vectors, 0)
-    _, result = plausibility.evaluate(plausibility.train_plausibility(train, PARAMS), test)
-    return _rounded(result, result.columns)
+    scored, _ = plausibility.evaluate(plausibility.train_plausibility(train, PARAMS), test)
+    return _beats_majority(plausibility.fold_metrics(scored, by=["fold"]))
 
 
 @query
 def score_candidates(spark, sf):
     vectors, remaining = _vectors(spark, sf)
     train, _ = ranks.fold_split(vectors, 0)
-    return plausibility.score(plausibility.train_plausibility(train, PARAMS), remaining)
+    scored = plausibility.score(plausibility.train_plausibility(train, PARAMS), remaining)
+    return scored.select("id", "draw_no", *T, _sound(scored).alias("sound"))
+
+
+@query
+def score_saved_model(spark, sf):
+    """The same rows, scored by a model that was written and read again."""
+    vectors, remaining = _vectors(spark, sf)
+    out = scratch.scratch_path(spark, "saved")
+    model = plausibility.train_plausibility(ranks.fold_split(vectors, 0)[0], PARAMS)
+    plausibility.save_model(model, writers.run_path(f"{out}/models", "f4-0-0"))
+    rows = remaining.drop("features")
+    scored = experiment_plan.score_saved_model(spark, out, "f4-0-0", rows, FEATURES, CONFIG, PARAMS)
+    return scored.select("id", "draw_no", *T, _sound(scored).alias("sound"))
 
 
 @query
 def cross_validate(spark, sf):
     vectors, _ = _vectors(spark, sf, 3)
-    result = plausibility.cross_validate(vectors, PARAMS, [0, 1, 2])
-    return _rounded(result, ["accuracy", "f1", "precision", "recall"])
+    return _beats_majority(plausibility.cross_validate(vectors, PARAMS, [0, 1, 2]))
 
 
 @query
 def search_best(spark, sf):
+    """The drawn settings of every trial, tried on all folds."""
     vectors, _ = _vectors(spark, sf, 2)
-    trials = plausibility.grid_of(PARAMS, [1, 2], [1e-3, 1e-2])
-    _, table = plausibility.search_best(vectors, trials, [0, 1])
-    return _rounded(table, ["accuracy", "f1"])
+    trials = plausibility.drawn_trials(spark, PARAMS, TRIALS, SEED, SEARCHED_EPOCHS)
+    _, table = plausibility.search_best(vectors, trials, [0, 1], parallel=2)
+    better = (F.col("accuracy") > F.col("majority_rate")).alias("beats_majority")
+    return table.select("trial", "num_epochs", "weight_decay", better)
 
 
 @query
@@ -795,9 +821,7 @@ def remaining_candidates(spark, sf):
 
 @query
 def covariance_report(spark, sf):
-    diff, norm = _report(spark, sf)
-    with_norm = diff.withColumn("frobenius_norm", norm.scalar())
-    return _rounded(with_norm, ["true_cov", "pred_cov", "diff", "frobenius_norm"], 4)
+    return _rounded(_report(spark, sf), ["true_cov", "pred_cov", "diff", "frobenius_norm"], 4)
 
 
 @query
@@ -816,13 +840,22 @@ def label_maps(spark, sf):
 
 @query
 def experiment(spark, sf):
+    """Every grid point on every fold."""
     num = scratch.materialise(_num(spark, sf), "num")
-    rows = num.count()
+    rows = _answered(num).count()
     names = spark.createDataFrame(list(demo.DICTIONARY.items()), "name string, simplab string")
     sizes = ExperimentConfig(
-        feature_counts=[2, 4], epochs=[1], candidates=rows, train_candidates=rows // 2,
-        folds=3, run_folds=[0], base=PARAMS,
+        feature_counts=[2, 4], candidates=_draws(rows), train_candidates=rows // 2, folds=3, base=PARAMS,
+        parallel_fits=4,
     )
-    return run_experiment(
+    ledger = experiment_plan.run_experiment(
         spark, num, demo.spelled_out(num), names, scratch.scratch_path(spark, "run"), CONFIG, sizes
     )
+    complete = F.lit(True)
+    for name in ("accuracy", "f1", "precision", "recall", "accepted", "frobenius_norm", "token_collisions"):
+        complete = complete & F.col(name).isNotNull()
+    points = ledger.select(
+        "feature_count", "grid_no", "num_epochs", "weight_decay", "fold", "test_rows", "majority_rate",
+        complete.alias("complete"),
+    )
+    return _rounded(points, ["majority_rate"])

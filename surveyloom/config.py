@@ -16,9 +16,6 @@ class SurveyConfig:
     weight_cols: list[str] = field(default_factory=lambda: fv.ID_AND_WEIGHT_COLUMNS[1:])
     near_duplicates: dict[str, list[str]] = field(default_factory=lambda: dict(fv.NEAR_DUPLICATES))
     labels: dict[str, dict[str, str]] = field(default_factory=lambda: dict(fv.TARGET_LABELS))
-    task_types: dict[str, str] = field(
-        default_factory=lambda: {name: task for name, (task, _, _) in fv.TASKS.items()}
-    )
     prompt_prefix: str = fv.PROMPT_PREFIX
     suffix_prefix: str = fv.SUFFIX_PREFIX
     seed: str = "42"
@@ -33,15 +30,17 @@ class SurveyConfig:
 class PlausibilityParams:
     """Hyper-parameters of the real-versus-generated classifier.
 
-    One epoch stands for ``steps_per_epoch`` optimiser iterations and the
-    learning rate for the strength of the L2 penalty; both are the knobs that
-    MLlib's logistic regression has in their place.
+    One epoch stands for ``steps_per_epoch`` optimiser iterations, weight decay is
+    the strength of the L2 penalty. MLlib's optimiser finds its own step size over
+    whole passes, so a learning rate, warm-up and batch size have no counterpart.
+    ``hash_dimensions`` is the length of the token vectors; the ledger tells what
+    share of the tokens has to share a place.
     """
 
     num_epochs: int = fv.TRAINING_DEFAULTS["num_epochs"]
-    learning_rate: float = fv.TRAINING_DEFAULTS["learning_rate"]
+    weight_decay: float = fv.DEFAULT_WEIGHT_DECAY
     steps_per_epoch: int = 10
-    hash_dimensions: int = 1 << 16
+    hash_dimensions: int = 1 << 20
     crosses: bool = True
 
     @property
@@ -58,11 +57,13 @@ class ExperimentConfig:
 
     feature_counts: list[int] = field(default_factory=lambda: list(fv.FEATURE_COUNTS))
     epochs: list[int] = field(default_factory=lambda: list(fv.GRID_EPOCHS))
-    learning_rates: list[float] = field(default_factory=lambda: list(fv.GRID_LEARNING_RATES))
+    weight_decays: list[float] = field(default_factory=lambda: [fv.DEFAULT_WEIGHT_DECAY])
     candidates: int = fv.DEFAULT_CANDIDATES
     train_candidates: int = fv.DEFAULT_TRAIN_CANDIDATES
     folds: int = fv.DEFAULT_FOLDS
     run_folds: list[int] | None = None
     fold_by: str = "id"
     search_epochs: tuple[int, int] = fv.SEARCH_EPOCH_RANGE
+    candidate_partitions: int | None = None  # deal the draws out first, where few rows become many
+    parallel_fits: int = 1  # models trained at the same time
     base: PlausibilityParams = field(default_factory=PlausibilityParams)

@@ -43,10 +43,8 @@ IRRELEVANT = -9
 RELEVANCE_MAP = {2: 1, 1: 1, 0: 1, -1: 1, -2: 1, -9: 0}
 
 # -- training defaults and search space --------------------------------------
-TRAINING_DEFAULTS = {
-    "batch_size": 32, "micro_batch_size": 32, "num_epochs": 1, "learning_rate": 1e-3,
-    "cutoff_len": 900, "logging_steps": 10, "eval_steps": 10, "save_steps": 40,
-}
+TRAINING_DEFAULTS = {"batch_size": 32, "num_epochs": 1, "learning_rate": 1e-3, "cutoff_len": 900}
+DEFAULT_WEIGHT_DECAY = 0.01
 GRID_EPOCHS = [2, 3, 4]
 GRID_LEARNING_RATES = [1e-3]
 SEARCH_CHOICES = {
@@ -56,7 +54,6 @@ SEARCH_CHOICES = {
     "per_device_train_batch_size": [16, 32, 64],
 }
 SEARCH_EPOCH_RANGE = (15, 25)
-SEARCH_EPOCH_RANGE_DEFAULT = (10, 20)
 
 # -- code -> label, by target ------------------------------------------------
 TARGET_LABELS = {
@@ -89,33 +86,3 @@ TARGET_LABELS = {
         "4": "disagree", "5": "strongly disagree",
     },
 }
-
-# labels of missing codes that the reverse map also knows, by target
-MISSING_LABELS = {
-    "income16": {"don't know": ".d", "refused": ".r", "skipped on web": ".s"},
-    "educ": {"no answer": ".n"},
-    "letin1a": {"don't know": ".d", "no answer": ".n", "skipped on web": ".s"},
-    "finrela": {"don't know": ".d", "no answer": ".n", "skipped on web": ".s"},
-    "marhomo": {"can't choose": ".d", "iap": ".i", "no answer": ".n", "skipped on web": ".s"},
-}
-
-# -- variable -> (task type, number of labels, range) -------------------------
-TASKS = {
-    "age": ("continuous", 1, None),
-    "cappun": ("class", 2, None),
-    "class": ("sequence", 4, None),
-    "educ": ("continuous", 1, 20),
-    "finrela": ("sequence", 5, None),
-    "gunlaw": ("class", 2, None),
-    "homosex": ("sequence", 4, None),
-    "income16": ("continuous", 1, 26),
-    "letin1a": ("sequence", 5, None),
-    "marhomo": ("sequence", 5, None),
-    "mawrkgrw": ("class", 2, None),
-    "partyid": ("sequence", 7, None),
-    "polviews": ("sequence", 7, None),
-    "premarsx": ("sequence", 4, None),
-    "pres20": ("class", 4, None),
-    "raclive": ("class", 2, None),
-    "wordsum": ("continuous", 1, None),
-}

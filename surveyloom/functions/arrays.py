@@ -12,13 +12,13 @@ def ones_like(tokens: Column) -> Column:
     return F.array_repeat(F.lit(1), F.size(tokens))
 
 
-def closed_tokens(tokens: Column, cutoff: int, end_token) -> Column:
-    """Cut to ``cutoff`` tokens; a shorter list gets the end token unless it ends so."""
-    cut = F.slice(tokens, 1, cutoff)
+def closed_tokens(tokens: Column, end_token, cutoff: int | None = None) -> Column:
+    """The list with the end token, unless it ends so; with ``cutoff`` at most that many tokens."""
+    cut = F.slice(tokens, 1, cutoff) if cutoff else tokens
     is_open = ~F.try_element_at(cut, F.lit(-1)).eqNullSafe(F.lit(end_token))
-    return F.when(
-        (F.size(cut) < cutoff) & is_open, F.concat(cut, F.array(F.lit(end_token)))
-    ).otherwise(cut)
+    if cutoff:
+        is_open = is_open & (F.size(cut) < cutoff)
+    return F.when(is_open, F.concat(cut, F.array(F.lit(end_token)))).otherwise(cut)
 
 
 def supervised_pair(

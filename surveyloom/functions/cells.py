@@ -25,7 +25,7 @@ def to_number(cell: Column) -> Column:
 
 def is_code(cell: Column) -> Column:
     """True for cells that hold a whole-number answer code."""
-    return cell.try_cast("int").isNotNull()
+    return cell.try_cast("bigint").isNotNull()
 
 
 def remap(value: Column, mapping: dict) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom import fixed_values as fv
@@ -60,17 +60,16 @@ def clamped(matrix: DataFrame, limit: float = fv.HEAT_LIMIT) -> DataFrame:
     return matrix.withColumn("cov", F.greatest(-bound, F.least(bound, F.col("cov"))))
 
 
-def accepted_covariance(scored: DataFrame, targets: list[str], labels: LabelMap) -> DataFrame:
-    """Covariance matrix of the accepted candidates, spelled-out targets encoded first."""
-    encoded = encode_targets(accepted_rows(scored), targets, labels)
-    return covariance_matrix(encoded, [f"{t}_num" for t in targets], targets)
-
-
 def covariance_report(
     real: DataFrame, scored: DataFrame, targets: list[str], labels: LabelMap
-) -> tuple[DataFrame, DataFrame]:
-    """(matrices with difference, norm) of accepted candidates against real rows."""
-    diff = covariance_diff(
-        covariance_matrix(real, targets), accepted_covariance(scored, targets, labels)
-    )
-    return diff, frobenius_norm(diff)
+) -> DataFrame:
+    """(row, col, true_cov, pred_cov, diff, frobenius_norm) of accepted candidates against real rows.
+
+    Either table is read once; the norm comes from the rows of the difference, one
+    per pair of targets.
+    """
+    encoded = encode_targets(accepted_rows(scored), targets, labels)
+    accepted = covariance_matrix(encoded, [f"{t}_num" for t in targets], targets)
+    diff = covariance_diff(covariance_matrix(real, targets), accepted)
+    squares = F.sum(F.pow("diff", F.lit(2.0))).over(Window.partitionBy())
+    return diff.withColumn("frobenius_norm", F.sqrt(squares))

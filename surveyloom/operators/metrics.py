@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from surveyloom import fixed_values as fv
+from surveyloom.functions.arrays import squeezed
 from surveyloom.functions.cells import remap
 
 
@@ -16,7 +18,8 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def _binary(truth: Column, guess: Column) -> list[Column]:
+def binary_columns(truth: Column, guess: Column) -> list[Column]:
+    """accuracy, f1, precision and recall as aggregates."""
     tp = F.count_if((truth == 1) & (guess == 1))
     fp = F.count_if((truth != 1) & (guess == 1))
     fn = F.count_if((truth == 1) & (guess != 1))
@@ -40,7 +43,7 @@ def binary_metrics(
     df: DataFrame, label: str, prediction: str, by: list[str] | None = None
 ) -> DataFrame:
     """(accuracy, f1, precision, recall) with 1 as the positive class."""
-    return df.groupBy(*(by or [])).agg(*_binary(F.col(label), F.col(prediction)))
+    return df.groupBy(*(by or [])).agg(*binary_columns(F.col(label), F.col(prediction)))
 
 
 def label_precision(truth: Column, guess: Column) -> Column:
@@ -88,7 +91,7 @@ def relevance_metrics(
     relevance = [
         c.alias(f"relevant_{name}")
         for c, name in zip(
-            _binary(remap(truth, mapping), remap(guess, mapping)),
+            binary_columns(remap(truth, mapping), remap(guess, mapping)),
             ["accuracy", "f1", "precision", "recall"],
         )
     ]
@@ -102,7 +105,9 @@ def relevance_metrics(
 def metrics_for(
     df: DataFrame, label: str, prediction: str, task_type: str, by: list[str] | None = None
 ) -> DataFrame:
-    """Binary metrics for class tasks, regression metrics for all others."""
+    """Binary metrics for class tasks, regression metrics for all others; one-element lists are unpacked."""
+    if isinstance(df.schema[prediction].dataType, ArrayType):  # models answer with one-element lists
+        df = df.withColumn(prediction, squeezed(F.col(prediction)))
     chosen = binary_metrics if task_type == "class" else regression_metrics
     return chosen(df, label, prediction, by)
 

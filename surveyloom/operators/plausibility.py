@@ -8,7 +8,9 @@ logistic regression with tree-aggregated gradients.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.ml import PipelineModel
@@ -22,8 +24,9 @@ from surveyloom import fixed_values as fv
 from surveyloom.config import PlausibilityParams
 from surveyloom.functions.arrays import argmax
 from surveyloom.operators.grid import grid_rows, param_draws
-from surveyloom.operators.metrics import binary_metrics
+from surveyloom.operators.metrics import binary_columns, binary_metrics
 from surveyloom.operators.ranks import fold_split
+from surveyloom.sources.scratch import materialise
 
 
 def value_tokens(columns: list[str]) -> Column:
@@ -80,7 +83,7 @@ def train_plausibility(vectors: DataFrame, params: PlausibilityParams, label: st
         featuresCol="features",
         labelCol=label,
         maxIter=params.max_iter,
-        regParam=params.learning_rate,
+        regParam=params.weight_decay,
         probabilityCol="_scores",
         rawPredictionCol="_raw",
         predictionCol="_predicted",
@@ -120,26 +123,62 @@ def score_with(
     return df.mapInPandas(run, f"{fields}, `{name}` {dtype}")
 
 
+def fold_metrics(scored: DataFrame, label: str = "labels", by: list[str] | None = None) -> DataFrame:
+    """Per group: test rows, binary metrics and the rate of the larger class."""
+    by = by or []
+    truth, guess = F.col(label), F.col("prediction")
+    larger = F.greatest(F.sum(truth), F.count("*") - F.sum(truth)) / F.count("*")
+    return scored.groupBy(*by).agg(
+        F.count("*").alias("test_rows"),
+        F.sum(truth).alias("positives"),
+        *binary_columns(truth, guess),
+        larger.alias("majority_rate"),
+    )
+
+
+def token_collisions(
+    rows: DataFrame, features: list[str], targets: list[str], params: PlausibilityParams
+) -> float:
+    """Share of the distinct tokens that have no place of the vector to themselves."""
+    tokens = value_tokens([*features, *targets])
+    if params.crosses:
+        tokens = crossed_tokens(tokens, len(features), len(targets))
+    # the vectoriser's own hash
+    distinct = rows.select(F.explode(tokens).alias("token")).distinct()
+    place = F.pmod(F.hash("token"), F.lit(params.hash_dimensions))
+    places = distinct.groupBy(place.alias("place")).agg(F.count("*").alias("n"))
+    share = F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n")
+    return places.agg(share).first()[0] or 0.0
+
+
+def side_by_side(work: Callable, items: list, parallel: int = 1) -> list:
+    """work(item) for every item, ``parallel`` of them at a time; results in order."""
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        return list(pool.map(work, items))
+
+
 def cross_validate(
     vectors: DataFrame,
     params: PlausibilityParams,
     folds: list[int],
     fold_col: str = "fold",
     label: str = "labels",
+    parallel: int = 1,
 ) -> DataFrame:
-    """(fold, accuracy, f1, precision, recall): one model per listed fold."""
-    scored = None
-    for fold in folds:
+    """(fold, test_rows, positives, accuracy, f1, precision, recall, majority_rate): one model per listed fold."""
+
+    def held_out(fold: int) -> DataFrame:
         train, test = fold_split(vectors, fold, fold_col)
-        part = score(train_plausibility(train, params, label), test).select(
-            fold_col, label, "prediction"
-        )
-        scored = part if scored is None else scored.unionAll(part)
-    return binary_metrics(scored, label, "prediction", by=[fold_col])
+        return score(train_plausibility(train, params, label), test).select(fold_col, label, "prediction")
 
+    parts = side_by_side(held_out, folds, parallel)
+    return fold_metrics(functools.reduce(DataFrame.unionAll, parts), label, [fold_col])
 
-def grid_of(base: PlausibilityParams, epochs: list[int], rates: list[float]) -> list[PlausibilityParams]:
-    return [base.with_values(**p) for p in grid_rows({}, num_epochs=epochs, learning_rate=rates)]
+
+def grid_of(
+    base: PlausibilityParams, epochs: list[int], weight_decays: list[float]
+) -> list[PlausibilityParams]:
+    return [base.with_values(**p) for p in grid_rows({}, num_epochs=epochs, weight_decay=weight_decays)]
 
 
 def drawn_trials(
@@ -150,7 +189,7 @@ def drawn_trials(
     one_search = spark.range(1).withColumnRenamed("id", "search")
     table = param_draws(one_search, trials, seed, ["search"], ranges={"num_train_epochs": epoch_range})
     return [
-        base.with_values(num_epochs=row["num_train_epochs"], learning_rate=row["learning_rate"])
+        base.with_values(num_epochs=row["num_train_epochs"], weight_decay=row["weight_decay"])
         for row in table.orderBy("trial").collect()
     ]
 
@@ -161,27 +200,28 @@ def search_best(
     folds: list[int],
     fold_col: str = "fold",
     label: str = "labels",
+    parallel: int = 1,
 ) -> tuple[PlausibilityParams, DataFrame]:
     """Best settings by mean accuracy over the folds, and the table of all trials."""
-    table = None
-    for number, params in enumerate(trials):
-        result = cross_validate(vectors, params, folds, fold_col, label).select(
+
+    def tried(number: int) -> DataFrame:
+        result = cross_validate(vectors, trials[number], folds, fold_col, label)
+        return result.select(
             F.lit(number).alias("trial"),
-            F.lit(params.num_epochs).alias("num_epochs"),
-            F.lit(params.learning_rate).alias("learning_rate"),
-            F.col(fold_col),
-            "accuracy",
-            "f1",
+            F.lit(trials[number].num_epochs).alias("num_epochs"),
+            F.lit(trials[number].weight_decay).alias("weight_decay"),
+            "accuracy", "f1", "majority_rate",
         )
-        table = result if table is None else table.unionAll(result)
-    means = (
-        table.groupBy("trial", "num_epochs", "learning_rate")
-        .agg(F.avg("accuracy").alias("accuracy"), F.avg("f1").alias("f1"))
-        .orderBy(F.desc("accuracy"), "trial")
+
+    parts = side_by_side(tried, list(range(len(trials))), parallel)
+    means = materialise(
+        functools.reduce(DataFrame.unionAll, parts).groupBy("trial", "num_epochs", "weight_decay").agg(
+            *(F.avg(c).alias(c) for c in ("accuracy", "f1", "majority_rate"))
+        ),
+        "trials",
     )
-    rows = means.collect()  # one row per trial
-    best = trials[rows[0]["trial"]]
-    return best, vectors.sparkSession.createDataFrame(rows, means.schema)
+    first = means.orderBy(F.desc("accuracy"), "trial").first()
+    return trials[first["trial"]], means
 
 
 def save_model(model, path: str) -> None:

@@ -33,13 +33,16 @@ def typed_label(label: Column, task_type: str) -> Column:
 def token_arrays(
     df: DataFrame,
     text_col: str,
-    cutoff: int,
     end_token: str,
     label_col: str | None = None,
     task_type: str = "class",
+    cutoff: int | None = None,
 ) -> DataFrame:
-    """Add ``input_ids`` (word tokens), ``attention_mask`` and, if given, ``labels``."""
-    tokens = df.withColumn("input_ids", closed_tokens(words(F.col(text_col)), cutoff, end_token))
+    """Add ``input_ids`` (word tokens of the whole text), ``attention_mask`` and, if given, ``labels``.
+
+    ``cutoff`` keeps the first tokens only, for models with a fixed window.
+    """
+    tokens = df.withColumn("input_ids", closed_tokens(words(F.col(text_col)), end_token, cutoff))
     tokens = tokens.withColumn("attention_mask", ones_like(F.col("input_ids")))
     if label_col is None:
         return tokens
@@ -77,14 +80,22 @@ def supervised_records(
 def pad_batches(
     df: DataFrame, ids_col: str, keys: list[str], batch_size: int, seed: str, padding="0"
 ) -> DataFrame:
-    """Shuffle into batches and left-pad each list to the longest of its batch."""
-    ranked = hash_rank(df, keys, f"{seed}:batch", "_rank")
-    batched = ranked.withColumn(
-        "batch_no", int_div(F.col("_rank"), F.lit(batch_size).cast("bigint"))
-    ).drop("_rank")
-    longest = F.max(F.size(ids_col)).over(Window.partitionBy("batch_no"))
+    """Shuffle into batches and left-pad each list to the longest of its batch.
+
+    Batches and their lengths are found on keys and list sizes alone; the lists
+    themselves move once, to meet them.
+    """
+    sizes = df.select(*keys, F.size(ids_col).alias("_size"))
+    batch = int_div(F.col("_rank"), F.lit(batch_size).cast("bigint"))
+    longest = F.max("_size").over(Window.partitionBy("batch_no"))
+    places = (
+        hash_rank(sizes, keys, f"{seed}:batch", "_rank")
+        .withColumn("batch_no", batch)
+        .withColumn("_longest", longest)
+        .select(*keys, "batch_no", "_longest")
+    )
     return (
-        batched.withColumn("_longest", longest)
+        df.join(places, keys)
         .withColumn("_gap", F.col("_longest") - F.size(ids_col))
         .withColumn(
             "attention_mask",
@@ -108,11 +119,10 @@ def length_histogram(df: DataFrame, length: Column, bins: int = fv.LENGTH_BINS)
         .groupBy("_length")
         .agg(F.count("*").alias("_rows"))
     )
-    low, high = F.min("_length").over(Window.partitionBy()), F.max("_length").over(Window.partitionBy())
-    half = F.when(F.col("_min") == F.col("_max"), F.lit(0.5)).otherwise(F.lit(0.0))
-    placed = lengths.select("*", low.alias("_min"), high.alias("_max")).select(
-        "_length", "_rows", (F.col("_min") - half).alias("_low"), (F.col("_max") + half).alias("_high")
-    )
+    ends = lengths.agg(F.struct(F.min("_length").alias("low"), F.max("_length").alias("high"))).scalar()
+    low, high = ends.getField("low"), ends.getField("high")
+    half = F.when(low == high, F.lit(0.5)).otherwise(F.lit(0.0))
+    placed = lengths.select("_length", "_rows", (low - half).alias("_low"), (high + half).alias("_high"))
     number = F.floor(
         (F.col("_length") - F.col("_low")) * F.lit(bins) / (F.col("_high") - F.col("_low"))
     )

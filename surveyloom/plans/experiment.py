@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.config import ExperimentConfig, SurveyConfig
-from surveyloom.operators import information, ranks
+from surveyloom.config import ExperimentConfig, PlausibilityParams, SurveyConfig
+from surveyloom.operators import clean, information, ranks
 from surveyloom.operators.candidates import generate_candidates
-from surveyloom.operators.clean import prepare
 from surveyloom.operators.covariance import covariance_report
-from surveyloom.operators.labels import dictionary_of, domain_violations
-from surveyloom.operators.metrics import binary_metrics
+from surveyloom.operators.labels import dictionary_of, domain_violations, variable_dictionary
 from surveyloom.operators.plausibility import (
     drawn_trials,
+    fold_metrics,
     grid_of,
+    load_model,
+    save_model,
     score,
     search_best,
+    side_by_side,
+    token_collisions,
     train_plausibility,
     with_vectors,
 )
@@ -29,31 +32,28 @@ from surveyloom.plans.training_set import (
 )
 from surveyloom.sources.readers import read_candidates, read_run
 from surveyloom.sources.scratch import materialise
-from surveyloom.sources.writers import append_rows, run_name, write_run
-
-DRAWS_PER_ROW_BEFORE_SPREADING = 64
-CANDIDATES_PER_TASK = 1_000_000
+from surveyloom.sources.writers import run_name, run_path, write_run
 
 LEDGER_SCHEMA = (
-    "feature_count int, grid_no int, num_epochs int, learning_rate double, fold int, "
+    "feature_count int, grid_no int, num_epochs int, weight_decay double, fold int, test_rows bigint, "
     "accuracy double, f1 double, precision double, recall double, majority_rate double, "
-    "accepted bigint, frobenius_norm double"
+    "accepted bigint, frobenius_norm double, token_collisions double"
 )
 
 
-def _spread(rows: int, candidates: int) -> int | None:
-    """Deal out the draws first when few rows must become very many candidates."""
-    if candidates <= rows * DRAWS_PER_ROW_BEFORE_SPREADING or candidates <= CANDIDATES_PER_TASK:
-        return None
-    return -(-candidates // CANDIDATES_PER_TASK)
-
-
 def _require_legal_targets(real: DataFrame, config: SurveyConfig) -> None:
     bad = domain_violations(real, config.targets, config.labels).where("rows > 0").collect()
     if bad:
         raise ValueError(f"rows outside the legal answers: {[r.asDict() for r in bad]}")
 
 
+def _write_profile(num: DataFrame, out_dir: str) -> None:
+    """What the raw table lacks: missing codes, nulls and cells that are no number."""
+    write_run(clean.missing_code_counts(num), f"{out_dir}/missing_codes", "input")
+    write_run(clean.null_profile(num), f"{out_dir}/nulls", "input")
+    write_run(clean.unparseable_counts(num), f"{out_dir}/unparseable", "input")
+
+
 def run_experiment(
     spark: SparkSession,
     num: DataFrame,
@@ -67,104 +67,114 @@ def run_experiment(
     """Prepare, generate, train, evaluate, score and compare; returns the ledger.
 
     What does not depend on the grid point is done once: cleaning, the feature
-    ranking, the join with the texts, the candidates. Each table that is read
-    several times is written to the shared folder first. With ``search_trials`` the
-    grid is replaced by the best of that many drawn settings.
+    ranking, the join with the texts, the candidates, their vectors. Every grid
+    point and fold has its own folder in each output table, which a repetition
+    replaces, and its own line in the ledger. With ``search_trials`` the grid is
+    replaced by the best of that many drawn settings.
     """
     config, sizes = config or SurveyConfig(), sizes or ExperimentConfig()
     targets, id_col = config.targets, config.id_col
-    labels_of_names = dictionary_of(dictionary)
-    clean = materialise(prepare(num, targets, id_col), "clean")
-    ranks.require_unique(clean, [id_col])
-    sums = materialise(rank_features(clean, config), "mi")
+    labels_of_names = dictionary_of(variable_dictionary(dictionary))
+    _write_profile(num, out_dir)
+    cleaned = materialise(clean.prepare(num, targets, id_col), "clean")
+    ranks.require_unique(cleaned, [id_col])
+    sums = materialise(rank_features(cleaned, config), "mi")
 
     # the largest feature set holds every smaller one, and candidates do not depend
     # on the features at all: join and draw once, then read fewer columns
     ranked = information.feature_names(
         information.top_k_features(sums, max(sizes.feature_counts))
     )
-    all_real = materialise(text_dataset(text, clean, config, ranked), "real")
+    all_real = materialise(text_dataset(text, cleaned, config, ranked), "real")
     _require_legal_targets(all_real, config)
     all_candidates = materialise(
         generate_candidates(
             all_real, targets, config.labels, sizes.candidates, id_col, "text", config.seed,
-            _spread(all_real.count(), sizes.candidates),
+            sizes.candidate_partitions,
         ),
         "candidates",
     )
 
+    points = []
     for k in sizes.feature_counts:
         features = ranked[:k]
         columns = [id_col, *features, *targets]
-        numbers = number_dataset(clean, config, features)
-        write_run(numbers, f"{out_dir}/number_dataset", f"f{k}")
+        write_run(number_dataset(cleaned, config, features), f"{out_dir}/number_dataset", f"f{k}")
         built = build_training_set(
             all_real.select(*columns), all_candidates.select(*columns, "draw_no"), config,
             labels_of_names, features, sizes.train_candidates,
         )
         write_run(built.remaining, f"{out_dir}/remain_dataset", f"f{k}")
         # one hashing pass serves every grid point and fold; training reads only
-        # the vector and label columns of the stored table
+        # the vector and label columns of the stored tables
         folded = assign_folds(built.training, sizes.folds, config, sizes.fold_by)
         vectors = materialise(with_vectors(folded, features, targets, sizes.base), "vectors")
-        write_run(vectors.drop("fold", "features"), f"{out_dir}/text_dataset", f"f{k}")
+        write_run(vectors.drop("features"), f"{out_dir}/text_dataset", f"f{k}")
         remaining = read_candidates(spark, f"{out_dir}/remain_dataset", f"f{k}")
-        remaining_vectors = with_vectors(remaining, features, targets, sizes.base)
+        remaining = materialise(with_vectors(remaining, features, targets, sizes.base), "remaining")
+        collisions = token_collisions(vectors, features, targets, sizes.base)
         folds = list(range(sizes.folds)) if sizes.run_folds is None else sizes.run_folds
-        grid = grid_of(sizes.base, sizes.epochs, sizes.learning_rates)
+        grid = grid_of(sizes.base, sizes.epochs, sizes.weight_decays)
         if search_trials:
             drawn = drawn_trials(spark, sizes.base, search_trials, config.seed, sizes.search_epochs)
-            best, trials = search_best(vectors, drawn, folds)
+            best, trials = search_best(vectors, drawn, folds, parallel=sizes.parallel_fits)
             write_run(trials, f"{out_dir}/search", f"f{k}")
             grid = [best]
-        for grid_no, params in enumerate(grid):
-            for fold in folds:
-                _run_point(
-                    spark, out_dir, config, k, grid_no, params, fold, vectors,
-                    remaining_vectors, numbers, write_scored=fold == folds[0],
-                )
-    return spark.read.schema(LEDGER_SCHEMA).parquet(f"{out_dir}/ledger")
-
-
-def _run_point(
-    spark, out_dir, config, k, grid_no, params, fold, vectors, remaining_vectors, numbers,
-    write_scored,
-) -> None:
-    """Train one model, evaluate its fold, score the held-back rows, note the result."""
-    run_id = run_name(k, grid_no)
-    train, test = ranks.fold_split(vectors, fold)
-    model = train_plausibility(train, params)
-    scored = score(model, test)
-    metrics = binary_metrics(scored, "labels", "prediction", by=["fold"]).join(
-        test.groupBy("fold").agg(
-            (F.greatest(F.sum("labels"), F.count("*") - F.sum("labels")) / F.count("*")).alias(
-                "majority_rate"
-            )
-        ),
-        "fold",
-    )
-    accepted = F.lit(None).cast("bigint")
-    norm = F.lit(None).cast("double")
-    if write_scored:
-        write_run(scored, f"{out_dir}/scored_test", run_id)
-        write_run(score(model, remaining_vectors), f"{out_dir}/scored_candidates", run_id)
-        table = read_run(spark, f"{out_dir}/scored_candidates", run_id)
-        diff, frobenius = covariance_report(numbers, table, config.targets, config.labels)
-        write_run(diff, f"{out_dir}/covariance", run_id)
-        norm = frobenius.scalar()
-        accepted = table.where(F.col("prediction") == 1).agg(F.count("*")).scalar()
-    line = metrics.select(
-        F.lit(k).alias("feature_count"),
-        F.lit(grid_no).alias("grid_no"),
-        F.lit(params.num_epochs).alias("num_epochs"),
-        F.lit(params.learning_rate).alias("learning_rate"),
-        F.col("fold").cast("int").alias("fold"),
-        "accuracy",
-        "f1",
-        "precision",
-        "recall",
-        "majority_rate",
-        accepted.alias("accepted"),
-        norm.alias("frobenius_norm"),
-    )
-    append_rows(line, f"{out_dir}/ledger")
+        points += [
+            Point(k, grid_no, params, fold, vectors, remaining, collisions)
+            for grid_no, params in enumerate(grid)
+            for fold in folds
+        ]
+    real_numbers = cleaned.select(*targets)
+    side_by_side(lambda point: point.run(out_dir, config, real_numbers), points, sizes.parallel_fits)
+    paths = [run_path(f"{out_dir}/ledger", point.run_id) for point in points]
+    return spark.read.schema(LEDGER_SCHEMA).parquet(*paths)
+
+
+class Point:
+    """One model: a grid point on one fold."""
+
+    def __init__(
+        self, k: int, grid_no: int, params: PlausibilityParams, fold: int, vectors: DataFrame,
+        remaining: DataFrame, collisions: float,
+    ):
+        self.k, self.grid_no, self.params, self.fold = k, grid_no, params, fold
+        self.vectors, self.remaining, self.collisions = vectors, remaining, collisions
+        self.run_id = run_name(k, grid_no, fold)
+
+    def run(self, out_dir: str, config: SurveyConfig, real_numbers: DataFrame) -> None:
+        """Train, evaluate the fold, score the held-back rows, compare, note the result."""
+        train, test = ranks.fold_split(self.vectors, self.fold)
+        model = train_plausibility(train, self.params)
+        save_model(model, run_path(f"{out_dir}/models", self.run_id))
+        write_run(score(model, test), f"{out_dir}/scored_test", self.run_id)
+        write_run(score(model, self.remaining), f"{out_dir}/scored_candidates", self.run_id)
+        spark = test.sparkSession
+        tested = read_run(spark, f"{out_dir}/scored_test", self.run_id)
+        scored = read_run(spark, f"{out_dir}/scored_candidates", self.run_id)
+        diff = materialise(covariance_report(real_numbers, scored, config.targets, config.labels), "covariance")
+        write_run(diff, f"{out_dir}/covariance", self.run_id)
+        accepted = scored.agg(F.count_if(F.col("prediction") == 1)).scalar()
+        # undefined where fewer than two candidates were accepted: NaN, not absent
+        norm = F.coalesce(diff.agg(F.first("frobenius_norm")).scalar(), F.lit(float("nan")))
+        line = fold_metrics(tested).select(
+            F.lit(self.k).alias("feature_count"),
+            F.lit(self.grid_no).alias("grid_no"),
+            F.lit(self.params.num_epochs).alias("num_epochs"),
+            F.lit(self.params.weight_decay).alias("weight_decay"),
+            F.lit(self.fold).alias("fold"),
+            "test_rows", "accuracy", "f1", "precision", "recall", "majority_rate",
+            accepted.alias("accepted"),
+            norm.alias("frobenius_norm"),
+            F.lit(self.collisions).alias("token_collisions"),
+        )
+        write_run(line, f"{out_dir}/ledger", self.run_id)
+
+
+def score_saved_model(
+    spark: SparkSession, out_dir: str, run_id: str, rows: DataFrame, features: list[str],
+    config: SurveyConfig, params: PlausibilityParams,
+) -> DataFrame:
+    """Score spelled-out rows with the model that a run has saved."""
+    model = load_model(run_path(f"{out_dir}/models", run_id))
+    return score(model, with_vectors(rows, features, config.targets, params))

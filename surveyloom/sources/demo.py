@@ -31,16 +31,11 @@ DICTIONARY = {
     "region": "world region", "pricebin": "price band", "nation": "nation number",
     "yr": "order year", "mon": "order month", "balbin": "balance group",
 }
-TASK_TYPES = {
-    "pricebin": "continuous", "prio": "sequence", "seg": "class", "region": "class",
-    "status": "class",
-}
 CONFIG = SurveyConfig(
     targets=TARGETS,
     weight_cols=["wt"],
     near_duplicates={"pricebin": ["pricegrp"]},
     labels=LABELS,
-    task_types=TASK_TYPES,
 )
 
 

@@ -19,13 +19,15 @@ def read_survey_csv(
 ) -> DataFrame:
     """A survey table with a header line; every cell text, the id a whole number.
 
-    Naming all ``columns`` up front spares the look at the header. Cells that
-    usual survey readers take for empty become null.
+    ``columns`` are taken by the names in the header, whatever their order there.
+    Files whose headers differ from the first one's, and lines with too few or too
+    many cells, are errors. Cells that usual survey readers take for empty become null.
     """
     reader = spark.read.option("header", True).option("multiLine", False).option("escape", '"')
+    schema = StructType([StructField(c, StringType()) for c in reader.csv(path).columns])
+    raw = reader.schema(schema).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
     if columns is not None:
-        reader = reader.schema(StructType([StructField(c, StringType()) for c in columns]))
-    raw = reader.csv(path)
+        raw = raw.select(*columns)
     empty = fv.EMPTY_CELLS if empty_cells is None else empty_cells
     return raw.select(
         *[

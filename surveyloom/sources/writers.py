@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from surveyloom.operators.labels import code_map_text
 
 
-def run_name(feature_count: int, grid_no: int) -> str:
-    return f"f{feature_count}-{grid_no}"
+def run_name(feature_count: int, grid_no: int, fold: int | None = None) -> str:
+    return f"f{feature_count}-{grid_no}" if fold is None else f"f{feature_count}-{grid_no}-{fold}"
+
+
+def run_path(path: str, run_id: str, split: str | None = None) -> str:
+    """A run's own folder, named so that reading ``path`` finds run and split as columns."""
+    return f"{path}/run_id={run_id}" if split is None else f"{path}/run_id={run_id}/split={split}"
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -21,12 +25,8 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def write_run(df: DataFrame, path: str, run_id: str, split: str | None = None) -> None:
-    """One run's rows, under its own partition; repeating a run replaces it."""
-    marked = df.withColumn("run_id", F.lit(run_id))
-    keys = ["run_id"]
-    if split is not None:
-        marked, keys = marked.withColumn("split", F.lit(split)), ["run_id", "split"]
-    write_table(marked, path, keys)
+    """One run's rows, in its own folder; repeating a run replaces it, also by no rows."""
+    df.write.mode("overwrite").parquet(run_path(path, run_id, split))
 
 
 def append_rows(df: DataFrame, path: str) -> None:
@@ -35,7 +35,7 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 
 def write_code_map(labels: DataFrame, path: str, key: str = "code", value: str = "label") -> None:
-    """The nested map as one JSON line; the table is of config size."""
+    """The nested map as one JSON line, as configuration files have it; one entry per target and code."""
     code_map_text(labels, key, value).coalesce(1).write.mode("overwrite").text(path)
 
 

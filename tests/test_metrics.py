@@ -84,11 +84,12 @@ def test_covariance_report(spark):
     scored = spark.createDataFrame(
         [("one", "x", 1), ("three", "y", 1), ("two", "y", 1), ("two", "x", 0)], "a string, b string, prediction int"
     )
-    diff, norm = covariance.covariance_report(real, scored, ["a", "b"], labels)
+    diff = covariance.covariance_report(real, scored, ["a", "b"], labels)
     expected = np.cov([[1, 2, 3], [2, 1, 1]]) - np.cov([[1, 3, 2], [1, 2, 2]])
     got = {(r.row, r.col): r["diff"] for r in diff.collect()}
     assert got["a", "b"] == got["b", "a"] == pytest.approx(expected[0, 1])
-    assert norm.collect()[0].frobenius_norm == pytest.approx(np.linalg.norm(expected, "fro"))
+    assert covariance.frobenius_norm(diff).collect()[0].frobenius_norm == diff.first().frobenius_norm
+    assert diff.first().frobenius_norm == pytest.approx(np.linalg.norm(expected, "fro"))
     matrix = spark.createDataFrame([("a", "a", 7.5), ("a", "b", -3.5), ("b", "b", 1.0)], "row string, col string, cov double")
     assert [r.cov for r in covariance.clamped(matrix).collect()] == [3.0, -3.0, 1.0]
 

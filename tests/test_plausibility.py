@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from surveyloom.config import ExperimentConfig, PlausibilityParams
 from surveyloom.operators import candidates, plausibility, ranks
 from surveyloom.plans import training_set as study
-from surveyloom.plans.experiment import _spread, run_experiment
+from surveyloom.plans.experiment import run_experiment, score_saved_model
 from surveyloom.sources import demo, scratch
 
 PARAMS = PlausibilityParams(num_epochs=2)
@@ -92,15 +92,17 @@ def test_search(parts):
     assert sorted(r.fold for r in per_fold.collect()) == [0, 4]
     trials = plausibility.grid_of(PARAMS, [1, 2], [1e-3, 100.0])
     assert len(trials) == 4
-    best, table = plausibility.search_best(vectors, trials, [0])
-    assert best.learning_rate == 1e-3 and table.count() == 4
+    best, table = plausibility.search_best(vectors, trials, [0], parallel=2)
+    assert best.weight_decay == 1e-3 and table.count() == 4
+    tried = {r.weight_decay: r.accuracy for r in table.collect()}
+    assert tried[1e-3] > tried[100.0]  # weight decay changes the model
 
 
 def test_drawn_settings(spark):
     drawn = plausibility.drawn_trials(spark, PARAMS, 30, "s")
     assert len(drawn) == 30 and drawn == plausibility.drawn_trials(spark, PARAMS, 30, "s")
     assert all(15 <= p.num_epochs <= 25 for p in drawn)
-    assert {p.learning_rate for p in drawn} <= {5e-5, 1e-4, 2e-4, 3e-4, 5e-4, 1e-3}
+    assert {p.weight_decay for p in drawn} == {0.01, 0.03, 0.05, 0.1, 0.2}
     assert len(set(drawn)) > 10
 
 
@@ -125,11 +127,11 @@ def test_own_scorer(spark):
     assert {r.id: r.prediction for r in scored.collect()} == {i: i / 2 for i in range(10)}
 
 
-def test_spread():
-    assert _spread(1000, 2000) is None
-    assert _spread(10, 2000) is None
-    assert _spread(1000, 10**9) == 1000
-    assert _spread(10**9, 10**10) is None
+def test_collisions_are_counted(parts):
+    rows = parts[3]
+    few = plausibility.token_collisions(rows, FEATURES, T, PARAMS.with_values(hash_dimensions=64))
+    assert few == 1.0
+    assert plausibility.token_collisions(rows, FEATURES, T, PARAMS) < 0.02
 
 
 def test_experiment(spark, sf, tmp_path):
@@ -144,13 +146,45 @@ def test_experiment(spark, sf, tmp_path):
     rows = ledger.orderBy("feature_count", "fold").collect()
     assert [(r.feature_count, r.grid_no, r.fold) for r in rows] == [(1, 0, 0), (1, 0, 2), (3, 0, 0), (3, 0, 2)]
     assert all(0 <= r.accuracy <= 1 and 0.5 <= r.majority_rate <= 1 for r in rows)
-    assert all((r.frobenius_norm is not None) == (r.fold == 0) for r in rows)
+    assert all(value is not None for r in rows for value in r)  # every point is scored and compared
+    points = {"f1-0-0": 500, "f1-0-2": 500, "f3-0-0": 500, "f3-0-2": 500}
     scored = spark.read.parquet(f"{out}/scored_candidates")
-    assert {r.run_id: r["count"] for r in scored.groupBy("run_id").count().collect()} == {"f1-0": 500, "f3-0": 500}
-    assert spark.read.parquet(f"{out}/text_dataset").where("run_id = 'f1'").count() == 866 + 400
-    assert spark.read.parquet(f"{out}/covariance").count() == 2 * 25
+    assert {r.run_id: r["count"] for r in scored.groupBy("run_id").count().collect()} == points
     accepted = {r.run_id: r["count"] for r in scored.where("prediction = 1").groupBy("run_id").count().collect()}
-    assert {f"f{r.feature_count}-0": r.accepted for r in rows if r.fold == 0 and r.accepted} == accepted
+    assert {p: accepted.get(p, 0) for p in points} == {f"f{r.feature_count}-0-{r.fold}": r.accepted for r in rows}
+    assert spark.read.parquet(f"{out}/covariance").count() == 4 * 25
+    texts = spark.read.parquet(f"{out}/text_dataset/run_id=f1")
+    assert texts.count() == 866 + 400 and {r.fold for r in texts.select("fold").distinct().collect()} == {0, 1, 2}
+    assert spark.read.parquet(f"{out}/missing_codes").where("cells > 0").count() > 0
+    assert spark.read.parquet(f"{out}/nulls").count() == spark.read.parquet(f"{out}/unparseable").count() == len(num.columns)
+    held_back = spark.read.parquet(f"{out}/remain_dataset/run_id=f1")
+    features = [c for c in held_back.columns if c not in ("id", "draw_no", "text", *T)]
+    again = score_saved_model(spark, out, "f1-0-2", held_back, features, demo.CONFIG, sizes.base)
+    keys = ["id", "draw_no", "prediction"]
+    assert again.select(*keys).exceptAll(spark.read.parquet(f"{out}/scored_candidates/run_id=f1-0-2").select(*keys)).isEmpty()
+
+
+def test_nothing_held_back_and_a_repeated_run(spark, sf, tmp_path):
+    num = scratch.materialise(demo.survey_num(spark, sf), "num")
+    names = spark.createDataFrame(list(demo.DICTIONARY.items()), "name string, simplab string")
+    out = str(tmp_path / "out")
+
+    def run(train):
+        sizes = ExperimentConfig(feature_counts=[1], epochs=[1], candidates=900, train_candidates=train, folds=2, run_folds=[0])
+        return run_experiment(spark, num, demo.spelled_out(num), names, out, demo.CONFIG, sizes)
+
+    assert run(400).count() == 1
+    line = run(900)  # replaces the run before, with no candidate left
+    assert line.count() == 1 and line.first().accepted == 0
+    assert spark.read.parquet(f"{out}/remain_dataset/run_id=f1").count() == 0
+    assert spark.read.parquet(f"{out}/scored_candidates/run_id=f1-0-0").count() == 0
+
+
+def test_clashing_dictionary_is_an_error(spark, sf, tmp_path):
+    num = scratch.materialise(demo.survey_num(spark, sf), "num")
+    names = spark.createDataFrame([("yr", "order year"), ("yr", "other")], "name string, simplab string")
+    with pytest.raises(Exception, match="different labels"):
+        run_experiment(spark, num, demo.spelled_out(num), names, str(tmp_path), demo.CONFIG, ExperimentConfig([1]))
 
 
 def test_illegal_answers_stop_the_experiment(spark, sf, tmp_path):

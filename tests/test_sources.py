@@ -16,6 +16,24 @@ def test_csv_cells_stay_text(spark, tmp_path):
     assert {r.a for r in raw.collect()} == {"16", None, "NA"}
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    path = tmp_path / "n.csv"
+    path.write_text("id,b,a\n1,bee,ay\n")
+    assert [r.asDict() for r in readers.read_survey_csv(spark, str(path), ["id", "a", "b"]).collect()] == [
+        {"id": 1, "a": "ay", "b": "bee"}
+    ]
+    with pytest.raises(Exception):
+        readers.read_survey_csv(spark, str(path), ["id", "c"]).collect()
+    path.write_text("id,b,a\n1,bee\n")
+    with pytest.raises(Exception):
+        readers.read_survey_csv(spark, str(path)).collect()
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "1.csv").write_text("id,a,b\n1,x,y\n")
+    (tmp_path / "two" / "2.csv").write_text("id,b,a\n2,x,y\n")
+    with pytest.raises(Exception):
+        readers.read_survey_csv(spark, str(tmp_path / "two")).collect()
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "quoted", cell', None), (2, "don't", ".n")], "id bigint, x string, y string")
     writers.write_csv(df, str(tmp_path / "t"))
@@ -32,6 +50,8 @@ def test_runs_replace_only_themselves(spark, tmp_path):
     counts = {r.run_id: r["count"] for r in spark.read.parquet(path).groupBy("run_id").count().collect()}
     assert counts == {"f50-0": 1, "f50-1": 3}
     assert readers.read_candidates(spark, path, "f50-1").count() == 3
+    writers.write_run(df.limit(0), path, "f50-1", "train")
+    assert readers.read_candidates(spark, path, "f50-1").count() == 0  # no rows replace rows
 
 
 def test_splits(spark, tmp_path):
