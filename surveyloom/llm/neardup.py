@@ -12,13 +12,15 @@ five symbols wrong with probability 0.26, all eight chunks with 0.00002.
 Candidates are confirmed on the full sets. That goes in two steps, as links matter
 only for the components they form:
 
-1. each class is held against the smallest class it shares an entry with; confirmed
-   links give first components;
+1. in every entry, the class that shares entries with most others, which in a group of
+   copies is one near their origin, is held against one class of each other component
+   (at first, against each class). Confirmed links join components; this is repeated
+   up to STAR_ROUNDS times, as long as it finds links;
 2. in entries that hold more than one component, every class outside the entry's
-   largest component is held against all members of other components. Among the
-   members of such entries, a class has at most as much in common with another as it
-   has shingles that are not its own alone; where that is too little for a link, as
-   with texts changed in too many places, the pair is not formed.
+   largest component is held against all members of other components. A pair is
+   formed only if the two also share one of their rarest shingles, of which they
+   could not miss all and still be similar: texts that were each changed in too many
+   places have too many rare shingles for that.
 
 No list of members is ever gathered: an entry is a key of joins that Spark may split.
 """
@@ -40,6 +42,7 @@ SYMBOLS = CHUNKS * CHUNK
 WORDS = SYMBOLS // 8
 #: A pair of the least similarity is further apart with probability 0.00002.
 FAR = 20
+STAR_ROUNDS = 3
 FEWEST = 4  # distinct sets of at most 3 shingles have a similarity below 0.8
 SEEDS = wordhash.mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 
@@ -194,8 +197,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _own_shingles(sets: DataFrame) -> DataFrame:
-    """(cid, own): how many shingles of a class no other class in `sets` has."""
+def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, rare): the shingles of a class that the fewest classes in `sets` have, rarest first.
+
+    As many as a set of at least `percent` similarity cannot all miss.
+    """
 
     def run(batches):
         for batch in batches:
@@ -206,29 +212,50 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
                 )
 
     rows = sets.mapInArrow(run, "shingle bigint, cid bigint")
-    lone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).where("n = 1")
-    return lone.groupBy("cid").agg(F.count("*").alias("own"))
+    known = materialise(rows.groupBy("shingle").agg(F.count("*").alias("classes")), "shingles")
+    order = F.array_sort(F.collect_list(F.struct("classes", "shingle")))
+    listed = rows.join(known, "shingle").groupBy("cid").agg(order.alias("all"))
+    count = F.size("all") - F.ceil(F.size("all") * percent / 100).cast("int") + 1
+    return listed.select("cid", F.slice(F.col("all.shingle"), F.lit(1), count).alias("rare"))
+
+
+def _star(labelled: DataFrame) -> DataFrame:
+    """Pairs (a, b): in every entry, the member in most company with one of each other component."""
+    lead = labelled.groupBy("key").agg(F.max(F.struct("company", "cid", "component")).alias("lead"))
+    apart = labelled.join(materialise(lead, "leads"), "key").where(F.col("component") != F.col("lead.component"))
+    one = apart.groupBy("key", "component", F.col("lead.cid").alias("lead")).agg(
+        F.max(F.struct("company", "cid")).alias("one")
+    )
+    other = F.col("one.cid")
+    return one.select(F.least("lead", other).alias("a"), F.greatest("lead", other).alias("b")).distinct()
 
 
-def _sided(classes: DataFrame, side: str) -> DataFrame:
-    """Size, shared shingles and signature of a class, named for one side of a pair."""
+def _sided(classes: DataFrame, side: str, *more: str) -> DataFrame:
+    """Size, signature and what else is named of a class, for one side of a pair."""
     return classes.select(
-        F.col("cid").alias(side), F.col("size").alias(f"n{side}"), F.col("shared").alias(f"m{side}"),
-        *(F.col(f"s{k}").alias(f"{side}{k}") for k in range(WORDS)),
+        F.col("cid").alias(side), F.col("size").alias(f"n{side}"), *(F.col(f"s{k}").alias(f"{side}{k}") for k in range(WORDS)),
+        *(F.col(name).alias(f"{name}_{side}") for name in more),
     )
 
 
 def _may_link(percent: int) -> Column:
-    """What sizes, shared shingles and signatures of a pair allow.
+    """What sizes and signatures of a pair allow."""
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (distance("a", "b") <= FAR)
+
+
+def _share_a_rare_shingle(percent: int) -> Column:
+    """Whether a pair may have enough in common.
 
-    Two sets have at most as much in common as either shares with any other, and
-    similar ones have at least percent / (100 + percent) of their sizes' sum.
+    It must share percent / (100 + percent) of its sizes' sum. A set that has so much
+    in common with another has, among more shingles than it may miss, a common one; with
+    both sets in one order, the rarest shingles of both must meet.
     """
-    return (
-        (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        & ((100 + percent) * F.least("ma", "mb") >= percent * (F.col("na") + F.col("nb")))
-        & (distance("a", "b") <= FAR)
-    )
+    needed = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+
+    def first(side: str) -> Column:
+        return F.slice(f"rare_{side}", F.lit(1), F.greatest(F.lit(0), F.col(f"n{side}") - needed + 1).cast("int"))
+
+    return F.arrays_overlap(first("a"), first("b"))
 
 
 def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -247,23 +274,28 @@ def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     keyed = _entry_rows(classes)
     shared = materialise(
-        keyed.groupBy("key").agg(F.min("cid").alias("least"), F.count("*").alias("members"))
-        .where("members > 1").drop("members"),
-        "shared",
+        keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared"
     )
     members = materialise(keyed.join(shared, "key"), "members")
-    star = members.where("cid <> least").groupBy(F.col("cid").alias("b")).agg(F.min("least").alias("a"))
-    known = classes.withColumn("shared", F.col("size"))
-    star = star.join(_sided(known, "a"), "a").join(_sided(known, "b"), "b").where(_may_link(percent)).select("a", "b")
-    star = materialise(star, "star")
-    sets = _sets_of(star.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), docs, classes, width)
-    links = materialise(_confirmed(star, sets, percent), "links")
-    first = connected_components(links, "a", "b")
-
-    labelled = members.select("key", "cid").join(first.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "key", "cid", F.coalesce("component", "cid").alias("component")
-    )
-    labelled = materialise(labelled, "labelled")
+    company = members.groupBy("cid").agg(F.sum("members").alias("company"))
+    members = materialise(members.join(materialise(company, "company"), "cid").drop("members"), "members")
+    sets = _sets_of(members.select("cid").distinct(), docs, classes, width)
+
+    links, labelled = None, members.withColumn("component", F.col("cid"))
+    for _ in range(STAR_ROUNDS):
+        star = _star(labelled)
+        star = star.join(_sided(classes, "a"), "a").join(_sided(classes, "b"), "b").where(_may_link(percent)).select("a", "b")
+        found = materialise(_confirmed(materialise(star, "star"), sets, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        first = connected_components(links, "a", "b")
+        labelled = materialise(
+            members.join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
+                "component", F.coalesce("component", "cid")
+            ),
+            "labelled",
+        )
+        if found.isEmpty():
+            break
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = materialise(
         sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"))
@@ -271,14 +303,13 @@ def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
         "mixed",
     )
     inside = materialise(labelled.join(mixed, "key"), "inside")
-    sets = _sets_of(inside.select("cid").distinct(), docs, classes, width)
-    known = classes.join(sets.select("cid"), "cid").join(_own_shingles(sets), "cid", "left")
-    known = materialise(known.withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))), "known")
+    left = sets.join(inside.select("cid").distinct(), "cid", "left_semi")
+    known = materialise(classes.join(_rare_shingles(left, percent), "cid"), "known")
     minor = inside.where("component <> major").select("key", F.col("cid").alias("a"), F.col("component").alias("ca"))
     other = inside.select("key", F.col("cid").alias("b"), F.col("component").alias("cb"), "major")
     across = (
-        minor.join(_sided(known, "a"), "a").join(other.join(_sided(known, "b"), "b"), "key")
-        .where("ca <> cb and (cb = major or a < b)").where(_may_link(percent))
+        minor.join(_sided(known, "a", "rare"), "a").join(other.join(_sided(known, "b", "rare"), "b"), "key")
+        .where("ca <> cb and (cb = major or a < b)").where(_may_link(percent) & _share_a_rare_shingle(percent))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     across = materialise(across, "across")
