@@ -82,6 +82,7 @@ def _draws(rows: int) -> int:
 
 def _candidates(num: DataFrame, mode: str = "text") -> DataFrame:
     source = _real(num) if mode == "text" else _answered(num).select("id", *FEATURES, *T)
+    source = scratch.materialise(source, "source")  # counted, cut and expanded
     return candidates.generate_candidates(
         source, T, LABELS, _draws(source.count()), mode=mode, seed=SEED
     )

@@ -99,11 +99,23 @@ def rank_cuts(
         )
         .select("_bucket", "_cut", "_rows", (F.col("_position") - F.col("_before")).alias("_place"))
     )
-    in_bucket = Window.partitionBy("_cut").orderBy("_digest")
+    # the same once more inside the found buckets, so that what is sorted in the end
+    # does not grow with the table: counts of at most 65,536 heads per cut
+    inside = marked.join(F.broadcast(wanted), "_bucket").withColumn(
+        "_head", F.substring("_digest", digits + 1, MAX_DIGITS)
+    )
+    upto = Window.partitionBy("_cut").orderBy("_head")
+    heads = (
+        inside.groupBy("_cut", "_head", "_place").agg(F.count("*").alias("_n"))
+        .withColumn("_upto", F.sum("_n").over(upto))
+        .where((F.col("_place") < F.col("_upto")) & (F.col("_place") >= F.col("_upto") - F.col("_n")))
+        .select("_cut", "_head", (F.col("_place") - F.col("_upto") + F.col("_n")).alias("_rest"))
+    )
+    within = Window.partitionBy("_cut").orderBy("_digest")
     found = (
-        marked.join(F.broadcast(wanted), "_bucket")
-        .withColumn("_number", F.row_number().over(in_bucket) - 1)
-        .where(F.col("_number") == F.col("_place"))
+        inside.join(F.broadcast(heads), ["_cut", "_head"])
+        .withColumn("_number", F.row_number().over(within) - 1)
+        .where(F.col("_number") == F.col("_rest"))
     )
     return found.agg(
         F.struct(

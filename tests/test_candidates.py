@@ -118,3 +118,16 @@ def test_many_targets_take_several_hashes():
     groups = candidates.draw_groups(sizes)
     assert [t for g in groups for t in g] == list(sizes)
     assert len(groups) == 2 and all(25 ** len(g) <= candidates.CHOICES_PER_HASH for g in groups)
+
+
+def test_every_hash_draws_all_choices(spark):
+    sizes = {f"t{i}": 26 for i in range(14)}
+    hashes, choices = candidates.draw_choices(sizes, ["id"], "s")
+    assert len(hashes) == 2
+    rows = spark.range(2000).withColumns(hashes).select(*[c.alias(t) for t, c in choices.items()]).collect()
+    for target in sizes:
+        drawn = [r[target] for r in rows]
+        assert set(drawn) == set(range(25)) and max(drawn.count(v) for v in range(25)) < 130
+    # targets of one hash, and of different hashes, agree no more often than chance
+    for a, b in (("t0", "t1"), ("t0", "t13"), ("t11", "t12")):
+        assert sum(r[a] == r[b] for r in rows) < 130

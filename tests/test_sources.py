@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,11 +96,13 @@ def test_scratch_lies_in_the_shared_folder(spark):
     assert scratch.scratch_path(spark, "t") != scratch.scratch_path(spark, "t")
 
 
-def test_scratch_falls_back_to_the_warehouse(spark):
-    folder = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.unset("spark.checkpoint.dir")
-    try:
-        found = scratch.shared_folder(spark)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", folder)
-    assert found in (folder, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+def test_scratch_falls_back_to_the_warehouse():
+    class Session:
+        def __init__(self, settings, checkpoint=None):
+            self.conf = SimpleNamespace(get=lambda name, default=None: settings.get(name, default))
+            self.sparkContext = SimpleNamespace(getCheckpointDir=lambda: checkpoint)
+
+    warehouse = {"spark.sql.warehouse.dir": "hdfs://n/wh/"}
+    assert scratch.shared_folder(Session(warehouse)) == "hdfs://n/wh/checkpoints"
+    assert scratch.shared_folder(Session(warehouse, "hdfs://n/own")) == "hdfs://n/own"
+    assert scratch.shared_folder(Session({**warehouse, "spark.checkpoint.dir": "hdfs://n/set/"})) == "hdfs://n/set"
