@@ -121,7 +121,7 @@ def test_many_targets_take_several_hashes():
 
 
 def test_every_hash_draws_all_choices(spark):
-    sizes = {f"t{i}": 26 for i in range(14)}
+    sizes = {f"t{i}": 26 for i in range(12)}
     hashes, choices = candidates.draw_choices(sizes, ["id"], "s")
     assert len(hashes) == 2
     rows = spark.range(2000).withColumns(hashes).select(*[c.alias(t) for t, c in choices.items()]).collect()
@@ -129,5 +129,5 @@ def test_every_hash_draws_all_choices(spark):
         drawn = [r[target] for r in rows]
         assert set(drawn) == set(range(25)) and max(drawn.count(v) for v in range(25)) < 130
     # targets of one hash, and of different hashes, agree no more often than chance
-    for a, b in (("t0", "t1"), ("t0", "t13"), ("t11", "t12")):
+    for a, b in (("t0", "t1"), ("t0", "t11"), ("t5", "t10")):
         assert sum(r[a] == r[b] for r in rows) < 130
