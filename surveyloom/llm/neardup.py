@@ -12,15 +12,14 @@ five symbols wrong with probability 0.26, all eight chunks with 0.00002.
 Candidates are confirmed on the full sets. That goes in two steps, as links matter
 only for the components they form:
 
-1. in every entry, the class that shares entries with most others, which in a group of
-   copies is one near their origin, is held against one class of each other component
-   (at first, against each class). Confirmed links join components; this is repeated
-   up to STAR_ROUNDS times, as long as it finds links;
+1. in every entry, the class that shares entries with most others is held against each
+   of the others. Confirmed links give first components. In entries that then hold
+   several, the class whose shingles are the most common, which in a group of copies is
+   one near their origin, is held against one class of each other component;
 2. in entries that hold more than one component, every class outside the entry's
    largest component is held against all members of other components. A pair is
-   formed only if the two also share one of their rarest shingles, of which they
-   could not miss all and still be similar: texts that were each changed in too many
-   places have too many rare shingles for that.
+   formed only if the two do not miss too many of each other's rarest shingles to be
+   similar, as texts do that were each changed in too many places.
 
 No list of members is ever gathered: an entry is a key of joins that Spark may split.
 """
@@ -42,7 +41,6 @@ SYMBOLS = CHUNKS * CHUNK
 WORDS = SYMBOLS // 8
 #: A pair of the least similarity is further apart with probability 0.00002.
 FAR = 20
-STAR_ROUNDS = 3
 FEWEST = 4  # distinct sets of at most 3 shingles have a similarity below 0.8
 SEEDS = wordhash.mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 
@@ -198,9 +196,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
-    """(cid, rare): the shingles of a class that the fewest classes in `sets` have, rarest first.
+    """(cid, rare, common): the shingles of a class that the fewest classes in `sets` have, rarest first.
 
-    As many as a set of at least `percent` similarity cannot all miss.
+    As many as a set of at least `percent` similarity cannot all miss. `common` tells in
+    how many classes they are in all; it is largest near the origin of a group of copies.
     """
 
     def run(batches):
@@ -216,15 +215,16 @@ def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     order = F.array_sort(F.collect_list(F.struct("classes", "shingle")))
     listed = rows.join(known, "shingle").groupBy("cid").agg(order.alias("all"))
     count = F.size("all") - F.ceil(F.size("all") * percent / 100).cast("int") + 1
-    return listed.select("cid", F.slice(F.col("all.shingle"), F.lit(1), count).alias("rare"))
+    rare = listed.select("cid", F.slice("all", F.lit(1), count).alias("rare"))
+    return rare.withColumn("common", F.aggregate("rare.classes", F.lit(0).cast("bigint"), lambda t, n: t + n))
 
 
-def _star(labelled: DataFrame) -> DataFrame:
-    """Pairs (a, b): in every entry, the member in most company with one of each other component."""
-    lead = labelled.groupBy("key").agg(F.max(F.struct("company", "cid", "component")).alias("lead"))
+def _star(labelled: DataFrame, rank: str) -> DataFrame:
+    """Pairs (a, b): in every entry, the member of highest rank with the highest of each other component."""
+    lead = labelled.groupBy("key").agg(F.max(F.struct(rank, "cid", "component")).alias("lead"))
     apart = labelled.join(materialise(lead, "leads"), "key").where(F.col("component") != F.col("lead.component"))
     one = apart.groupBy("key", "component", F.col("lead.cid").alias("lead")).agg(
-        F.max(F.struct("company", "cid")).alias("one")
+        F.max(F.struct(rank, "cid")).alias("one")
     )
     other = F.col("one.cid")
     return one.select(F.least("lead", other).alias("a"), F.greatest("lead", other).alias("b")).distinct()
@@ -243,19 +243,45 @@ def _may_link(percent: int) -> Column:
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (distance("a", "b") <= FAR)
 
 
-def _share_a_rare_shingle(percent: int) -> Column:
-    """Whether a pair may have enough in common.
+def _may_share_enough(percent: int) -> Column:
+    """Whether the rarest shingles of a pair leave room for what it must have in common.
 
-    It must share percent / (100 + percent) of its sizes' sum. A set that has so much
-    in common with another has, among more shingles than it may miss, a common one; with
-    both sets in one order, the rarest shingles of both must meet.
+    That is percent / (100 + percent) of its sizes' sum. Both lists are in one order:
+    what comes before the end of the other's list and is not in it, the other has not
+    got. Sets that miss too much of each other's lists cannot be similar.
     """
     needed = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
 
     def first(side: str) -> Column:
         return F.slice(f"rare_{side}", F.lit(1), F.greatest(F.lit(0), F.col(f"n{side}") - needed + 1).cast("int"))
 
-    return F.arrays_overlap(first("a"), first("b"))
+    def left(side: str, other: str) -> Column:
+        theirs = F.col(f"rare_{other}")
+        missed = F.filter(
+            f"rare_{side}", lambda s: (s < F.element_at(theirs, -1)) & ~F.array_contains(theirs, s)
+        )
+        return F.col(f"n{side}") - F.size(missed)
+
+    return F.arrays_overlap(first("a"), first("b")) & (left("a", "b") >= needed) & (left("b", "a") >= needed)
+
+
+def _joined_up(members: DataFrame, links: DataFrame) -> DataFrame:
+    """`members` with the component that `links` give each class; its own id where it has none."""
+    found = connected_components(links, "a", "b").withColumnRenamed("node", "cid")
+    return materialise(
+        members.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "labelled"
+    )
+
+
+def _still_mixed(labelled: DataFrame) -> DataFrame:
+    """The rows of entries that hold several components, with the entry's largest one."""
+    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = materialise(
+        sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"))
+        .where("parts > 1").select("key", F.col("most.component").alias("major")),
+        "mixed",
+    )
+    return materialise(labelled.join(mixed, "key"), "inside")
 
 
 def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -281,35 +307,21 @@ def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
     members = materialise(members.join(materialise(company, "company"), "cid").drop("members"), "members")
     sets = _sets_of(members.select("cid").distinct(), docs, classes, width)
 
-    links, labelled = None, members.withColumn("component", F.col("cid"))
-    for _ in range(STAR_ROUNDS):
-        star = _star(labelled)
-        star = star.join(_sided(classes, "a"), "a").join(_sided(classes, "b"), "b").where(_may_link(percent)).select("a", "b")
-        found = materialise(_confirmed(materialise(star, "star"), sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        first = connected_components(links, "a", "b")
-        labelled = materialise(
-            members.join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
-                "component", F.coalesce("component", "cid")
-            ),
-            "labelled",
-        )
-        if found.isEmpty():
-            break
-    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = materialise(
-        sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"))
-        .where("parts > 1").select("key", F.col("most.component").alias("major")),
-        "mixed",
-    )
-    inside = materialise(labelled.join(mixed, "key"), "inside")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(_sided(classes, "a"), "a").join(_sided(classes, "b"), "b").where(_may_link(percent))
+        return materialise(_confirmed(materialise(pairs.select("a", "b"), "pairs"), sets, percent), "links")
+
+    links = confirmed(_star(members.withColumn("component", F.col("cid")), "company"))
+    inside = _still_mixed(_joined_up(members, links))
     left = sets.join(inside.select("cid").distinct(), "cid", "left_semi")
     known = materialise(classes.join(_rare_shingles(left, percent), "cid"), "known")
+    links = links.unionByName(confirmed(_star(inside.join(known.select("cid", "common"), "cid"), "common")))
+    inside = _still_mixed(_joined_up(inside.select("key", "cid"), links))
     minor = inside.where("component <> major").select("key", F.col("cid").alias("a"), F.col("component").alias("ca"))
     other = inside.select("key", F.col("cid").alias("b"), F.col("component").alias("cb"), "major")
     across = (
         minor.join(_sided(known, "a", "rare"), "a").join(other.join(_sided(known, "b", "rare"), "b"), "key")
-        .where("ca <> cb and (cb = major or a < b)").where(_may_link(percent) & _share_a_rare_shingle(percent))
+        .where("ca <> cb and (cb = major or a < b)").where(_may_link(percent) & _may_share_enough(percent))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     across = materialise(across, "across")
