@@ -42,6 +42,18 @@ def test_a_group_above_the_quota_fills_few_shards(documents):
     assert len(held) <= 4 and sorted(held.values())[-2:] == [50, 50]
 
 
+def test_a_group_of_a_third_of_all_rows_fills_the_fewest_shards(spark):
+    rows = 99_990
+    docs = spark.range(rows).selectExpr("id as doc_id", "if(id % 3 = 0, 'copy', if(id % 30 in (1, 2), concat('pair ', id div 30), concat('alone ', id))) as text")
+    held = shard_documents(docs, shards=40)
+    sizes = [r["count"] for r in held.groupBy("shard").count().collect()]
+    assert len(sizes) == 40 and max(sizes) - min(sizes) <= 1 and sum(sizes) == rows
+    hot = sorted((r["count"] for r in held.where("doc_id % 3 = 0").groupBy("shard").count().collect()), reverse=True)
+    # a third of the rows needs 13.3 whole shards; pairs hold up to 7 percent of the room
+    inside = sum(n * (n - 1) for n in hot) / (sum(hot) * (sum(hot) - 1))
+    assert len(hot) <= 16 and inside > 0.06, (hot, inside)
+
+
 def test_only_copies_and_null_texts(documents):
     rows, sizes = shards_of(documents([(1, "same")] * 30 + [(2, None)] * 11), shards=4)
     assert len(rows) == 41 and max(sizes.values()) - min(sizes.values()) <= 1
