@@ -142,14 +142,18 @@ class Index:
             self.classes.append((kind, keys[order], entry[order], maybe))
 
     def candidates(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """(place of the item's first word, item) pairs to be verified, for texts in one array."""
+        """(text, item, place of the item's first word) to be verified, in order, for texts in one array.
+
+        The text is that of the window; the place may lie before it, where a passage lacks its first words.
+        """
         found = []
         for kind, keys, entry, maybe in self.classes:
             count = np.maximum(0, (ends - starts - kind.window) // kind.stride + 1)
             first = np.repeat(starts - kind.stride * (np.cumsum(count) - count), count)
             windows = first + kind.stride * np.arange(len(first))
+            texts = np.repeat(np.arange(len(count)), count)
             for lo in range(0, len(windows), 1 << 16):
-                part = windows[lo : lo + (1 << 16)]
+                part, text = windows[lo : lo + (1 << 16)], texts[lo : lo + (1 << 16)]
                 for row in kind.keys(words, part):
                     hits = np.flatnonzero(maybe[(row >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
                     left = np.searchsorted(keys, row[hits], side="left")
@@ -157,8 +161,9 @@ class Index:
                     n = right - left
                     if n.any():
                         at = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        found.append(np.stack([np.repeat(part[hits], n) - (entry[at] >> 32), entry[at] & 0xFFFFFFFF], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                        place = np.repeat(part[hits], n) - (entry[at] >> 32)
+                        found.append(np.stack([np.repeat(text[hits], n), entry[at] & 0xFFFFFFFF, place], 1))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def edits(self, item: int, text: list[int], most: int) -> tuple[int, int]:
         """(least edits, end) of the item against any stretch of `text`; bit-parallel, most + 1 if more."""
@@ -182,11 +187,7 @@ class Index:
     def leaks(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         """(text, item, edits, first word) of every item found in each text."""
         owner = None
-        for place, item in self.candidates(words, starts, ends).tolist():
-            text = int(np.searchsorted(starts, max(place, 0), side="right")) - 1
-            # a passage may begin before the place that its window points at
-            while ends[text] <= place:
-                text += 1
+        for text, item, place in self.candidates(words, starts, ends).tolist():
             length, most = len(self.items[item][1]), self.items[item][3]
             lo = max(int(starts[text]), place - most)
             segment = words[lo : min(int(ends[text]), place + length + most)].tolist()

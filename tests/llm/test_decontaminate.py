@@ -75,6 +75,17 @@ def test_recall_of_edited_passages(share, recall):
     assert np.mean([any(f[0] == i for f in found) for (i, _), found in zip(wanted, got)]) >= recall
 
 
+def test_passages_without_their_first_words_at_the_start_of_any_text():
+    for n, cut in [(20, 3), (32, 4), (40, 6), (59, 6)]:
+        words = RNG.choices(VOCABULARY[:400], k=n)
+        text = " ".join([*words[cut:], *RNG.choices(VOCABULARY[:400], k=60)])
+        alone = search([text], [(1, " ".join(words))])[0]
+        others = " ".join(RNG.choices(VOCABULARY[:400], k=80))
+        got = search([others, text, others, text], [(1, " ".join(words))])
+        assert alone and got == [[], alone, [], alone]
+        assert alone[0][1] <= cut and alone[0][3] == 0
+
+
 def test_whatever_is_found_is_within_the_limit():
     texts = [around(edited(t.split(), k)) for _, t in ITEMS for k in range(0, 12, 3)]
     for text, found in zip(texts, search(texts)):
