@@ -6,12 +6,14 @@ step it writes the word it stands on, and a random bit of that word and step dec
 whether it moves on. Bits at a few positions of the embedding are a key; sequences that
 agree in one of many keys are candidates, and an exact edit distance decides.
 
-Items are grouped by length into classes [L, 2L). A document is read in windows of
-about L words, one every `stride` words; an item is indexed from as many starts as
-the stride is long, at its beginning and at its end, so that an unedited passage meets
-a window at one of them wherever it lies. `EMBEDDINGS` walks with `SAMPLES` keys each
-find a passage with a tenth of its words edited with probability above 0.99, with a
-fifth of them (the default limit) above 0.95 (measured in the tests).
+Items are grouped by length into classes [L, 2L), the last of them, MOST_LEAST, without
+upper end. A document is read in windows of about L words, one every `stride` words; an
+item is indexed from as many starts as the stride is long, at its beginning, at its end
+and every half L words between, so that an unedited passage meets a window at one of
+them wherever it lies, and some window of a long edited passage has few edits, however
+long it is. `EMBEDDINGS` walks with `SAMPLES` keys each find a passage of 16 words or more
+with a tenth of its words edited with probability above 0.98, with a fifth of them (the
+default limit) above 0.9 at every length (measured in the tests).
 
 The items travel to the tasks in blocks of at most `BLOCK_ITEM_BYTES`; a larger
 benchmark takes several passes over the documents.
@@ -30,7 +32,8 @@ from pyspark.sql import types as T
 
 from surveyloom.llm.wordhash import WordHasher, column_bytes, mix
 
-EMBEDDINGS, SAMPLES, POSITIONS = 4, 4, 5
+EMBEDDINGS, SAMPLES, POSITIONS = 4, 5, 5
+MOST_LEAST = 16
 BLOCK_ITEM_BYTES = 8 << 20
 SEGMENT = 1 << 18
 FILTER_BITS = 21
@@ -65,7 +68,7 @@ def text_words(texts: list[str], hasher: WordHasher):
 
 
 class LengthClass:
-    """Items of `least` to 2 * least - 1 words, and the windows they are sought in."""
+    """Items of `least` to 2 * least - 1 words, or of MOST_LEAST and more, and the windows they are sought in."""
 
     def __init__(self, least: int):
         self.least = least
@@ -106,9 +109,9 @@ class LengthClass:
         return found
 
     def anchors(self, length: int) -> list[int]:
-        front = range(self.stride)
-        back = range(length - self.window - self.stride + 1, length - self.window + 1)
-        return sorted({*front, *(a for a in back if a >= 0)})
+        last = length - self.window
+        firsts = [*range(0, max(1, last - self.stride + 1), max(1, self.least // 2)), max(0, last - self.stride + 1)]
+        return sorted({first + n for first in firsts for n in range(self.stride)})
 
 
 class Index:
@@ -121,7 +124,7 @@ class Index:
         for item_id, text in items:
             words = np.concatenate([w for _, w, _ in text_words([text or ""], hasher)] or [np.zeros(0, np.uint64)])
             if len(words):
-                classes[1 << (len(words).bit_length() - 1)].append(len(self.items))
+                classes[min(MOST_LEAST, 1 << (len(words).bit_length() - 1))].append(len(self.items))
                 places = defaultdict(int)
                 for n, w in enumerate(words.tolist()):
                     places[w] |= 1 << n
@@ -186,17 +189,20 @@ class Index:
 
     def leaks(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         """(text, item, edits, first word) of every item found in each text."""
-        owner = None
+        spans: list[list[int]] = []
         for text, item, place in self.candidates(words, starts, ends).tolist():
+            # windows of one passage point at places near each other
+            if spans and spans[-1][:2] == [text, item] and place - spans[-1][2] <= len(self.items[item][1]):
+                spans[-1][3] = place
+            else:
+                spans.append([text, item, place, place])
+        for text, item, place, last in spans:
             length, most = len(self.items[item][1]), self.items[item][3]
             lo = max(int(starts[text]), place - most)
-            segment = words[lo : min(int(ends[text]), place + length + most)].tolist()
+            segment = words[lo : min(int(ends[text]), last + length + most)].tolist()
             own = self.items[item][2]
             if sum(w in own for w in segment) < length - most:
                 continue
-            if owner == (text, item, segment):
-                continue
-            owner = (text, item, segment)
             count, end = self.edits(item, segment, most)
             if count <= most:
                 yield text, item, count, max(0, lo + end - length - int(starts[text]))

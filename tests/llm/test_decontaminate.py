@@ -75,6 +75,14 @@ def test_recall_of_edited_passages(share, recall):
     assert np.mean([any(f[0] == i for f in found) for (i, _), found in zip(wanted, got)]) >= recall
 
 
+@pytest.mark.parametrize("length", [16, 17, 31, 32, 33, 64, 128, 200, 400, 800])
+@pytest.mark.parametrize("share,recall", [(0.1, 0.96), (0.2, 0.88)])
+def test_recall_at_every_length(length, share, recall):
+    items = [(i, " ".join(RNG.choices(VOCABULARY[:400], k=length))) for i in range(max(30, min(300, 6400 // length)))]
+    got = search([around(edited(t.split(), int(share * length))) for _, t in items], items)
+    assert np.mean([any(f[0] == i for f in found) for (i, _), found in zip(items, got)]) >= recall
+
+
 def test_passages_without_their_first_words_at_the_start_of_any_text():
     for n, cut in [(20, 3), (32, 4), (40, 6), (59, 6)]:
         words = RNG.choices(VOCABULARY[:400], k=n)
