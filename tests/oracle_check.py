@@ -13,8 +13,9 @@ sys.path.insert(0, ROOT)
 
 import duckdb  # noqa: E402
 
-from registry.oracles import ORACLES  # noqa: E402
-from registry.queries import REGISTRY  # noqa: E402
+import __spark_entry__ as contract  # noqa: E402
+
+REGISTRY, ORACLES = contract.queries(), contract.oracle_sql()
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "

@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as contract
@@ -15,6 +20,19 @@ def test_entry(spark):
     assert first.columns == ["feature", "mi_sum"] and first.count() == 3
 
 
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_training_data_operators(tmp_path, pipeline):
+    root = os.path.dirname(os.path.abspath(contract.__file__))
+    for name in ("surveyloom", "registry"):
+        shutil.copytree(f"{root}/{name}", tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * pipeline:
+        if os.path.exists(f"{root}/{name}"):
+            shutil.copy(f"{root}/{name}", tmp_path / name)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries()))"
+    names = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert set(names.stdout.split()) >= set(REGISTRY) and "pipeline" not in names.stdout.split()
+
+
 def test_every_query_has_sql():
     assert set(REGISTRY) == set(ORACLES)
     assert set(REGISTRY) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())

@@ -69,10 +69,10 @@ def test_response(spark, output, expected):
 )
 def test_token_list_boundaries(spark, words, expected):
     df = spark.createDataFrame([(" ".join(words) + "\n\t ", 1.7)], "t string, y double")
-    row = tokens.token_arrays(df, "t", 3, "E", "y").collect()[0]
+    row = tokens.token_arrays(df, "t", "E", "y", cutoff=3).collect()[0]
     assert row.input_ids == expected and row.attention_mask == [1] * len(expected) and row.labels == 1
-    assert "labels" not in tokens.token_arrays(df, "t", 3, "E").columns
-    assert tokens.token_arrays(df, "t", 3, "E", "y", "continuous").collect()[0].labels == 1.7
+    assert "labels" not in tokens.token_arrays(df, "t", "E", cutoff=3).columns
+    assert tokens.token_arrays(df, "t", "E", "y", "continuous", cutoff=3).collect()[0].labels == 1.7
 
 
 def test_json_records(spark):
