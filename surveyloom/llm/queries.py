@@ -18,6 +18,7 @@ from surveyloom.llm.lmscore import score_documents
 from surveyloom.llm.quality import judge
 from surveyloom.llm.decontaminate import contaminated
 from surveyloom.llm.hamming import nearest_vectors
+from surveyloom.llm.bpe import encoding_digests
 from surveyloom.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +82,11 @@ def op8_multi_index_neighbours(spark, sf_dir):
     return nearest_vectors(table(spark, sf_dir, "embeddings"), k=10)
 
 
+@query
+def op11_pair_index_bpe(spark, sf_dir):
+    return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 ORACLES: dict[str, str] = {
     "op10_dictionary_warc": """
     with hashed as (
