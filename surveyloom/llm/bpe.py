@@ -13,18 +13,25 @@ Decoding lays the byte strings of all ids of a batch end to end.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEPT_WORDS = 300_000  # words whose ids a task keeps at hand
-KEPT_LENGTH = 64  # longer words are encoded each time they occur
-BATCH_SYMBOLS = 1 << 20  # symbols laid out together, unless one word is longer
+KEPT = 400_000  # words, and as many parts of words, whose ids a task keeps at hand
+KEPT_LENGTH = 64  # longer ones are encoded each time they occur
+BATCH_SYMBOLS = 1 << 22  # symbols laid out together, unless one word is longer
+BATCH_TEXT = 1 << 22  # characters of text whose new words are learnt together
+STRETCH = 1 << 20  # characters of a text that are split into words at once
+HELD = 1 << 20  # ids, or bytes of them, that are worked on at once
+SPLIT_WORDS = 4096  # new words that are split by one call
+WIDE = 24  # positions from which on arrays are faster than a loop
 
 
 class Vocabulary:
@@ -62,67 +69,156 @@ class Vocabulary:
             self.symbol[ord(c)] = self.ids[c]
 
 
+class PairIndex:
+    """Words laid end to end as symbols, and the positions of every pair that has a rank."""
+
+    def __init__(self, symbols: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary):
+        count = len(symbols)
+        last = np.zeros(count, dtype=bool)
+        last[np.append(starts[1:], count) - 1] = True
+        self.vocabulary = vocabulary
+        self.sym = symbols.astype(np.int64)
+        self.after = np.where(last, -1, np.arange(count) + 1)
+        self.before = np.arange(count) - 1
+        self.before[starts] = -1
+        self.places: dict[int, list[int]] = {}
+        self.active: list[int] = []  # a heap of the ranks in `places`
+        left = np.flatnonzero(~last)
+        self.enter(self.sym[left], self.sym[left + 1], left)
+
+    def enter(self, a: np.ndarray, b: np.ndarray, at: np.ndarray):
+        """Note that the pairs (a, b) stand at these positions, where they have a rank."""
+        keys = a * self.vocabulary.size + b
+        found = np.minimum(np.searchsorted(self.vocabulary.pair_keys, keys), len(self.vocabulary.pair_keys) - 1)
+        known = self.vocabulary.pair_keys[found] == keys
+        ranks, at = self.vocabulary.pair_ranks[found[known]], at[known]
+        if len(ranks) > 64:
+            order = np.argsort(ranks, kind="stable")
+            ranks, at = ranks[order], at[order].tolist()
+            cuts = [0, *(np.flatnonzero(np.diff(ranks)) + 1).tolist(), len(at)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                self.add(int(ranks[lo]), at[lo:hi])
+        else:
+            for rank, place in zip(ranks.tolist(), at.tolist()):
+                self.add(rank, [place])
+
+    def add(self, rank: int, places: list[int]):
+        if rank in self.places:
+            self.places[rank] += places
+        else:
+            self.places[rank] = places
+            heapq.heappush(self.active, rank)
+
+    def apply_wide(self, rank: int, places: list[int]):
+        """Merge a rank at many positions at once; its two symbols differ, so these do not overlap."""
+        (a, b), new = self.vocabulary.pair_of[rank], self.vocabulary.merged[rank]
+        sym, after, before = self.sym, self.after, self.before
+        at = np.sort(np.array(places))
+        fits = sym[at] == a
+        fits[1:] &= at[1:] != at[:-1]
+        at = at[fits]
+        follow = after[at]
+        fits = follow >= 0
+        at, follow = at[fits], follow[fits]
+        fits = sym[follow] == b
+        at, follow = at[fits], follow[fits]
+        sym[at], sym[follow] = new, -1
+        further = after[follow]
+        after[at] = further
+        right = further >= 0
+        before[further[right]] = at[right]
+        previous = before[at]
+        left = previous[previous >= 0]
+        made = np.concatenate([sym[at[right]], sym[left]])
+        self.enter(made, np.concatenate([sym[further[right]], np.full(len(left), new)]), np.concatenate([at[right], left]))
+
+    def apply_all(self):
+        """Apply the active ranks in ascending order until none is left."""
+        sym, after, before = (memoryview(x) for x in (self.sym, self.after, self.before))
+        rank_of, merged, pair_of = self.vocabulary.rank.get, self.vocabulary.merged, self.vocabulary.pair_of
+        size, index, active = self.vocabulary.size, self.places, self.active
+        while active:
+            rank = heapq.heappop(active)
+            places = index.pop(rank)
+            (a, b), new = pair_of[rank], merged[rank]
+            if len(places) > WIDE and a != b:
+                self.apply_wide(rank, places)
+                continue
+            places.sort()  # a symbol paired with itself is merged from the left
+            for i in places:
+                if sym[i] != a:
+                    continue
+                j = after[i]
+                if j < 0 or sym[j] != b:
+                    continue
+                sym[i] = new
+                sym[j] = -1
+                k, p = after[j], before[i]
+                after[i] = k
+                if k >= 0:
+                    before[k] = i
+                    made = rank_of(new * size + sym[k])
+                    if made is not None:
+                        if made in index:
+                            index[made].append(i)
+                        else:
+                            index[made] = [i]
+                            heapq.heappush(active, made)
+                if p >= 0:
+                    made = rank_of(sym[p] * size + new)
+                    if made is not None:
+                        if made in index:
+                            index[made].append(p)
+                        else:
+                            index[made] = [p]
+                            heapq.heappush(active, made)
+
+
 def merge_all(symbols: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ids per word) of words laid end to end as byte symbols, each word from its start to the next."""
-    count = len(symbols)
-    last = np.zeros(count, dtype=bool)
-    last[np.append(starts[1:], count) - 1] = True
-    place = np.arange(count)
-    after = np.where(last, -1, place + 1)
-    before = place - 1
-    before[starts] = -1
-
-    left = np.flatnonzero(~last)
-    keys = symbols[left] * vocabulary.size + symbols[left + 1]
-    at = np.minimum(np.searchsorted(vocabulary.pair_keys, keys), len(vocabulary.pair_keys) - 1)
-    known = vocabulary.pair_keys[at] == keys
-    left, ranks = left[known], vocabulary.pair_ranks[at[known]]
-    order = np.argsort(ranks, kind="stable")
-    left, ranks = left[order], ranks[order]
-    cuts = np.flatnonzero(np.diff(ranks)) + 1
-    index = {int(group[0]): places.tolist() for group, places in zip(np.split(ranks, cuts), np.split(left, cuts)) if len(group)}
-
-    sym, after, before = symbols.tolist(), after.tolist(), before.tolist()
-    rank_of, merged, size = vocabulary.rank.get, vocabulary.merged, vocabulary.size
-    active = sorted(index)
-    while active:
-        rank = heapq.heappop(active)
-        (a, b), new = vocabulary.pair_of[rank], merged[rank]
-        places = index.pop(rank)
-        places.sort()  # pairs of one symbol with itself are merged from the left
-        for i in places:
-            j = after[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
-                continue
-            sym[i], sym[j] = new, -1
-            k, p = after[j], before[i]
-            after[i] = k
-            if k >= 0:
-                before[k] = i
-                made = rank_of(new * size + sym[k])
-                if made is not None:
-                    if made in index:
-                        index[made].append(i)
-                    else:
-                        index[made] = [i]
-                        heapq.heappush(active, made)
-            if p >= 0:
-                made = rank_of(sym[p] * size + new)
-                if made is not None:
-                    if made in index:
-                        index[made].append(p)
-                    else:
-                        index[made] = [p]
-                        heapq.heappush(active, made)
-    ids = np.array(sym, dtype=np.int32)
-    there = ids >= 0
-    return ids[there], np.add.reduceat(there.astype(np.int64), starts)
+    index = PairIndex(symbols, starts, vocabulary)
+    index.apply_all()
+    there = index.sym >= 0
+    return index.sym[there], np.add.reduceat(there.astype(np.int64), starts)
 
 
 # between two characters that are no white space, a space always starts a new word
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _words(text: str) -> list[str]:
+    words = text.split()
+    return words if " ".join(words) == text else _BORDER.split(text)  # mostly one space between any two words
+
+
+@contextmanager
+def _no_collector():
+    """Millions of small tuples without a cycle are made inside; searching them for cycles is half the time."""
+    was_on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was_on:
+            gc.enable()
+
+
+class _Known(dict):
+    """Ids by word, emptied before it outgrows its bound."""
+
+    def missing(self, words: set[str]) -> list[str]:
+        new = words.difference(self)
+        if new and len(self) + len(new) > KEPT:
+            self.clear()
+            new = words
+        return list(new)
+
+    def drop_long(self, words: list[str]):
+        for word in words:
+            if len(word) > KEPT_LENGTH:
+                del self[word]
+
+
 class Encoder:
     """Texts to ids, with the ids of words met before at hand."""
 
@@ -131,73 +227,109 @@ class Encoder:
 
         self.vocabulary = Vocabulary(content)
         self.pieces_of = Tokenizer.from_str(content).pre_tokenizer.pre_tokenize_str
-        self.known: dict[str, bytes] = {}  # word after a space -> its ids
+        self.opening, self.inner, self.piece = _Known(), _Known(), _Known()  # first words, words after a space, parts
         added = sorted(self.vocabulary.added, key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
 
-    def words(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian 32-bit bytes."""
-        pieces, owner = [], []
-        for i, text in enumerate(texts):
-            for piece, _ in self.pieces_of(text):
-                pieces.append(piece)
-                owner.append(i)
-        ids, counts = [], []
+    def _merge(self, pieces: list[str]):
+        """Take in the ids of new parts of words."""
         lo = 0
         while lo < len(pieces):
             hi, held = lo, 0
-            while hi < len(pieces) and (not held or held + len(pieces[hi]) <= BATCH_SYMBOLS):
+            while hi < len(pieces) and (hi == lo or held + len(pieces[hi]) <= BATCH_SYMBOLS):
                 held += len(pieces[hi])
                 hi += 1
+            lengths = np.fromiter(map(len, pieces[lo:hi]), np.int64, hi - lo)
             shown = np.frombuffer("".join(pieces[lo:hi]).encode("utf-32-le"), dtype=np.uint32)
-            starts = np.cumsum([0, *map(len, pieces[lo : hi - 1])])
-            some, number = merge_all(self.vocabulary.symbol[shown], starts, self.vocabulary)
-            ids.append(some.astype("<i4").tobytes())
-            counts.append(number)
+            ids, number = merge_all(self.vocabulary.symbol[shown], np.cumsum(lengths) - lengths, self.vocabulary)
+            data, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(number)).tolist()
+            self.piece.update(zip(pieces[lo:hi], map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))))
             lo = hi
-        total = np.zeros(len(texts), dtype=np.int64)
-        if pieces:
-            np.add.at(total, owner, np.concatenate(counts))
-        whole = b"".join(ids)
-        ends = (4 * np.cumsum(total)).tolist()
-        return [whole[end - 4 * n : end] for end, n in zip(ends, total.tolist())]
-
-    def _slice(self, text: str, first: bool, words: list[str]) -> bytes:
-        """Ids of a stretch of text that begins and ends at borders."""
-        new = set(words).difference(self.known)
-        if new and len(self.known) + len(new) > KEPT_WORDS:
-            self.known.clear()
-            new = set(words)
-        new = list(new)
-        opening = [text] if first else []
-        found = self.words(opening + [" " + w for w in new])
-        self.known.update(zip(new, found[len(opening) :]))
-        ids = b"".join([*found[: len(opening)], *map(self.known.__getitem__, words)])
-        for word in new:
-            if len(word) > KEPT_LENGTH:
-                del self.known[word]
-        return ids
-
-    def _plain(self, text: str) -> bytes:
-        """Ids of text without added tokens, in slices of bounded size."""
-        out, at, first = [], 0, True
-        while at < len(text) or (first and text):
-            end = at + BATCH_SYMBOLS
-            border = _BORDER.search(text, end) if end < len(text) else None
-            stop = border.start() if border else len(text)
-            words = _BORDER.split(text[at:stop])
-            out.append(self._slice(words[0], True, words[1:]) if first else self._slice("", False, words))
-            at, first = stop + 1, False
-        return b"".join(out)
+
+    def _learn(self, opening: list[str], inner: list[str]):
+        """Take in the ids of new words. Inner words are split as they stand in a text, one after the other."""
+        split, owner = [], []
+        for i, word in enumerate(opening):
+            parts = self.pieces_of(word)
+            split += [piece for piece, _ in parts]
+            owner += [i] * len(parts)
+        for lo in range(0, len(inner), SPLIT_WORDS):
+            some = inner[lo : lo + SPLIT_WORDS]
+            parts = self.pieces_of(" " + " ".join(some))
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            begins = np.fromiter((place[0] for _, place in parts), np.int64, len(parts))
+            split += [piece for piece, _ in parts]
+            owner += (len(opening) + lo + np.searchsorted(ends, begins, side="right")).tolist()
+        new = self.piece.missing(set(split))
+        self._merge(new)
+        ids = list(map(self.piece.__getitem__, split))
+        self.piece.drop_long(new)
+        cuts = np.searchsorted(owner, np.arange(len(opening) + len(inner) + 1)).tolist()
+        found = [ids[lo] if hi == lo + 1 else b"".join(ids[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+        self.opening.update(zip(opening, found))
+        self.inner.update(zip(inner, found[len(opening) :]))
+
+    def _stretches(self, text: str):
+        """(an added token's ids, first word, words after a space) in the order of the text, what there is of these.
+
+        Long texts come in stretches that end where a word does; only the first of them has a first word.
+        """
+        for i, part in enumerate(self.added.split(text) if self.added else [text]):
+            if i % 2:
+                yield self.vocabulary.added[part].to_bytes(4, "little"), None, None
+                continue
+            at = 0
+            while at < len(part):
+                end = at + STRETCH
+                border = _BORDER.search(part, end) if end < len(part) else None
+                stop = border.start() if border else len(part)
+                words = _words(part[at:stop])
+                yield (None, words[0], words[1:]) if at == 0 else (None, None, words)
+                at = stop + 1
+
+    def _settle(self, texts: list[str]) -> list[bytes]:
+        """Learn the new words of all these texts together, then look every word up."""
+        split = [list(self._stretches(text)) for text in texts]
+        opening, inner = set(), set()
+        for stretches in split:
+            for _, first, rest in stretches:
+                if first is not None:
+                    opening.add(first)
+                inner.update(rest or ())
+        opening, inner = self.opening.missing(opening), self.inner.missing(inner)
+        if opening or inner:
+            self._learn(opening, inner)
+        found = []
+        for stretches in split:
+            parts = []
+            for ids, first, rest in stretches:
+                if ids is not None:
+                    parts.append(ids)
+                if first is not None:
+                    parts.append(self.opening[first])
+                parts += map(self.inner.__getitem__, rest or ())
+            found.append(b"".join(parts))
+        self.opening.drop_long(opening)
+        self.inner.drop_long(inner)
+        return found
+
+    def encode_all(self, texts):
+        """Yield the ids of each text, as little-endian 32-bit bytes."""
+        waiting, size = [], 0
+        for text in texts:
+            waiting.append(text)
+            size += len(text)
+            if size >= BATCH_TEXT:
+                with _no_collector():
+                    found = self._settle(waiting)
+                yield from found
+                waiting, size = [], 0
+        with _no_collector():
+            found = self._settle(waiting)
+        yield from found
 
     def encode(self, text: str) -> bytes:
-        parts = self.added.split(text) if self.added else [text]
-        if len(parts) == 1:
-            return self._plain(text) if text else b""
-        ids = self.vocabulary.added
-        return b"".join(
-            ids[part].to_bytes(4, "little") if i % 2 else self._plain(part) for i, part in enumerate(parts) if part
-        )
+        return next(self.encode_all([text]))
 
 
 def _content(vocabulary: str) -> str:
@@ -221,20 +353,20 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     def run(batches):
         encoder = Encoder(content.value)
         for batch in batches:
-            texts, rows, parts, held = batch.column("text"), [], [], 0
-            for i in range(batch.num_rows):
-                part = encoder.encode(texts[i].as_py() or "")
-                rows.append(i)
+            column = batch.column("text")
+            first, parts, held = 0, [], 0
+            texts = (column[i].as_py() or "" for i in range(batch.num_rows))
+            for i, part in enumerate(encoder.encode_all(texts)):
                 parts.append(part)
                 held += len(part)
-                if held > BATCH_SYMBOLS or i == batch.num_rows - 1:
+                if held > HELD or i == batch.num_rows - 1:
                     values = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
                     offsets = np.cumsum([0, *map(len, parts)]) // 4
                     lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(rows[0], len(rows)), lists], names=["doc_id", "ids"]
+                        [batch.column("doc_id").slice(first, len(parts)), lists], names=["doc_id", "ids"]
                     )
-                    rows, parts, held = [], [], 0
+                    first, parts, held = i + 1, [], 0
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
@@ -259,8 +391,8 @@ class Decoder:
         return self.table[np.repeat(begin, length) + np.arange(length.sum())], length
 
     def decode(self, ids: np.ndarray) -> str:
-        steps = range(0, len(ids), BATCH_SYMBOLS)
-        return b"".join(self.data(ids[lo : lo + BATCH_SYMBOLS])[0].tobytes() for lo in steps).decode("utf-8", "replace")
+        steps = range(0, len(ids), HELD)
+        return b"".join(self.data(ids[lo : lo + HELD])[0].tobytes() for lo in steps).decode("utf-8", "replace")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
@@ -285,7 +417,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str, ids_col: str = "ids")
                     ids = values.fill_null(-1).to_numpy(zero_copy_only=False)
                     texts.append(decoder.decode(ids))
                     held += len(ids)
-                if held > BATCH_SYMBOLS or i == batch.num_rows - 1:
+                if held > HELD or i == batch.num_rows - 1:
                     part = batch.slice(first, i + 1 - first)
                     yield pa.RecordBatch.from_arrays(
                         [part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())],

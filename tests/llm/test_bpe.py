@@ -37,15 +37,17 @@ def test_ids_are_the_library_s(encoder, library, i):
     assert ids_of(encoder, TEXTS[i]) == ids
 
 
-def test_random_texts_in_small_stretches(encoder, library, monkeypatch):
-    monkeypatch.setattr(bpe, "BATCH_SYMBOLS", 40)
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 30)
+@pytest.mark.parametrize("wide", [0, 2, 1000])
+def test_random_texts_in_small_stretches(encoder, library, monkeypatch, wide):
+    for name, value in {"BATCH_SYMBOLS": 40, "BATCH_TEXT": 900, "STRETCH": 50, "SPLIT_WORDS": 3, "WIDE": wide}.items():
+        monkeypatch.setattr(bpe, name, value)
+    monkeypatch.setattr(bpe, "KEPT", 30)
     monkeypatch.setattr(bpe, "KEPT_LENGTH", 5)
     rng = np.random.default_rng(5)
     letters = list("aaabbe  \n\t'stl.1ß漢́ ") + ["the", " of", "<|endoftext|>", "  "]
-    for _ in range(300):
-        text = "".join(rng.choice(letters, size=rng.integers(0, 400)))
-        assert ids_of(encoder, text) == library.encode(text, add_special_tokens=False).ids
+    texts = ["".join(rng.choice(letters, size=rng.integers(0, 400))) for _ in range(300)]
+    for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<i4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_every_code_point_in_words(encoder, library):
