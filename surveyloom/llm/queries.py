@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from surveyloom.llm.sharding import shard_documents
 from surveyloom.llm.packing import pack_documents
@@ -19,6 +20,7 @@ from surveyloom.llm.quality import judge
 from surveyloom.llm.decontaminate import contaminated
 from surveyloom.llm.hamming import nearest_vectors
 from surveyloom.llm.bpe import encoding_digests
+from surveyloom.llm.negatives import hard_negatives
 from surveyloom.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +89,12 @@ def op11_pair_index_bpe(spark, sf_dir):
     return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op12_residue_hard_negatives(spark, sf_dir):
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return hard_negatives(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", label)
+
+
 ORACLES: dict[str, str] = {
     "op10_dictionary_warc": """
     with hashed as (
@@ -169,4 +177,26 @@ ORACLES: dict[str, str] = {
     )
     select query_id, rank, neighbour_id, distance from ranked where rank <= 10
     """,
+    "op12_residue_hard_negatives": """
+    with vectors as (
+        select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+            list_transform(embedding, lambda x: floor(256 * x::double)) as v, row_number() over () as rid
+        from embeddings
+        where label is not null and embedding is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), scores as (
+        select a.rid, a.vec_id as anchor_id, b.vec_id, b.rid as other, a.label = b.label as same,
+            list_inner_product(a.v, b.v)::bigint as score
+        from vectors a join vectors b on a.vec_id % 100 = 0 and a.rid <> b.rid
+    ), positives as (
+        select * from scores where same
+        qualify row_number() over (partition by rid order by score desc, vec_id, other) <= 5
+    ), negatives as (
+        select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+            row_number() over (partition by p.rid, p.other order by n.score desc, n.vec_id, n.other)::int as rank
+        from positives p join scores n on p.rid = n.rid and not n.same
+        where 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score
+    )
+    select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from negatives where rank <= 5
+    """,
 }
