@@ -20,6 +20,7 @@ from surveyloom.llm.quality import judge
 from surveyloom.llm.decontaminate import contaminated
 from surveyloom.llm.hamming import nearest_vectors
 from surveyloom.llm.bpe import encoding_digests
+from surveyloom.llm.divergence import source_divergence
 from surveyloom.llm.negatives import hard_negatives
 from surveyloom.llm.support import table
 
@@ -95,6 +96,11 @@ def op12_residue_hard_negatives(spark, sf_dir):
     return hard_negatives(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", label)
 
 
+@query
+def op13_level_product_divergence(spark, sf_dir):
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 ORACLES: dict[str, str] = {
     "op10_dictionary_warc": """
     with hashed as (
@@ -199,4 +205,44 @@ ORACLES: dict[str, str] = {
     )
     select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from negatives where rank <= 5
     """,
+    "op13_level_product_divergence": """
+    with docs as (
+        select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source,
+            regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words
+        from documents
+    ), counts as (
+        select lang, source, term, count(*) as n, count(distinct rid) as docs
+        from (select rid, lang, source, unnest(words) as term from docs) group by all
+    ), kept as (
+        select lang, term, sum(n) as n from counts group by lang, term having sum(docs) >= 30
+    ), langs as (
+        select lang, count(*) as v, sum(n) as total from kept group by lang
+    ), groups as (
+        select distinct lang, source from docs
+    ), cells as (
+        select g.lang, g.source, k.term, coalesce(c.n, 0) as n, k.n as lang_n, l.v, l.total as lang_total,
+            sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as total
+        from groups g join kept k using (lang) join langs l using (lang)
+            left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term
+    ), shares as (
+        select lang, source, term, n,
+            1 + (1000000000::hugeint * (n + 5)::hugeint) // (total + 5 * v)::hugeint as p,
+            1 + (1000000000::hugeint * (lang_n + 5)::hugeint) // (lang_total + 5 * v)::hugeint as q
+        from cells
+    ), differences as (
+        select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+        from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+    ), results as (
+        select a.lang, a.source, 'pair' as part, b.source as item, coalesce(d.value, 0)::bigint as value
+        from groups a join groups b on a.lang = b.lang and a.source <> b.source
+            left join differences d on d.lang = a.lang and d.source = a.source and d.item = b.source
+        union all
+        select lang, source, 'term', term, (p - q)::bigint from shares where n > 0 and p > q
+    ), ranked as (
+        select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from results
+    )
+    select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50
+    """,
 }

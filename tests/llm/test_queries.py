@@ -10,7 +10,7 @@ from surveyloom.llm import queries
 
 def test_one_query_per_operator():
     numbers = [int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES]
-    assert sorted(numbers) == list(range(1, 13))
+    assert sorted(numbers) == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
     assert set(queries.ORACLES) <= set(contract.oracle_sql())
 
@@ -28,6 +28,7 @@ RESULTS = {
     "op6_": "doc_id lang score threshold kept",
     "op7_": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op9_": "doc_id n_shingles component_id kept",
+    "op13_": "lang source part item value rank",
     "op12_": "anchor_id positive_id rank negative_id positive_score negative_score",
     "op11_": "doc_id n_tokens ids_sha256 decoded_sha256",
 }
