@@ -230,11 +230,10 @@ def _star(labelled: DataFrame, rank: str) -> DataFrame:
     return one.select(F.least("lead", other).alias("a"), F.greatest("lead", other).alias("b")).distinct()
 
 
-def _sided(classes: DataFrame, side: str, *more: str) -> DataFrame:
-    """Size, signature and what else is named of a class, for one side of a pair."""
+def _sided(classes: DataFrame, side: str) -> DataFrame:
+    """Size and signature of a class, for one side of a pair."""
     return classes.select(
-        F.col("cid").alias(side), F.col("size").alias(f"n{side}"), *(F.col(f"s{k}").alias(f"{side}{k}") for k in range(WORDS)),
-        *(F.col(name).alias(f"{name}_{side}") for name in more),
+        F.col("cid").alias(side), F.col("size").alias(f"n{side}"), *(F.col(f"s{k}").alias(f"{side}{k}") for k in range(WORDS))
     )
 
 
@@ -319,11 +318,17 @@ def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
     inside = _still_mixed(_joined_up(inside.select("key", "cid"), links))
     minor = inside.where("component <> major").select("key", F.col("cid").alias("a"), F.col("component").alias("ca"))
     other = inside.select("key", F.col("cid").alias("b"), F.col("component").alias("cb"), "major")
-    across = (
-        minor.join(_sided(known, "a", "rare"), "a").join(other.join(_sided(known, "b", "rare"), "b"), "key")
-        .where("ca <> cb and (cb = major or a < b)").where(_may_link(percent) & _may_share_enough(percent))
+    # narrow rows first: a pair that meets in many entries gets its lists of shingles once
+    close = (
+        minor.join(_sided(classes, "a"), "a").join(other.join(_sided(classes, "b"), "b"), "key")
+        .where("ca <> cb and (cb = major or a < b)").where(_may_link(percent))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
+    rare = known.select("cid", "size", "rare")
+    listed = materialise(close, "close")
+    for side in ("a", "b"):
+        listed = listed.join(rare.select(F.col("cid").alias(side), F.col("size").alias(f"n{side}"), F.col("rare").alias(f"rare_{side}")), side)
+    across = listed.where(_may_share_enough(percent)).select("a", "b")
     across = materialise(across, "across")
     links = materialise(links.select("a", "b").unionByName(_confirmed(across, sets, percent)), "links")
 
