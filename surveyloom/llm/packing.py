@@ -8,8 +8,8 @@
    the driver. All pairs of lengths that fill a window, and the triples with one of
    the commonest lengths, are the columns of a non-negative least squares problem:
    how often is each combination used so that the histogram is met.
-3. The counts are rounded down; what they leave over is packed greedily, on the
-   histogram again, longest piece first.
+3. The counts are rounded down and what they leave over is solved again, until no
+   combination fits; the rest is packed greedily, longest piece first.
 4. Every piece gets its number among the pieces of its length, and that number
    says which combination, which repetition of it and which place it has.
 """
@@ -65,11 +65,17 @@ class _Chunks(dict):
         return ids
 
 
-def text_encoder(ranks: dict[bytes, int]):
-    """text -> its ids as little-endian 32-bit bytes."""
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Tokens that the file never splits -> id."""
+    with open(vocabulary, encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
+def text_encoder(ranks: dict[bytes, int], added: dict[str, int]):
+    """text -> its ids as little-endian 32-bit bytes; tiktoken does the merging."""
     import tiktoken
 
-    special = [t for t in (b"<|endoftext|>",) if t in ranks]
+    special = {token.encode() for token in added}
     own = tiktoken.Encoding(
         "own", pat_str=PATTERN, mergeable_ranks={t: i for t, i in ranks.items() if t not in special}, special_tokens={}
     )
@@ -78,12 +84,20 @@ def text_encoder(ranks: dict[bytes, int]):
     # a space between two other characters always starts a new piece of the text
     uneven = re.compile(r"\s\s|^\s|\s$").search
 
-    def ids(text: str) -> bytes:
+    def plain(text: str) -> bytes:
         if uneven(text):
             return array("I", encode(text)).tobytes()
         first, *rest = text.split(" ")
         return array("I", encode(first)).tobytes() + b"".join(map(chunk_ids, rest))
 
+    apart = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def ids(text: str) -> bytes:
+        parts = apart.split(text) if apart else [text]
+        if len(parts) == 1:
+            return plain(text)
+        return b"".join(array("I", [added[p]]).tobytes() if i % 2 else plain(p) for i, p in enumerate(parts) if p)
+
     return ids
 
 
@@ -99,12 +113,12 @@ def cuts(tokens: int, window: int, filler: bool) -> list[int]:
 
 def cut_pieces(docs: DataFrame, vocabulary: str, window: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(byte_ranks(vocabulary))
+    ranks = spark.sparkContext.broadcast((byte_ranks(vocabulary), added_tokens(vocabulary)))
 
     def run(batches):
         from zlib import crc32
 
-        ids_of = text_encoder(ranks.value)
+        ids_of = text_encoder(*ranks.value)
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
             rows = ([], [], [], [], [])
@@ -195,21 +209,46 @@ def plan_windows(histogram: dict[int, int], window: int) -> Plan:
     plan: Plan = []
     if full := left.pop(window, 0):
         plan.append(((window,), full))
+    while True:
+        found = solved(left, window)
+        if not found:
+            break
+        plan += found
+        for lengths, n in found:
+            for length in lengths:
+                left[length] -= n
+    return plan + greedy({v: n for v, n in left.items() if n}, window)
+
+
+def solved(left: dict[int, int], window: int) -> Plan:
+    """Combinations for what is left by one solution, rounded; none once no combination is there.
+
+    Counts are rounded down. Where that leaves nothing, the problem has become so small
+    that its solution spreads below 1: the largest counts then become 1, as long as all
+    their lengths are there, and what remains is solved again.
+    """
     counts = np.zeros(window + 1, dtype=np.int64)
     for length, n in left.items():
         counts[length] = n
     columns = combinations(counts, window)
-    if len(columns):
-        times = least_squares(columns, counts)
-        for k in np.argsort(-times, kind="stable"):
-            lengths = [int(v) for v in columns[k][::-1] if v]
-            need = {v: lengths.count(v) for v in lengths}
-            n = min(int(times[k]), *(left.get(v, 0) // u for v, u in need.items()))
-            if n:
-                plan.append((tuple(lengths), n))
-                for v, u in need.items():
-                    left[v] -= u * n
-    return plan + greedy({v: n for v, n in left.items() if n}, window)
+    if not len(columns):
+        return []
+    times = least_squares(columns, counts)
+    order = np.argsort(-times, kind="stable")
+    down = np.floor(times[order]).astype(np.int64)
+    wanted = down if down[0] > 0 else np.ones_like(down)
+    free = counts.tolist()
+    plan: Plan = []
+    for k, most in zip(order.tolist(), wanted.tolist()):
+        if not most:
+            break
+        lengths = [v for v in columns[k][::-1].tolist() if v]
+        n = min(most, *(free[v] // lengths.count(v) for v in lengths))
+        if n:
+            plan.append((tuple(lengths), n))
+            for v in lengths:
+                free[v] -= n
+    return plan
 
 
 def slot_table(plan: Plan) -> dict[str, np.ndarray]:

@@ -12,20 +12,18 @@ from surveyloom.llm import packing
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
     "", "a", "  two  spaces ", "tab\tand\nline\n\n end ", "naïve café — 北京 🙂", "x" * 5000, "don't we'll I'd", "1234 5678",
-    "<|endoftext|> is text", "a b  c", "\x1c\x1d odd \x85 blanks", "word " * 3000, "   ", "end ", " start",
+    "<|endoftext|> is one id", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "a b  c", "\x1c\x1d odd \x85 blanks", "word " * 3000, "   ", "end ", " start",
 ]
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOCABULARY)
 
 
 @pytest.fixture(scope="module")
 def encode():
-    return packing.text_encoder(packing.byte_ranks(VOCABULARY))
+    return packing.text_encoder(packing.byte_ranks(VOCABULARY), packing.added_tokens(VOCABULARY))
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -106,3 +104,24 @@ def test_repeated_rows_and_empty_table(documents):
     rows = packing.pack_documents(documents([(1, "one two"), (1, "one two"), (None, None)]), VOCABULARY).collect()
     assert len(rows) == 3 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 3
     assert packing.pack_documents(documents([], "none"), VOCABULARY).collect() == []
+
+
+def test_most_windows_come_from_least_squares(monkeypatch):
+    """But for windows that one whole piece fills; and no window more than the tokens need."""
+    rng = np.random.default_rng(4)
+    histogram = {2048: 30}
+    for tokens in np.exp(rng.normal(5.8, 1.0, 3000)).astype(int) + 1:
+        for piece in packing.cuts(int(tokens), 2048, rng.random() < 1 / packing.FILLER_SHARE):
+            histogram[piece] = histogram.get(piece, 0) + 1
+    greedily = []
+    plain = packing.greedy
+    monkeypatch.setattr(packing, "greedy", lambda left, window: greedily.extend(plain(left, window)) or list(greedily))
+    plan = packing.plan_windows(dict(histogram), 2048)
+    used = {}
+    for lengths, times in plan:
+        for length in lengths:
+            used[length] = used.get(length, 0) + times
+    assert used == histogram
+    windows = sum(times for _, times in plan)
+    assert windows <= -(-sum(k * n for k, n in histogram.items()) // 2048) + 1
+    assert sum(times for _, times in greedily) < (windows - histogram[2048]) / 2
