@@ -294,6 +294,32 @@ def _trial_u(name: str) -> str:
     return f"({h32(f"'42:{name}:0:' || cast(trial as varchar)")} / 4294967296.0)"
 
 
+def _trial_choice(name: str) -> str:
+    values = fv.SEARCH_CHOICES[name]
+    kind = "double" if isinstance(values[0], float) else "int"
+    return f"cast(({values})[cast(floor({_trial_u(name)} * {len(values)}) as int) + 1] as {kind}) as {name}"
+
+
+VALUE_TOKENS = [f"'{c}=' || coalesce(cast({c} as varchar), 'nan')" for c in [*FEATURES, *T]]
+CROSSED_TOKENS = [
+    *VALUE_TOKENS,
+    *(f"{f} || '&' || {t}" for f in VALUE_TOKENS[: len(FEATURES)] for t in VALUE_TOKENS[len(FEATURES) :]),
+    *(f"{a} || '&' || {b}" for i, a in enumerate(VALUE_TOKENS[len(FEATURES) :]) for b in VALUE_TOKENS[len(FEATURES) + i + 1 :]),
+]
+
+
+def _listed(tokens: list[str]) -> str:
+    """(id, token, place) of the answered rows."""
+    return f"select id, unnest([{', '.join(tokens)}]) as token, unnest(range({len(tokens)})) as place from real_text"
+
+
+def _vocabulary(tokens: list[str]) -> str:
+    return (
+        f"select token, {place('42:vocabulary', 'token')} as number, rows "
+        f"from (select token, count(*) as rows from ({_listed(tokens)}) group by token)"
+    )
+
+
 def _trial_epochs(low: int, high: int) -> str:
     drawn = f"floor(exp(ln({low}) + {_trial_u('num_train_epochs')} * (ln({high + 1}) - ln({low}))))"
     return f"cast(greatest({low}, least({high}, {drawn})) as int)"
@@ -490,6 +516,30 @@ BODIES: dict[str, str] = {
         f"{len(fv.SEARCH_CHOICES['weight_decay'])}) as int) + 1] as double) as weight_decay, true as beats_majority "
         "from (select cast(range as int) as trial from range(4))"
     ),
+    "token_vocabulary": _vocabulary(VALUE_TOKENS),
+    "token_numbers": (
+        "select id, string_agg(cast(number as varchar), ' ' order by place) as numbers "
+        f"from ({_listed(VALUE_TOKENS)}) join ({_vocabulary(VALUE_TOKENS)}) using (token) group by id"
+    ),
+    "exact_vectors": (
+        f"select id, (select count(*) from ({_vocabulary(CROSSED_TOKENS)})) as size, "
+        "string_agg(cast(number as varchar), ',' order by number) as places "
+        f"from ({_listed(CROSSED_TOKENS)}) join ({_vocabulary(CROSSED_TOKENS)}) using (token) group by id"
+    ),
+    "factor_cross_validate": _fold_facts(3),
+    "factor_search": (
+        f"select trial, {', '.join(_trial_choice(n) for n in fv.SEARCH_CHOICES)}, "
+        f"{_trial_epochs(*fv.SEARCH_EPOCH_RANGE)} as num_train_epochs, true as beats_majority "
+        "from (select cast(range as int) as trial from range(8))"
+    ),
+    "task_models": (
+        f"select feature, task_type, fold, test_rows, metric, true as sound from (select cast({h32(f"'42:fold:' || {ID}")} % 2 as int) as fold, "
+        "count(*) as test_rows from answered group by 1), (values ('west', 'class'), ('price', 'continuous'), "
+        "('region', 'sequence'), ('seg', 'class')) t(feature, task_type) join (values ('class', 'accuracy'), ('class', 'f1'), "
+        "('class', 'precision'), ('class', 'recall'), ('continuous', 'rmse'), ('continuous', 'integerized_rmse'), "
+        "('continuous', 'label_precision_rmse'), ('sequence', 'rmse'), ('sequence', 'integerized_rmse'), "
+        "('sequence', 'label_precision_rmse')) m(kind, metric) on task_type = kind"
+    ),
     "experiment": (
         "select f.v as feature_count, g.i as grid_no, g.v as num_epochs, cast(0.01 as double) as weight_decay, "
         f"fold, test_rows, majority_rate, true as complete from ({_fold_facts(3)}), (values (2), (4)) f(v), "

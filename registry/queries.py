@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from surveyloom.operators import (
     candidates,
     clean,
     covariance,
+    factors,
     grid,
     information,
     labels,
@@ -22,7 +24,9 @@ from surveyloom.operators import (
     plausibility,
     ranks,
     tokens,
+    vocabulary,
 )
+from surveyloom.plans import tasks as task_plan
 from surveyloom.plans import experiment as experiment_plan
 from surveyloom.plans import training_set as study
 from surveyloom.sources import demo, readers, scratch, writers
@@ -762,6 +766,97 @@ def search_best(spark, sf):
     return table.select("trial", "num_epochs", "weight_decay", better)
 
 
+FACTORS = factors.FactorParams(num_epochs=4, batch_size=16, warmup_steps=4)
+
+
+def _spelled(spark, sf) -> DataFrame:
+    return scratch.materialise(_real(_num(spark, sf)), "real")
+
+
+@query
+def token_vocabulary(spark, sf):
+    """All `column=value` tokens of the answered rows, counted and numbered."""
+    return vocabulary.token_vocabulary(_spelled(spark, sf), plausibility.value_tokens([*FEATURES, *T]), SEED)
+
+
+@query
+def token_numbers(spark, sf):
+    rows = _spelled(spark, sf)
+    tokens_of = plausibility.value_tokens([*FEATURES, *T])
+    words = scratch.materialise(vocabulary.token_vocabulary(rows, tokens_of, SEED), "vocabulary")
+    numbers = vocabulary.token_numbers(rows, tokens_of, words, ["id"])
+    return numbers.select("id", _joined(F.col("numbers").cast("array<string>")).alias("numbers"))
+
+
+@query
+def exact_vectors(spark, sf):
+    """Tokens and crosses as sparse vectors with a place of its own for each."""
+    rows = _spelled(spark, sf)
+    tokens_of = plausibility.crossed_tokens(plausibility.value_tokens([*FEATURES, *T]), len(FEATURES), len(T))
+    words = scratch.materialise(vocabulary.token_vocabulary(rows, tokens_of, SEED), "vocabulary")
+    vectors = vocabulary.with_exact_vectors(rows.select("id", *FEATURES, *T), tokens_of, words, ["id"])
+    written = F.regexp_extract(F.col("features").cast("string"), r"\[([^\]]*)\]", 1)
+    return vectors.select("id", F.regexp_extract(F.col("features").cast("string"), r"^\((\d+),", 1).cast("bigint").alias("size"), written.alias("places"))
+
+
+def _numbered(spark, sf, folds: int) -> tuple[DataFrame, int]:
+    """(labelled rows with fold and token numbers, size of the vocabulary)."""
+    real = _spelled(spark, sf)
+    n = real.count()
+    drawn = scratch.materialise(candidates.generate_candidates(real, T, LABELS, _draws(n), seed=SEED), "candidates")
+    built = study.build_training_set(real, drawn, CONFIG, demo.DICTIONARY, FEATURES, n // 2)
+    rows = scratch.materialise(study.assign_folds(built.training, folds, CONFIG), "rows")
+    keys, tokens_of = ["id", "draw_no"], plausibility.value_tokens([*FEATURES, *T])
+    words = scratch.materialise(vocabulary.token_vocabulary(rows, tokens_of, SEED), "vocabulary")
+    numbers = vocabulary.token_numbers(rows, tokens_of, words, keys)
+    return scratch.materialise(rows.select(*keys, "labels", "fold").join(numbers, keys), "numbered"), words.count()
+
+
+@query
+def factor_cross_validate(spark, sf):
+    """Factorisation machines on all folds, trained side by side."""
+    rows, size = _numbered(spark, sf, 3)
+    result = factors.cross_validate_factors(rows, ["id", "draw_no"], size, [FACTORS], [0, 1, 2])
+    positives = rows.groupBy("fold").agg(F.sum("labels").cast("bigint").alias("positives"))
+    return _beats_majority(result.join(positives, "fold"))
+
+
+@query
+def factor_search(spark, sf):
+    """The whole search space: epochs, decay, rate, warm-up and batch size of every trial, on all folds."""
+    rows, size = _numbered(spark, sf, 2)
+    one_search = spark.range(1).withColumnRenamed("id", "search")
+    drawn = scratch.materialise(grid.param_draws(one_search, 8, SEED, ["search"]).drop("search"), "trials")
+    settings = factors.drawn_settings(drawn, FACTORS)
+    _, means = factors.search_factors(rows, ["id", "draw_no"], size, settings, [0, 1])
+    better = (F.col("accuracy") > F.col("majority_rate")).alias("beats_majority")
+    return drawn.join(means.withColumnRenamed("setting", "trial"), "trial").select(*drawn.columns, better)
+
+
+@query
+def task_models(spark, sf):
+    """A class, a continuous and an ordered target, each by the model and the metrics of its described task."""
+    num = _answered(_num(spark, sf)).select("id", *FEATURES, *T)
+    rows = num.withColumn("west", (F.col("region") <= 2).cast("int"))
+    for name in ("region", "seg"):
+        rows = rows.withColumn(name, F.col(name).cast("int") - 1)
+    rows = scratch.materialise(rows.withColumn("price", F.col("region") * 1.5), "rows")
+    folded = scratch.materialise(ranks.fold_by_source(rows, 2, "id", SEED), "folded")
+    described = {
+        "west": {"task_type": "class", "num_labels": 2}, "price": {"task_type": "continuous", "num_labels": 1},
+        "region": {"task_type": "sequence", "num_labels": 5}, "seg": {"task_type": "class", "num_labels": 5},
+    }
+    path = scratch.scratch_path(spark, "tasks")
+    spark.createDataFrame([(json.dumps(described),)], "value string").coalesce(1).write.text(path)
+    tasks = readers.read_tasks(spark, path)
+    result = task_plan.run_tasks(folded, tasks, FEATURES, ["id"], FACTORS, [0, 1])
+    below = F.col("metric").isin("accuracy", "rmse") & F.when(F.col("feature") == "seg", F.col("value") > 0.1).when(
+        F.col("task_type") == "class", F.col("value") > 0.9
+    ).otherwise(F.col("value") < F.col("spread"))
+    sound = F.when(F.col("metric").isin("accuracy", "rmse"), below).otherwise(F.col("value") >= 0)
+    return result.select("feature", "task_type", "fold", "test_rows", "metric", sound.alias("sound"))
+
+
 @query
 def param_draws(spark, sf):
     return grid.param_draws(_fold_sizes(spark, sf), 8, SEED, ["fold"])
