@@ -18,9 +18,11 @@ import heapq
 import json
 import re
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ class Vocabulary:
         file = json.loads(content)
         model = file["model"]
         splitter = file["pre_tokenizer"]
-        if splitter["type"] != "ByteLevel" or splitter["add_prefix_space"] or file["normalizer"]:
+        if splitter["type"] != "ByteLevel" or splitter["add_prefix_space"] or file["normalizer"] or not splitter["use_regex"]:
             raise ValueError("a byte-level vocabulary without prefix space and normaliser is needed")
         self.ids = model["vocab"]
         self.size = 1 + max([*self.ids.values(), *(t["id"] for t in file["added_tokens"])])
@@ -63,10 +65,9 @@ class Vocabulary:
         for token, i in [*self.ids.items(), *self.added.items()]:
             plain = all(c in byte_of for c in token)
             self.bytes[i] = bytes(byte_of[c] for c in token) if plain else token.encode()
-        #: code point of a shown byte -> its symbol
-        self.symbol = np.zeros(256 + len(hidden), dtype=np.int64)
-        for c in byte_of:
-            self.symbol[ord(c)] = self.ids[c]
+        self.symbol = np.zeros(256, dtype=np.int64)  # of each byte
+        for c, b in byte_of.items():
+            self.symbol[b] = self.ids[c]
 
 
 class PairIndex:
@@ -182,6 +183,10 @@ def merge_all(symbols: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary) -
     return index.sym[there], np.add.reduceat(there.astype(np.int64), starts)
 
 
+# how a byte-level pre-tokenizer splits a text: a fixed value
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# beyond these scripts the libraries' tables of letters are of different age
+_FOREIGN = re.compile("[\u0530-\U0010ffff]").search
 # between two characters that are no white space, a space always starts a new word
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 
@@ -231,6 +236,12 @@ class Encoder:
         added = sorted(self.vocabulary.added, key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
 
+    def _split(self, text: str) -> list[str]:
+        """The parts of a text within which pairs are merged."""
+        if text.isascii() or not _FOREIGN(text):
+            return _PIECE.findall(text)
+        return [text[begin:end] for _, (begin, end) in self.pieces_of(text)]
+
     def _merge(self, pieces: list[str]):
         """Take in the ids of new parts of words."""
         lo = 0
@@ -239,9 +250,10 @@ class Encoder:
             while hi < len(pieces) and (hi == lo or held + len(pieces[hi]) <= BATCH_SYMBOLS):
                 held += len(pieces[hi])
                 hi += 1
-            lengths = np.fromiter(map(len, pieces[lo:hi]), np.int64, hi - lo)
-            shown = np.frombuffer("".join(pieces[lo:hi]).encode("utf-32-le"), dtype=np.uint32)
-            ids, number = merge_all(self.vocabulary.symbol[shown], np.cumsum(lengths) - lengths, self.vocabulary)
+            data = [piece.encode() for piece in pieces[lo:hi]]
+            lengths = np.fromiter(map(len, data), np.int64, hi - lo)
+            symbols = self.vocabulary.symbol[np.frombuffer(b"".join(data), dtype=np.uint8)]
+            ids, number = merge_all(symbols, np.cumsum(lengths) - lengths, self.vocabulary)
             data, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(number)).tolist()
             self.piece.update(zip(pieces[lo:hi], map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))))
             lo = hi
@@ -249,22 +261,24 @@ class Encoder:
     def _learn(self, opening: list[str], inner: list[str]):
         """Take in the ids of new words. Inner words are split as they stand in a text, one after the other."""
         split, owner = [], []
-        for i, word in enumerate(opening):
-            parts = self.pieces_of(word)
-            split += [piece for piece, _ in parts]
-            owner += [i] * len(parts)
+        inner = sorted(inner, key=lambda word: not word.isascii() and _FOREIGN(word) is not None)
+        for lo in range(0, len(opening), SPLIT_WORDS):
+            some = opening[lo : lo + SPLIT_WORDS]
+            parts = list(map(self._split, some))
+            owner.append(lo + np.repeat(np.arange(len(some)), np.fromiter(map(len, parts), np.int64, len(parts))))
+            split += chain.from_iterable(parts)
         for lo in range(0, len(inner), SPLIT_WORDS):
             some = inner[lo : lo + SPLIT_WORDS]
-            parts = self.pieces_of(" " + " ".join(some))
+            parts = self._split(" " + " ".join(some))
             ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
-            begins = np.fromiter((place[0] for _, place in parts), np.int64, len(parts))
-            split += [piece for piece, _ in parts]
-            owner += (len(opening) + lo + np.searchsorted(ends, begins, side="right")).tolist()
+            length = np.fromiter(map(len, parts), np.int64, len(parts))
+            owner.append(len(opening) + lo + np.searchsorted(ends, np.cumsum(length) - length, side="right"))
+            split += parts
         new = self.piece.missing(set(split))
         self._merge(new)
         ids = list(map(self.piece.__getitem__, split))
         self.piece.drop_long(new)
-        cuts = np.searchsorted(owner, np.arange(len(opening) + len(inner) + 1)).tolist()
+        cuts = np.searchsorted(np.concatenate(owner), np.arange(len(opening) + len(inner) + 1)).tolist()
         found = [ids[lo] if hi == lo + 1 else b"".join(ids[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
         self.opening.update(zip(opening, found))
         self.inner.update(zip(inner, found[len(opening) :]))

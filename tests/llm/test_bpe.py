@@ -50,8 +50,16 @@ def test_random_texts_in_small_stretches(encoder, library, monkeypatch, wide):
         assert np.frombuffer(ids, dtype="<i4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
-def test_every_code_point_in_words(encoder, library):
-    points = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x1D400, 0x1FB00, 7)]
+def test_every_code_point_is_split_as_by_the_library(library, encoder):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 166):
+        text = "".join(f"a{c}1{c}-{c}" for c in points[lo : lo + 166])
+        pieces = [text[begin:end] for _, (begin, end) in library.pre_tokenizer.pre_tokenize_str(text)]
+        assert encoder._split(text) == pieces
+
+
+def test_code_points_in_words(encoder, library):
+    points = [chr(c) for c in range(0x3100)] + [chr(c) for c in range(0x1D400, 0x1FB00, 7)]
     for lo in range(0, len(points), 500):
         text = " ".join(f"a{c}b {c} {c}{c} 1{c}" for c in points[lo : lo + 500])
         assert ids_of(encoder, text) == library.encode(text, add_special_tokens=False).ids
