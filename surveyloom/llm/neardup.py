@@ -41,6 +41,7 @@ SYMBOLS = CHUNKS * CHUNK
 WORDS = SYMBOLS // 8
 #: A pair of the least similarity is further apart with probability 0.00002.
 FAR = 20
+MARK_BITS, MOST_CLASSES = 40, (1 << 22) - 1
 FEWEST = 4  # distinct sets of at most 3 shingles have a similarity below 0.8
 SEEDS = wordhash.mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 
@@ -200,6 +201,10 @@ def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
 
     As many as a set of at least `percent` similarity cannot all miss. `common` tells in
     how many classes they are in all; it is largest near the origin of a group of copies.
+
+    A shingle is one whole number, the number of its classes before bits of its hash, so
+    that lists compare without nested values. Two shingles of one number count as equal,
+    which can only let a pair through that is then compared in full.
     """
 
     def run(batches):
@@ -212,11 +217,17 @@ def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
 
     rows = sets.mapInArrow(run, "shingle bigint, cid bigint")
     known = materialise(rows.groupBy("shingle").agg(F.count("*").alias("classes")), "shingles")
-    order = F.array_sort(F.collect_list(F.struct("classes", "shingle")))
-    listed = rows.join(known, "shingle").groupBy("cid").agg(order.alias("all"))
+    mark = F.shiftleft(F.least("classes", F.lit(MOST_CLASSES)), MARK_BITS).bitwiseOR(
+        F.col("shingle").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+    )
+    listed = rows.join(known.select("shingle", mark.alias("mark")), "shingle").groupBy("cid").agg(
+        F.sort_array(F.collect_list("mark")).alias("all")
+    )
     count = F.size("all") - F.ceil(F.size("all") * percent / 100).cast("int") + 1
     rare = listed.select("cid", F.slice("all", F.lit(1), count).alias("rare"))
-    return rare.withColumn("common", F.aggregate("rare.classes", F.lit(0).cast("bigint"), lambda t, n: t + n))
+    return rare.withColumn(
+        "common", F.aggregate("rare", F.lit(0).cast("bigint"), lambda t, n: t + F.shiftright(n, MARK_BITS))
+    )
 
 
 def _star(labelled: DataFrame, rank: str) -> DataFrame:
@@ -230,10 +241,11 @@ def _star(labelled: DataFrame, rank: str) -> DataFrame:
     return one.select(F.least("lead", other).alias("a"), F.greatest("lead", other).alias("b")).distinct()
 
 
-def _sided(classes: DataFrame, side: str) -> DataFrame:
-    """Size and signature of a class, for one side of a pair."""
+def _sided(classes: DataFrame, side: str, *more: str) -> DataFrame:
+    """Size, signature and what else is named of a class, for one side of a pair."""
     return classes.select(
-        F.col("cid").alias(side), F.col("size").alias(f"n{side}"), *(F.col(f"s{k}").alias(f"{side}{k}") for k in range(WORDS))
+        F.col("cid").alias(side), F.col("size").alias(f"n{side}"), *(F.col(f"s{k}").alias(f"{side}{k}") for k in range(WORDS)),
+        *(F.col(name).alias(f"{name}_{side}") for name in more),
     )
 
 
@@ -256,10 +268,8 @@ def _may_share_enough(percent: int) -> Column:
 
     def left(side: str, other: str) -> Column:
         theirs = F.col(f"rare_{other}")
-        missed = F.filter(
-            f"rare_{side}", lambda s: (s < F.element_at(theirs, -1)) & ~F.array_contains(theirs, s)
-        )
-        return F.col(f"n{side}") - F.size(missed)
+        within = F.filter(f"rare_{side}", lambda s: s < F.element_at(theirs, -1))
+        return F.col(f"n{side}") - F.size(F.array_except(within, theirs))
 
     return F.arrays_overlap(first("a"), first("b")) & (left("a", "b") >= needed) & (left("b", "a") >= needed)
 
@@ -318,17 +328,11 @@ def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
     inside = _still_mixed(_joined_up(inside.select("key", "cid"), links))
     minor = inside.where("component <> major").select("key", F.col("cid").alias("a"), F.col("component").alias("ca"))
     other = inside.select("key", F.col("cid").alias("b"), F.col("component").alias("cb"), "major")
-    # narrow rows first: a pair that meets in many entries gets its lists of shingles once
-    close = (
-        minor.join(_sided(classes, "a"), "a").join(other.join(_sided(classes, "b"), "b"), "key")
-        .where("ca <> cb and (cb = major or a < b)").where(_may_link(percent))
+    across = (
+        minor.join(_sided(known, "a", "rare"), "a").join(other.join(_sided(known, "b", "rare"), "b"), "key")
+        .where("ca <> cb and (cb = major or a < b)").where(_may_link(percent) & _may_share_enough(percent))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    rare = known.select("cid", "size", "rare")
-    listed = materialise(close, "close")
-    for side in ("a", "b"):
-        listed = listed.join(rare.select(F.col("cid").alias(side), F.col("size").alias(f"n{side}"), F.col("rare").alias(f"rare_{side}")), side)
-    across = listed.where(_may_share_enough(percent)).select("a", "b")
     across = materialise(across, "across")
     links = materialise(links.select("a", "b").unionByName(_confirmed(across, sets, percent)), "links")
 
