@@ -540,6 +540,7 @@ BODIES: dict[str, str] = {
         "('continuous', 'label_precision_rmse'), ('sequence', 'rmse'), ('sequence', 'integerized_rmse'), "
         "('sequence', 'label_precision_rmse')) m(kind, metric) on task_type = kind"
     ),
+    "encode_by_map": f"select id, {columns([*FEATURES, *T], 'case when try_cast($ as int) is not null then $ end')} from survey_num",
     "experiment": (
         "select f.v as feature_count, g.i as grid_no, g.v as num_epochs, cast(0.01 as double) as weight_decay, "
         f"fold, test_rows, majority_rate, true as complete from ({_fold_facts(3)}), (values (2), (4)) f(v), "

@@ -934,6 +934,16 @@ def label_maps(spark, sf):
     )
 
 
+@query
+def encode_by_map(spark, sf):
+    """Every spelled-out column turned into codes by the written map of the same columns."""
+    num = _stored(spark, sf)
+    spelled, columns = demo.spelled_out(num), [*FEATURES, *T]
+    cells = labels.code_label_join(num, spelled, columns)
+    reverse = scratch.materialise(labels.reverse_label_map(labels.label_map(cells)), "reverse_label_map")
+    return labels.encode_by_map(spelled, columns, reverse, ["id"])
+
+
 @query
 def experiment(spark, sf):
     """Every grid point on every fold."""

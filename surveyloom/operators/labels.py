@@ -171,6 +171,25 @@ def encode_targets(df: DataFrame, targets: list[str], labels: LabelMap) -> DataF
     )
 
 
+def encode_by_map(
+    df: DataFrame, columns: list[str], entries: DataFrame, keys: list[str], key: str = "label", value: str = "code",
+    salts: int = 16,
+) -> DataFrame:
+    """(keys, columns): every cell replaced by its entry of a (feature, key, value) table; null where there is none.
+
+    Cells become rows, meet the table in a join and become columns again, so a table of
+    any size serves, and none of it is on the driver. A frequent answer is dealt out over
+    `salts` copies of its entry. Keys must be unique, as must (feature, key).
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias(key)) for c in columns])
+    salt = F.pmod(F.xxhash64(*keys), F.lit(salts)).alias("_salt")
+    asked = df.select(*keys, salt, F.explode(cells).alias("_cell")).select(*keys, "_salt", "_cell.*")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    known = entries.select("feature", key, value, copies)
+    found = asked.join(known, ["feature", key, "_salt"], "left")
+    return found.groupBy(*keys).pivot("feature", columns).agg(F.first(value, ignorenulls=True))
+
+
 def domain_violations(
     df: DataFrame, targets: list[str], labels: LabelMap, mode: str = "text"
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,7 @@ def run_experiment(
     config: SurveyConfig | None = None,
     sizes: ExperimentConfig | None = None,
     search_trials: int = 0,
+    resume: bool = False,
 ) -> DataFrame:
     """Prepare, generate, train, evaluate, score and compare; returns the ledger.
 
@@ -70,7 +72,8 @@ def run_experiment(
     ranking, the join with the texts, the candidates, their vectors. Every grid
     point and fold has its own folder in each output table, which a repetition
     replaces, and its own line in the ledger. With ``search_trials`` the grid is
-    replaced by the best of that many drawn settings.
+    replaced by the best of that many drawn settings. With ``resume`` points that an
+    interrupted run with the same inputs and settings has finished are not run again.
     """
     config, sizes = config or SurveyConfig(), sizes or ExperimentConfig()
     targets, id_col = config.targets, config.id_col
@@ -126,11 +129,24 @@ def run_experiment(
             for fold in folds
         ]
     real_numbers = cleaned.select(*targets)
-    side_by_side(lambda point: point.run(out_dir, config, real_numbers), points, sizes.parallel_fits)
+    done = finished_runs(spark, out_dir) if resume else set()
+    left = [point for point in points if point.settings not in done]
+    side_by_side(lambda point: point.run(out_dir, config, real_numbers), left, sizes.parallel_fits)
     paths = [run_path(f"{out_dir}/ledger", point.run_id) for point in points]
     return spark.read.schema(LEDGER_SCHEMA).parquet(*paths)
 
 
+def finished_runs(spark: SparkSession, out_dir: str) -> set[tuple]:
+    """Settings of the points in the ledger. A point's line is written last, so one that was cut short has none."""
+    try:
+        lines = spark.read.schema(LEDGER_SCHEMA).parquet(f"{out_dir}/ledger")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return set()
+    return {tuple(r) for r in lines.select("feature_count", "grid_no", "num_epochs", "weight_decay", "fold").collect()}
+
+
 class Point:
     """One model: a grid point on one fold."""
 
@@ -141,6 +157,7 @@ class Point:
         self.k, self.grid_no, self.params, self.fold = k, grid_no, params, fold
         self.vectors, self.remaining, self.collisions = vectors, remaining, collisions
         self.run_id = run_name(k, grid_no, fold)
+        self.settings = (k, grid_no, params.num_epochs, params.weight_decay, fold)
 
     def run(self, out_dir: str, config: SurveyConfig, real_numbers: DataFrame) -> None:
         """Train, evaluate the fold, score the held-back rows, compare, note the result."""

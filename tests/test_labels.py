@@ -83,3 +83,21 @@ def test_unknown_labels(spark):
     assert labels.label_to_code(df, ["educ"], fv.TARGET_LABELS).collect()[0].educ is None
     with pytest.raises(Exception, match="no entry for nowhere"):
         labels.encode_targets(df, ["educ"], fv.TARGET_LABELS).collect()
+
+
+def test_encode_by_map(spark):
+    from surveyloom.operators import labels
+
+    entries = spark.createDataFrame(
+        [("a", "yes", "1"), ("a", "no", "2"), ("b", "yes", "9")], "feature string, label string, code string"
+    )
+    rows = spark.createDataFrame(
+        [(1, "yes", "yes", 0), (2, "no", "no", 0), (3, None, "yes", 0), (4, "maybe", None, 0)], "id int, a string, b string, c int"
+    )
+    for salts in (1, 16):
+        found = labels.encode_by_map(rows, ["a", "b"], entries, ["id"], salts=salts)
+        assert found.columns == ["id", "a", "b"]
+        assert sorted(map(tuple, found.collect())) == [(1, "1", "9"), (2, "2", None), (3, None, "9"), (4, None, None)]
+    back = labels.encode_by_map(found, ["a", "b"], entries, ["id"], key="code", value="label")
+    assert sorted(map(tuple, back.collect())) == [(1, "yes", "yes"), (2, "no", None), (3, None, "yes"), (4, None, None)]
+    assert labels.encode_by_map(rows.limit(0), ["a"], entries, ["id"]).count() == 0

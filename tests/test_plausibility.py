@@ -194,3 +194,40 @@ def test_illegal_answers_stop_the_experiment(spark, sf, tmp_path):
     names = spark.createDataFrame([("yr", "order year")], "name string, simplab string")
     with pytest.raises(ValueError, match="outside the legal answers"):
         run_experiment(spark, num, demo.spelled_out(num), names, str(tmp_path), demo.CONFIG, ExperimentConfig([1]))
+
+
+def test_an_interrupted_grid_goes_on(spark, sf, tmp_path, monkeypatch):
+    from surveyloom.plans import experiment
+
+    num = scratch.materialise(demo.survey_num(spark, sf), "num")
+    names = spark.createDataFrame(list(demo.DICTIONARY.items()), "name string, simplab string")
+    sizes = ExperimentConfig(feature_counts=[2], epochs=[1], candidates=900, train_candidates=400, folds=3)
+    out = str(tmp_path / "out")
+    ran = []
+    plain, save = experiment.Point.run, experiment.save_model
+
+    def noted(point, *args):
+        ran.append(point.run_id)
+        plain(point, *args)
+
+    def broken(model, path):
+        if "f2-0-1" in path:
+            raise RuntimeError("lost")
+        save(model, path)
+
+    def run(resume):
+        ran.clear()
+        return run_experiment(spark, num, demo.spelled_out(num), names, out, demo.CONFIG, sizes, resume=resume)
+
+    monkeypatch.setattr(experiment.Point, "run", noted)
+    monkeypatch.setattr(experiment, "save_model", broken)
+    with pytest.raises(RuntimeError, match="lost"):
+        run(True)
+    assert "f2-0-0" in ran
+    monkeypatch.setattr(experiment, "save_model", save)
+    finished = {r[4] for r in experiment.finished_runs(spark, out)}
+    assert 0 in finished and 1 not in finished
+    assert sorted(r.fold for r in run(True).collect()) == [0, 1, 2]
+    assert "f2-0-1" in ran and "f2-0-0" not in ran
+    run(True)
+    assert ran == []
