@@ -529,7 +529,7 @@ BODIES: dict[str, str] = {
     "factor_cross_validate": _fold_facts(3),
     "factor_search": (
         f"select trial, {', '.join(_trial_choice(n) for n in fv.SEARCH_CHOICES)}, "
-        f"{_trial_epochs(*fv.SEARCH_EPOCH_RANGE)} as num_train_epochs, true as beats_majority "
+        f"{_trial_epochs(*fv.SEARCH_EPOCH_RANGE)} as num_train_epochs, true as best_beats_majority "
         "from (select cast(range as int) as trial from range(8))"
     ),
     "task_models": (
