@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ HELD_GRAMS = 1 << 22
 PAYLOAD_BYTES = 1 << 19
 BUCKET_TEXT = 8 << 20
 LEAST_BUCKETS = 48
+BUCKETS_A_PART = 4
 
 Counted = tuple[np.ndarray, np.ndarray]
 
@@ -69,13 +71,24 @@ def counted(parts: list[Counted]) -> Counted:
 
 
 def on_files(docs: DataFrame) -> DataFrame:
-    """docs as a scan of files, written first if they are none, with their block."""
-    if not docs.inputFiles():
-        docs = materialise(docs, "docs")
-    file = F.input_file_name()
-    place = F.hash(F.when(file == "", F.raise_error(F.lit("documents must come straight from files"))).otherwise(file),
-                   F.input_file_block_start())
-    return docs.withColumn("_block", place)
+    """docs as a scan of files, with their block; written first where they are none.
+
+    A block is a split of a file, by the metadata that the file source keeps of every
+    row. Rows of generated tables, aggregates, unions and most joins have none. Rows
+    that were shuffled may still have theirs, but a block's rows no longer lie
+    together; such tables are written first too, whatever their size.
+    """
+
+    def placed(rows: DataFrame) -> DataFrame:
+        split = rows.metadataColumn("_metadata")
+        return rows.withColumn("_block", F.hash(split["file_path"], split["file_block_start"]))
+
+    try:
+        found = placed(docs)
+        straight = "_block" in found.columns and docs.where(F.input_file_name() == "").isEmpty()
+    except AnalysisException:
+        straight = False
+    return found if straight else placed(materialise(docs, "docs"))
 
 
 def bucket_count(docs: DataFrame, text_col: str) -> int:
@@ -83,6 +96,14 @@ def bucket_count(docs: DataFrame, text_col: str) -> int:
     return max(LEAST_BUCKETS, 4 * shuffle_width(docs.sparkSession), -(-size // BUCKET_TEXT))
 
 
+def dealt(rows: DataFrame, buckets: int, *keys: str) -> DataFrame:
+    """Rows of a key together; the number of parts grows with the buckets, so tasks do not."""
+    parts = -(-buckets // BUCKETS_A_PART)
+    if parts <= shuffle_width(rows.sparkSession):
+        return rows.repartition(*keys)
+    return rows.repartition(parts, *keys)
+
+
 def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows with about `most` bytes; a longer row is alone."""
     at = 0
@@ -146,7 +167,7 @@ def request_rows(docs: DataFrame, extract: Callable, route: Callable, buckets: i
     return docs.mapInArrow(run, "bucket int, block int, kind int, grams binary, counts binary")
 
 
-def bucket_rows(requests: DataFrame, work: Callable, schema: str) -> DataFrame:
+def bucket_rows(requests: DataFrame, buckets: int, work: Callable, schema: str) -> DataFrame:
     """work(kind, [(block, grams, counts)]) for each bucket; it yields record batches."""
 
     def run(batches):
@@ -164,8 +185,8 @@ def bucket_rows(requests: DataFrame, work: Callable, schema: str) -> DataFrame:
         if rows:
             yield from work(key[0], rows)
 
-    dealt = requests.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "block")
-    return dealt.mapInArrow(run, schema)
+    together = dealt(requests, buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket", "block")
+    return together.mapInArrow(run, schema)
 
 
 ANSWER = "block int, kind int, grams binary, answers binary"
@@ -206,7 +227,7 @@ class Answers:
         return self.values[np.searchsorted(self.grams, grams)]
 
 
-def block_rows(docs: DataFrame, answers: DataFrame, score: Callable, schema) -> DataFrame:
+def block_rows(docs: DataFrame, answers: DataFrame, buckets: int, score: Callable, schema) -> DataFrame:
     """score(batch, {kind: Answers}) -> record batch, for all documents (with _block)."""
 
     def packets(batches):
@@ -251,5 +272,5 @@ def block_rows(docs: DataFrame, answers: DataFrame, score: Callable, schema) ->
                              "answers": F.lit(None).cast("binary")})
     )
     # answers of a block first: their payload is null
-    dealt = met.repartition("block").sortWithinPartitions("block", F.col("payload").isNotNull())
-    return dealt.mapInArrow(run, schema)
+    together = dealt(met, buckets, "block").sortWithinPartitions("block", F.col("payload").isNotNull())
+    return together.mapInArrow(run, schema)

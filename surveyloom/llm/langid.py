@@ -36,8 +36,21 @@ UNKNOWN = "und"
 
 
 def letter_table() -> np.ndarray:
-    """For every code point whether it is a letter or a mark on one."""
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)])
+    """For every code point 2 if it is a letter, 1 if it is a mark, which may stand on one, else 0."""
+    rank = {"L": 2, "M": 1}
+    return np.array([rank.get(unicodedata.category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)], dtype=np.uint8)
+
+
+def in_words(kinds: np.ndarray) -> np.ndarray:
+    """Which characters belong to words: runs of letters and marks with a letter among them."""
+    inside = kinds > 0
+    starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    if not len(starts):
+        return inside
+    lettered = np.maximum.reduceat(kinds, starts) == 2
+    if not lettered.all():
+        inside[starts[0] :] &= np.repeat(lettered, np.diff(np.append(starts, len(kinds))))
+    return inside
 
 
 class Trigrams:
@@ -51,7 +64,7 @@ class Trigrams:
         lowered = [text.lower() for text in texts]
         joined = " ".join(["", *lowered, ""])
         codes = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
-        inside = self.letters[codes]
+        inside = in_words(self.letters[codes])
         padded = np.where(inside, codes, 0).astype(np.uint64)
         at = np.flatnonzero(inside)
         key = padded[at - 1] << np.uint64(42) | padded[at] << np.uint64(21) | padded[at + 1]

@@ -61,7 +61,7 @@ def _route(kind: int, grams: np.ndarray) -> np.ndarray:
     return grams >> 8 & 0xFFFF if kind == BYTES else grams
 
 
-def _survey(requests: DataFrame, depth: int):
+def _survey(requests: DataFrame, buckets: int, depth: int):
     """The two topmost levels of the tree, number of training tokens and of distinct ones."""
 
     def work(kind, rows):
@@ -73,7 +73,7 @@ def _survey(requests: DataFrame, depth: int):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(c, pa.float64()) for c in (zeros, ones, children))],
                                          names=["key", "zeros", "ones", "children"])
 
-    found = bucket_rows(requests, work, "key bigint, zeros double, ones double, children double")
+    found = bucket_rows(requests, buckets, work, "key bigint, zeros double, ones double, children double")
     summed = found.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "children")))
     table = summed.orderBy("key").toArrow()  # a line per visited node of one context byte: 65,280 at most
     key, zeros, ones, children = (table.column(c).to_numpy() for c in ("key", "zeros", "ones", "children"))
@@ -96,7 +96,7 @@ def score_texts(docs: DataFrame, depth: int = ctw.DEPTH) -> DataFrame:
     )
     buckets = bucket_count(docs, "text")
     requests = materialise(request_rows(rows, _extractor(depth), _route, buckets), "requests")
-    top, tokens, distinct = _survey(requests, depth)
+    top, tokens, distinct = _survey(requests, buckets, depth)
     shipped = docs.sparkSession.sparkContext.broadcast(top)
 
     def answer(kind_, bucket):
@@ -105,7 +105,7 @@ def score_texts(docs: DataFrame, depth: int = ctw.DEPTH) -> DataFrame:
             counts = ctw.log_chances(grams, [*shipped.value, *ctw.local_levels(grams, counts, depth)])
         yield from answer_batches(kind_, bucket, counts, at)
 
-    answers = bucket_rows(requests, answer, ANSWER)
+    answers = bucket_rows(requests, buckets, answer, ANSWER)
     norm = np.log10(tokens + distinct + 1)
     hasher = []
 
@@ -137,7 +137,7 @@ def score_texts(docs: DataFrame, depth: int = ctw.DEPTH) -> DataFrame:
         )
 
     return block_rows(
-        rows.select("doc_id", "_block", "bytes"), answers, score,
+        rows.select("doc_id", "_block", "bytes"), answers, buckets, score,
         f"doc_id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, "
         "bits_per_byte double",
     )

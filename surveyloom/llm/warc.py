@@ -2,7 +2,7 @@
 
 An archive file is a sequence of Zstandard frames: a skippable frame that holds the
 dictionary, then one frame per record, so that a reader can start at any record.
-Rows are written by Spark's text sink, whose line separator is set to an empty
+Archives are of bounded size, so that one can be read as a whole. They are written by Spark's text sink, one row a file, whose line separator is set to an empty
 skippable frame: decoders pass over it, and any store that Spark can write to will do.
 
 Of the pages with equal payloads, the one with the largest id is archived as a
@@ -34,6 +34,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 SAMPLE_RECORDS = 1000
 SAMPLE_RECORD_BYTES = 32 << 10
 DICTIONARY_BYTES = 64 << 10
+ARCHIVE_BYTES = 32 << 20
 LEVEL = 6
 
 PAGE_SCHEMA = (
@@ -182,8 +183,11 @@ def train_dictionary(pages: DataFrame) -> bytes:
         return (b"".join(records) or b"WARC/1.1\r\n")[-DICTIONARY_BYTES:]
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Write pages (page_id, url, html) as archive files under `path`, one per task.
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write pages (page_id, url, html) as archive files under `path`.
+
+    Every row that a task passes on is a whole archive, its dictionary in front, of
+    ARCHIVE_BYTES or one record more, and becomes a file of its own.
 
     * Null html: empty payload. Null url: no target field. Null page_id: no id field;
       it counts as smaller than any id.
@@ -197,25 +201,26 @@ def write_archives(pages: DataFrame, path: str) -> None:
         import zstandard as zstd
 
         writer = zstd.ZstdCompressor(level=LEVEL, dict_data=_as_dictionary(dictionary.value))
-        lead = [dictionary_frame(dictionary.value)]
+        lead = dictionary_frame(dictionary.value)
+        frames, held = [lead], 0
+
+        def archive():
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(frames)], pa.binary())], names=["archive"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            frames, held = lead, 0
-            lead = []
             for page_id, url, payload, revisit, top in zip(*batch.columns):
                 frames.append(
                     writer.compress(record(page_id.as_py(), url.as_py(), payload.as_py(), revisit.as_py(), top.as_py()))
                 )
                 held += len(frames[-1])
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
-                    frames, held = [], 0
-            if frames:
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
-
-    frames = with_decisions(pages).mapInArrow(run, "frame binary")
-    frames.select(F.col("frame").cast("string")).write.text(path, lineSep=EMPTY_FRAME.decode())
+                if held > archive_bytes:
+                    yield archive()
+                    frames, held = [lead], 0
+        if held:
+            yield archive()
+
+    archives = with_decisions(pages).mapInArrow(run, "archive binary").select(F.col("archive").cast("string"))
+    archives.write.option("maxRecordsPerFile", 1).text(path, lineSep=EMPTY_FRAME.decode())
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

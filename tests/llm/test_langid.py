@@ -88,3 +88,25 @@ def test_held_out_accuracy(spark, sf):
     docs = table(spark, folder, "documents")
     found = langid.language_mixtures(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.98
+
+
+def test_marks_alone_are_no_words(corpus, documents):
+    marks = "\u0301\u0301 \u0483\u20dd"
+    docs = documents([(1, marks), (2, marks + " " + EN), (3, EN)])
+    model = langid.fit(langid.training_rows(corpus))
+    found = {r["row"]["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    assert found[1]["lang_pred"] == langid.UNKNOWN and found[1]["score"] == 0
+    assert found[2]["lang_pred"] == found[3]["lang_pred"] and found[2]["score"] == pytest.approx(found[3]["score"])
+
+
+def test_words_against_a_pattern():
+    import random
+    import unicodedata
+
+    draw = random.Random(3)
+    for size in [0, 1, 2, 5, 40] * 40:
+        text = "".join(draw.choice("ab\u0301\u0483 .") for _ in range(size))
+        kinds = "".join({"L": "L", "M": "M"}.get(unicodedata.category(c)[0], " ") for c in text)
+        runs = [part if "L" in part else " " * len(part) for part in kinds.split(" ")]
+        codes = np.array([{"L": 2, "M": 1, " ": 0}[k] for k in kinds], dtype=np.uint8)
+        assert langid.in_words(codes).tolist() == [k != " " for k in " ".join(runs)]

@@ -5,8 +5,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from surveyloom.llm import ctw, lmscore
+from surveyloom.llm import blockjoin, ctw, lmscore
 from surveyloom.llm.wordhash import column_bytes
 
 
@@ -119,3 +120,23 @@ def test_repeated_rows_and_a_text_of_several_slices(documents):
     rows = lmscore.score_documents(documents([(1, long), (1, long), (None, "lorem")])).collect()
     assert len(rows) == 3 and len({r["score"] for r in rows if r["doc_id"] == 1}) == 1
     assert {r["n_tokens"] for r in rows} == {300_001, 2}
+
+
+def test_documents_that_do_not_come_straight_from_files(documents, spark):
+    docs = documents(list(enumerate(TEXTS)))
+    halves = docs.where("doc_id % 2 = 0").unionByName(docs.where("doc_id % 2 = 1"))
+    joined = docs.select("doc_id", "text").join(docs.select("doc_id", "lang").hint("merge"), "doc_id")
+    local = spark.createDataFrame(docs.collect(), docs.schema)
+    named = docs.withColumn("_metadata", F.lit("x"))
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    rows = lambda df: sorted(
+        tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in lmscore.score_documents(df).select(columns).collect()
+    )
+    want = rows(docs)
+    for other in (docs.repartition(4), halves, joined, docs.orderBy("text"), docs.distinct(), local, named):
+        assert rows(other) == want
+
+
+def test_parts_grow_with_the_buckets(spark):
+    rows = spark.range(100).withColumnRenamed("id", "bucket")
+    assert blockjoin.dealt(rows, 4000, "bucket").rdd.getNumPartitions() == 1000

@@ -98,3 +98,19 @@ def test_damage_is_noticed():
         list(warc.read_records(io.BytesIO(good.replace(b"payload\r\n\r\n", b"PAYLOAD\r\n\r\n"))))
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(good[:-1])))
+
+
+@pytest.mark.parametrize("most", ["0", "1", "7"])
+def test_archives_of_bounded_size_each_with_its_dictionary(spark, tmp_path, most):
+    rows = [(i, f"u{i}", f"page {i} " + hashlib.sha256(str(i).encode()).hexdigest() * (1 + i % 40)) for i in range(400)]
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", most)
+    try:
+        warc.write_archives(pages, str(tmp_path / "a"), archive_bytes=4000)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    files = list((tmp_path / "a").glob("part-*"))
+    sizes = [f.stat().st_size for f in files]
+    assert any("-c001" in f.name for f in files) and max(sizes) < 4000 + warc.DICTIONARY_BYTES + 4000
+    found = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
+    assert found == {i: html for i, _, html in rows}
