@@ -172,6 +172,21 @@ def _code_case(t: str, kind: str = "varchar") -> str:
     return f"cast(case {t} {cases} end as {kind}) as {t}"
 
 
+_ANSWERS = [*[(t, list(demo.LABELS[t])) for t in T], ("mon", range(1, 13)), ("nation", range(25))]
+_NAMED_ANSWERS = ", ".join(f"('{v}={code}')" for v, codes in _ANSWERS for code in codes)
+_GIVEN = " union all ".join(f"select id, '{v}=' || cast(cast({v} as int) as varchar) as name from prepared" for v, _ in _ANSWERS)
+# both, each and all rows counted: of 0/1 columns these give the covariance
+_ANSWER_COVARIANCES = f"""
+    select a.name as row, b.name as col,
+           round((coalesce(x.n, 0) - coalesce(p.n, 0) * coalesce(q.n, 0) / cast(s.n as double)) / (s.n - 1), 6) + 0.0 as cov
+    from (values {_NAMED_ANSWERS}) a(name)
+    cross join (values {_NAMED_ANSWERS}) b(name)
+    cross join (select count(*) as n from prepared) s
+    left join (select name, count(*) as n from ({_GIVEN}) group by name) p on p.name = a.name
+    left join (select name, count(*) as n from ({_GIVEN}) group by name) q on q.name = b.name
+    left join (select l.name as one, r.name as other, count(*) as n from ({_GIVEN}) l join ({_GIVEN}) r using (id)
+               group by l.name, r.name) x on x.one = a.name and x.other = b.name"""
+
 _ENCODED = f"(select {', '.join(_code_case(t, 'double') for t in T)} from scored where prediction = 1)"
 INPUTS = INPUTS.format(
     real_cov=_covariances(T, "prepared"), pred_cov=_covariances(T, _ENCODED)
@@ -335,6 +350,7 @@ BODIES: dict[str, str] = {
         "select p_brand as name, arg_max(p_name, p_partkey) as simplab from part group by p_brand"
     ),
     "code_map_scan": "select feature, code, label from label_map",
+    "code_map_lines": "select feature, code, label from label_map",
     "split_read": (
         "select case when fold = 0 then 'test' else 'train' end as split, id, fold from folded "
         "union all select 'validate' as split, id, fold from folded where fold = 0"
@@ -413,6 +429,7 @@ BODIES: dict[str, str] = {
         "min(id) as first_id from cells group by feature, code) group by feature, label"
     ),
     "covariance_matrix": f"select row, col, {r('cov', 4)} as cov from real_cov",
+    "covariance_of_answers": _ANSWER_COVARIANCES,
     "covariance_continuous": f"select row, col, {r('cov', 4)} as cov from ("
     + _covariances(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "lineitem")
     + ")",

@@ -17,6 +17,7 @@ from surveyloom.operators import (
     clean,
     covariance,
     factors,
+    gram,
     grid,
     information,
     labels,
@@ -184,6 +185,16 @@ def code_map_json(spark, sf):
     return labels.code_map_json(built)
 
 
+@query
+def code_map_lines(spark, sf):
+    """The label map written as a JSON line per feature, and read back."""
+    path = scratch.scratch_path(spark, "label_map_lines")
+    num = _stored(spark, sf)
+    built, _ = study.build_label_maps(num, demo.spelled_out(num), CONFIG)
+    writers.write_code_map_lines(built, path)
+    return readers.read_code_map_lines(spark, path)
+
+
 def _length_rule(judged: DataFrame, limit: int) -> DataFrame:
     return judged.withColumn("prediction", (F.col("n_chars") >= limit).cast("int"))
 
@@ -426,6 +437,17 @@ def covariance_matrix(spark, sf):
     return _rounded(covariance.covariance_matrix(_prepared(spark, sf), T), ["cov"], 4)
 
 
+ANSWERS = [(t, code) for t in T for code in LABELS[t]] + [("mon", m) for m in range(1, 13)] + [("nation", n) for n in range(25)]
+
+
+@query
+def covariance_of_answers(spark, sf):
+    """All pairs of answers, a 0/1 column each: 81 columns, 6,561 cells."""
+    names = [f"{variable}={code}" for variable, code in ANSWERS]
+    marks = [(F.col(v) == F.lit(float(code))).cast("int").alias(n) for (v, code), n in zip(ANSWERS, names)]
+    return _rounded(gram.gram_covariance(_prepared(spark, sf).select(*marks), names), ["cov"])
+
+
 @query
 def covariance_continuous(spark, sf):
     lines = demo.table(spark, sf, "lineitem")

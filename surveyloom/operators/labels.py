@@ -121,8 +121,20 @@ def code_map_text(labels: DataFrame, key: str = "code", value: str = "label") ->
     return by_feature.agg(F.to_json(nested).alias("value"))
 
 
+def code_map_lines(labels: DataFrame, key: str = "code", value: str = "label") -> DataFrame:
+    """(feature, value): one JSON line per feature, as ``{feature: {key: value}}``, for maps of any size.
+
+    A line holds the legal answers of one feature; no row or task holds more than the
+    lines that its part of the features needs. A null key or value is left out.
+    """
+    there = labels.where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value))))
+    line = F.to_json(F.create_map("feature", "_entries")).alias("value")
+    return there.groupBy("feature").agg(entries.alias("_entries")).select("feature", line)
+
+
 def code_map_rows(text: DataFrame) -> DataFrame:
-    """(feature, code, label) from a nested JSON map in column ``value``."""
+    """(feature, code, label) from JSON maps in column ``value``: one nested map, or a line per feature."""
     nested = F.from_json("value", "map<string,map<string,string>>")
     return (
         text.select(F.explode(nested).alias("feature", "_codes"))

@@ -65,6 +65,11 @@ def read_code_map(spark: SparkSession, path: str) -> DataFrame:
     return code_map_rows(spark.read.text(path, wholetext=True))
 
 
+def read_code_map_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(feature, code, label) from JSON lines, one feature each, of any number."""
+    return code_map_rows(spark.read.text(path))
+
+
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     """(feature, task_type, num_labels, range) from the JSON metadata file."""
     return task_rows(spark.read.text(path, wholetext=True))

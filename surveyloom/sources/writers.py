@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from surveyloom.operators.labels import code_map_text
+from surveyloom.operators.labels import code_map_lines, code_map_text
 
 
 def run_name(feature_count: int, grid_no: int, fold: int | None = None) -> str:
@@ -39,5 +39,14 @@ def write_code_map(labels: DataFrame, path: str, key: str = "code", value: str =
     code_map_text(labels, key, value).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_code_map_lines(
+    labels: DataFrame, path: str, parts: int | None = None, key: str = "code", value: str = "label"
+) -> None:
+    """The map as one JSON line per feature, in files by ranges of features; `parts` bounds their number."""
+    lines = code_map_lines(labels, key, value)
+    ranged = lines.repartitionByRange(parts, "feature") if parts else lines.repartitionByRange("feature")
+    ranged.sortWithinPartitions("feature").select("value").write.mode("overwrite").text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -74,6 +74,24 @@ def test_code_map_file(spark, tmp_path):
     assert back.count() == 62 and back.exceptAll(frame).isEmpty()
 
 
+@pytest.mark.parametrize("parts", [None, 1, 4])
+def test_code_map_lines(spark, tmp_path, parts):
+    path = str(tmp_path / "lines")
+    frame = labels.label_frame(spark, fv.TARGET_LABELS)
+    odd = spark.createDataFrame([("q", None, "x"), ("q", "1", None), ('a "b"', "1", "line\nbreak, é")], frame.schema)
+    writers.write_code_map_lines(frame.union(odd), path, parts)
+    back = readers.read_code_map_lines(spark, path)
+    whole = frame.union(odd.where("code is not null and label is not null"))
+    assert back.exceptAll(whole).isEmpty() and whole.exceptAll(back).isEmpty()
+    features = [line[0] for line in spark.read.text(path).collect()]
+    assert len(features) == len(fv.TARGET_LABELS) + 1
+
+
+def test_code_map_lines_empty(spark, tmp_path):
+    writers.write_code_map_lines(labels.label_frame(spark, fv.TARGET_LABELS).limit(0), str(tmp_path / "none"))
+    assert readers.read_code_map_lines(spark, str(tmp_path / "none")).isEmpty()
+
+
 def test_dictionary_and_tasks(spark, tmp_path):
     (tmp_path / "d.csv").write_text("name,other,simplab\nage,1,age of one\n")
     assert [tuple(r) for r in readers.read_dictionary(spark, str(tmp_path / "d.csv")).collect()] == [("age", "age of one")]
