@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from surveyloom import fixed_values as fv
 from surveyloom.operators import labels
-from surveyloom.sources import readers, scratch, writers
+from surveyloom.sources import demo, readers, scratch, writers
 
 
 def test_csv_cells_stay_text(spark, tmp_path):
@@ -124,3 +124,14 @@ def test_scratch_falls_back_to_the_warehouse():
     assert scratch.shared_folder(Session(warehouse)) == "hdfs://n/wh/checkpoints"
     assert scratch.shared_folder(Session(warehouse, "hdfs://n/own")) == "hdfs://n/own"
     assert scratch.shared_folder(Session({**warehouse, "spark.checkpoint.dir": "hdfs://n/set/"})) == "hdfs://n/set"
+
+
+def test_survey_dealt_out_is_the_same_survey(spark, sf):
+    plain = demo.survey_num(spark, sf)
+    spark.conf.set(demo.PARTS_CONF, "5")
+    try:
+        dealt = demo.survey_num(spark, sf)
+    finally:
+        spark.conf.unset(demo.PARTS_CONF)
+    assert dealt.rdd.getNumPartitions() == 5
+    assert dealt.exceptAll(plain).isEmpty() and plain.exceptAll(dealt).isEmpty()
