@@ -1,174 +1,262 @@
 """Exact nearest neighbours of binary codes by incremental multi-index hashing.
 
-A code is cut into `SEGMENTS` segments of 16 bits, each with a table from segment value
-to codes. A query looks up, segment after segment, all values at distance 0, then 1, 2
-and so on. When the first j segments have been searched up to radius r and the others
-up to r - 1, every code within SEGMENTS * r + j - 1 bits has been met; a query is
-finished once its k-th best distance is that small.
-
-Equal codes are one entry with their k + 1 smallest ids. Entries are dealt into shards
-and queries into blocks, both of bounded size; every block meets every shard, and the
-k best of all shards are merged. A query is never its own neighbour.
+A code is cut into segments of about log2(codes) bits. Round r looks up, in every
+segment, all values at distance r from the query's. After round r every code within
+segments * (r + 1) - 1 bits has been met, since one of its segments has r errors or
+fewer; a query whose k-th best distance is no larger is finished and asks no more.
+
+For each segment, codes lie in buckets by the first bits of their value, and a query is
+sent to the buckets whose first bits differ from its own in r places at most. So a code
+is written once for each segment, however large the table, and a query meets few of the
+buckets. Buckets of very common values are split into pieces, and the queries of much
+asked ones into blocks; inside a cell of both, queries pass by in batches.
+
+Equal codes are one entry with their k + 1 smallest ids. A query is never its own
+neighbour. Queries that lie apart from all codes go on to larger radii and in the end
+meet all buckets, which is exact as well.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
+from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from surveyloom.llm.support import shuffle_width
 from surveyloom.sources.scratch import materialise
 
-BITS, SEGMENT_BITS = 64, 16
-SEGMENTS = BITS // SEGMENT_BITS
-SHARD_CODES = 1 << 15
-BLOCK_QUERIES = 1 << 11
+MOST_WIDTH = 30
+BUCKET_CODES = 1 << 15
+BLOCK_QUERIES = 1 << 14
 STEP_ROWS = 1 << 21
 
 
 def sign_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, code): one bit per component, set where it is positive; other lengths than BITS are left out."""
+    """(id, bits, code): one bit per component, set where it is positive; a null or NaN component is not."""
     kind = vectors.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            values = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            bits = (values.reshape(-1, BITS) > 0) if len(values) else np.zeros((0, BITS), bool)
-            codes = np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes)], names=["id", "code"])
+            lists = batch.column("vector")
+            signs = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64) > 0
+            size = lists.value_lengths().to_numpy()
+            begin = np.cumsum(size) - size
+            for bits in np.unique(size):
+                at = np.flatnonzero(size == bits)
+                packed = np.packbits(signs[begin[at][:, None] + np.arange(bits)], axis=1)
+                codes = pa.array([row.tobytes() for row in packed], pa.binary())
+                sizes = pa.array(np.full(len(at), bits, np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), sizes, codes], names=["id", "bits", "code"])
 
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    return rows.where((F.size("vector") == BITS) & F.col("id").isNotNull()).mapInArrow(run, f"id {kind}, code bigint")
-
-
-class Shard:
-    """Segment tables over distinct codes, each with a number of ids."""
-
-    def __init__(self, codes: np.ndarray, weights: np.ndarray):
-        self.codes, self.weights = codes.view(np.uint64), weights
-        self.order, self.start = [], []
-        for segment in range(SEGMENTS):
-            values = self.part(self.codes, segment)
-            self.order.append(np.argsort(values, kind="stable"))
-            self.start.append(np.concatenate([[0], np.cumsum(np.bincount(values, minlength=1 << SEGMENT_BITS))]))
-        self.masks = {}
-
-    @staticmethod
-    def part(codes: np.ndarray, segment: int) -> np.ndarray:
-        return (codes >> np.uint64(SEGMENT_BITS * segment) & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64)
-
-    def at_radius(self, radius: int) -> np.ndarray:
-        if radius not in self.masks:
-            self.masks[radius] = np.array([sum(1 << b for b in c) for c in combinations(range(SEGMENT_BITS), radius)])
-        return self.masks[radius]
-
-    def met(self, queries: np.ndarray, segment: int, radius: int):
-        """(query, code, distance) triples first met when `segment` is searched at `radius`."""
-        masks = self.at_radius(radius)
-        step = max(1, STEP_ROWS // len(masks))
-        for lo in range(0, len(queries), step):
-            block = queries[lo : lo + step]
-            values = (self.part(block, segment)[:, None] ^ masks).ravel()
-            begin = self.start[segment][values]
-            count = self.start[segment][values + 1] - begin
-            who = np.repeat(np.repeat(np.arange(len(block)), len(masks)), count)
-            at = self.order[segment][np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-            differ = block[who] ^ self.codes[at]
-            new = np.ones(len(at), dtype=bool)
-            for other in range(SEGMENTS):
-                errors = np.bitwise_count(self.part(differ, other))
-                if other != segment:  # an earlier step would have met it
-                    new &= errors > radius if other < segment else errors >= radius
-            yield lo + who[new], at[new], np.bitwise_count(differ[new]).astype(np.int64)
-
-    def nearest(self, queries: np.ndarray, k: int):
-        """(query, code, distance) with every query's codes up to its k-th nearest id, ties included."""
-        queries = queries.view(np.uint64)
-        within = np.zeros((len(queries), BITS + 1), dtype=np.int64)  # ids met at each distance
-        active = np.arange(len(queries))
-        found = []
-        for radius in range(SEGMENT_BITS + 1):
-            for segment in range(SEGMENTS):
-                for who, at, distance in self.met(queries[active], segment, radius):
-                    who = active[who]
-                    np.add.at(within, (who, distance), self.weights[at])
-                    found.append((who, at, distance))
-                covered = SEGMENTS * radius + segment
-                active = active[within[active, : covered + 1].sum(1) < k]
-                if not len(active):
-                    break
-            if not len(active):
-                break
-        who, at, distance = (np.concatenate(c) for c in zip(*found))
-        reach = np.argmax(np.cumsum(within, 1) >= k, 1)
-        reach[within.sum(1) < k] = BITS
-        near = distance <= reach[who]
-        return who[near], at[near], distance[near]
-
-
-def nearest_codes(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, ids, distance): for distinct query codes the entries (code, ids) that hold their k nearest ids."""
-    kind = entries.schema["ids"].dataType.simpleString()
-    shards = -(-entries.count() // SHARD_CODES)
-    blocks = -(-queries.count() // BLOCK_QUERIES)
-    deal = lambda column, n: F.pmod(F.xxhash64(column), F.lit(max(1, n))).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
-    left = entries.select(deal("code", shards).alias("shard"), every(blocks).alias("block"), F.lit(0).alias("role"), "code", "ids")
-    right = queries.select(
-        every(shards).alias("shard"), deal("code", blocks).alias("block"), F.lit(1).alias("role"), "code",
-        F.lit(None).cast(kind).alias("ids"),
-    )
+    rows = rows.where((F.size("vector") > 0) & F.col("id").isNotNull())
+    return rows.mapInArrow(run, f"id {kind}, bits int, code binary")
+
+
+def segment_widths(bits: int, codes: int) -> list[int]:
+    """Segments of about log2(codes) bits, equal but for one bit."""
+    count = max(1, round(bits / log2(max(2, codes))), -(-bits // MOST_WIDTH))
+    count = min(count, bits)
+    return [bits // count + (s < bits % count) for s in range(count)]
+
+
+def with_parts(df: DataFrame, widths: list[int]) -> DataFrame:
+    """The rows with `parts`, the values of the segments of `code`."""
+    bits, ends = sum(widths), np.cumsum(widths)
+
+    def run(batches):
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8)
+            signs = np.unpackbits(raw.reshape(batch.num_rows, -1), axis=1, count=bits).astype(np.int32)
+            parts = [signs[:, e - w : e] @ (1 << np.arange(w, dtype=np.int32)) for e, w in zip(ends, widths)]
+            flat = np.stack(parts, axis=1).astype(np.int32).ravel()
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * len(widths)
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "parts"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("parts", T.ArrayType(T.IntegerType()))])
+    return df.mapInArrow(run, schema)
+
+
+def part_matrix(column: pa.Array, segments: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, segments)
+
+
+@lru_cache(maxsize=64)
+def masks_of(width: int, errors: int) -> np.ndarray:
+    """All values of `width` bits with `errors` bits set."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(width), errors)], np.int32)
 
-    def search(codes, ids, wanted):
-        if not len(codes) or not len(wanted):
-            return
-        shard = Shard(codes, np.array([len(i) for i in ids]))
-        who, at, distance = shard.nearest(wanted, k)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(wanted[who]), ids.take(pa.array(at)), pa.array(distance.astype(np.int32))],
-            names=["query", "ids", "distance"],
-        )
+
+def probes_of(queries: DataFrame, widths: list[int], prefix: int, radius: int) -> DataFrame:
+    """(segment, bucket, code, parts): the buckets that may hold values at `radius` from a query's."""
 
     def run(batches):
-        cell, codes, ids, wanted = None, [], [], []
+        near = np.concatenate([masks_of(prefix, e) for e in range(min(prefix, radius) + 1)])
+        for batch in batches:
+            parts = part_matrix(batch.column("parts"), len(widths))
+            for segment, width in enumerate(widths):
+                home = parts[:, segment] >> (width - prefix)
+                for lo in range(0, len(near), STEP_ROWS):
+                    masks = near[lo : lo + STEP_ROWS]
+                    step = max(1, STEP_ROWS // 32 // len(masks))
+                    for first in range(0, len(home), step):
+                        some = batch.slice(first, step)
+                        buckets = (home[first : first + step, None] ^ masks).ravel()
+                        rows = some.take(pa.array(np.repeat(np.arange(some.num_rows), len(masks))))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(buckets), segment, np.int32)), pa.array(buckets.astype(np.int32)), *rows.columns],
+                            names=["segment", "bucket", "code", "parts"],
+                        )
+
+    return queries.select("code", "parts").mapInArrow(run, "segment int, bucket int, code binary, parts array<int>")
+
+
+class Cell:
+    """The codes of a piece of a bucket, in order of the other bits of their segment's value."""
+
+    def __init__(self, parts: np.ndarray, ids: pa.Array, segment: int, bucket: int, low: int):
+        self.segment, self.bucket, self.low = segment, bucket, low
+        value = parts[:, segment] & ((1 << low) - 1)
+        order = np.argsort(value, kind="stable")
+        self.parts, self.ids = parts[order], ids.take(pa.array(order))
+        self.values, first = np.unique(value[order], return_index=True)
+        self.start = np.append(first, len(parts))
+
+    def values_at(self, wanted: np.ndarray, errors: int):
+        """(position in `wanted`, position in `values`) of all pairs that differ in `errors` bits."""
+        if comb(self.low, errors) <= len(self.values):
+            masks = masks_of(self.low, errors)
+            targets = (wanted[:, None] ^ masks).ravel()
+            at = np.minimum(np.searchsorted(self.values, targets), len(self.values) - 1)
+            hit = np.flatnonzero(self.values[at] == targets)
+            return hit // len(masks), at[hit]
+        return np.nonzero(np.bitwise_count(wanted[:, None] ^ self.values) == errors)
+
+    def met(self, queries: np.ndarray, radius: int):
+        """(query, code, distance) triples that are met first here: in this segment, at `radius`."""
+        own = queries[:, self.segment]
+        rest = radius - np.bitwise_count((own >> self.low) ^ self.bucket).astype(np.int64)
+        step = max(1, STEP_ROWS // len(self.parts))
+        for errors in np.unique(rest[(rest >= 0) & (rest <= self.low)]):
+            rows = np.flatnonzero(rest == errors)
+            for lo in range(0, len(rows), step):
+                block = rows[lo : lo + step]
+                who, value = self.values_at(own[block] & ((1 << self.low) - 1), int(errors))
+                count = self.start[value + 1] - self.start[value]
+                who = block[np.repeat(who, count)]
+                at = np.repeat(self.start[value] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                wrong = np.bitwise_count(queries[who] ^ self.parts[at])
+                new = (wrong[:, : self.segment] > radius).all(1) & (wrong[:, self.segment + 1 :] >= radius).all(1)
+                yield who[new], at[new], wrong[new].sum(1, dtype=np.int32)
 
-        def settle():
-            if codes and wanted:
-                yield from search(np.concatenate(codes), pa.concat_arrays(ids), np.concatenate(wanted))
+    def nearest(self, queries: pa.RecordBatch, radius: int, k: int):
+        """Batches (code, neighbour_id, distance): of the ids met first here, the k nearest of each query."""
+        parts = part_matrix(queries.column("parts"), self.parts.shape[1])
+        for who, at, distance in self.met(parts, radius):
+            lists = self.ids.take(pa.array(at))
+            many = lists.value_lengths().to_numpy()
+            rows = pa.table({"who": np.repeat(who, many), "distance": np.repeat(distance, many), "id": lists.flatten()})
+            rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in ("who", "distance", "id")]))
+            who = rows.column("who").to_numpy()
+            first = np.flatnonzero(np.diff(who, prepend=-1))
+            place = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+            rows = rows.filter(pa.array(place < k)).combine_chunks()
+            codes = queries.column("code").take(rows.column("who").combine_chunks())
+            yield from pa.table({"code": codes, "neighbour_id": rows.column("id"), "distance": rows.column("distance")}).to_batches()
 
+
+def search_cells(cells: DataFrame, parts: int, widths: list[int], prefix: int, radius: int, k: int, kind: str) -> DataFrame:
+    """(code, neighbour_id, distance) of all cells; in each, codes (role 0) come before queries (role 1)."""
+    place = ["segment", "bucket", "piece", "block"]
+
+    def run(batches):
+        key, codes, cell = None, [], None
         for batch in batches:
-            place = batch.column("shard").to_numpy().astype(np.int64) << 32 | batch.column("block").to_numpy()
-            role = batch.column("role").to_numpy()
-            cuts = np.flatnonzero(np.diff(place) | np.diff(role)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)]):
+            where = np.stack([batch.column(c).to_numpy() for c in [*place, "role"]], axis=1)
+            cuts = np.flatnonzero((np.diff(where, axis=0) != 0).any(1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(where)]):
                 if lo == hi:
                     continue
-                if place[lo] != cell:
-                    yield from settle()
-                    cell, codes, ids, wanted = place[lo], [], [], []
-                part = batch.slice(lo, hi - lo)
-                if role[lo] == 0:
-                    codes.append(part.column("code").to_numpy())
-                    ids.append(part.column("ids"))
-                else:
-                    wanted.append(part.column("code").to_numpy())
-        yield from settle()
+                part, here = batch.slice(lo, hi - lo), tuple(where[lo, :4].tolist())
+                if here != key:
+                    key, codes, cell = here, [], None
+                if where[lo, 4] == 0:
+                    codes.append(part)
+                    continue
+                if cell is None and codes:
+                    matrix = np.concatenate([part_matrix(c.column("parts"), len(widths)) for c in codes])
+                    ids = pa.concat_arrays([c.column("ids") for c in codes])
+                    cell, codes = Cell(matrix, ids, here[0], here[1], widths[here[0]] - prefix), []
+                if cell is not None:
+                    yield from cell.nearest(part, radius, k)
 
-    met = left.unionByName(right).repartition(max(1, shards * blocks), "shard", "block")
-    return met.sortWithinPartitions("shard", "block", "role").mapInArrow(run, f"query bigint, ids {kind}, distance int")
+    dealt = cells.repartition(parts, *place).sortWithinPartitions(*place, "role")
+    return dealt.mapInArrow(run, f"code binary, neighbour_id {kind}, distance int")
+
+
+def nearest_codes(entries: DataFrame, queries: DataFrame, k: int, bits: int) -> DataFrame:
+    """(code, neighbour_id, distance): for distinct query codes their k nearest ids among the entries (code, ids)."""
+    spark, listed = entries.sparkSession, entries.schema["ids"].dataType
+    kind = listed.elementType.simpleString()
+    size = entries.agg(F.count("*").alias("codes"), F.sum(F.size("ids")).alias("ids")).first()
+    widths = segment_widths(bits, size["codes"])
+    prefix = min(min(widths), max(0, ceil(log2(max(1, size["codes"]) / BUCKET_CODES))))
+    low = F.element_at(F.array(*[F.lit(1 << (w - prefix)) for w in widths]), F.col("segment") + 1)
+    homes = with_parts(entries, widths).select("code", "ids", "parts", F.posexplode("parts").alias("segment", "value"))
+    homes = materialise(homes.withColumn("bucket", F.floor(F.col("value") / low).cast("int")).drop("value"), "homes")
+    pieces = F.ceil(F.count("*") / BUCKET_CODES).cast("int").alias("pieces")
+    buckets = materialise(homes.groupBy("segment", "bucket").agg(pieces), "buckets")
+    asking = materialise(with_parts(queries.select("code"), widths), "asking")
+    best = spark.createDataFrame([], f"code binary, neighbour_id {kind}, distance int")
+    first = Window.partitionBy("code").orderBy("distance", "neighbour_id")
+    deal = lambda n: F.pmod(F.xxhash64("code"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = ["segment", "bucket"]
+    for radius in range(max(widths) + 1):
+        if not size["codes"] or asking.isEmpty():
+            break
+        probes = materialise(probes_of(asking, widths, prefix, radius), "probes")
+        blocks = F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks")
+        met = materialise(buckets.join(probes.groupBy(*place).agg(blocks), place), "met")
+        parts = met.agg(F.sum(F.col("pieces") * F.col("blocks"))).first()[0] or 0
+        left = homes.join(met, place).select(
+            *place, deal("pieces").alias("piece"), every("blocks").alias("block"), F.lit(0).alias("role"),
+            F.lit(None).cast("binary").alias("code"), "parts", "ids",
+        )
+        right = probes.join(met, place).select(
+            *place, every("pieces").alias("piece"), deal("blocks").alias("block"), F.lit(1).alias("role"),
+            "code", "parts", F.lit(None).cast(listed).alias("ids"),
+        )
+        found = search_cells(left.unionByName(right), max(shuffle_width(spark), parts), widths, prefix, radius, k, kind)
+        best = best.unionByName(found).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k).drop("n")
+        best = materialise(best, "best")
+        sure = F.count_if(F.col("distance") < len(widths) * (radius + 1))
+        closed = best.groupBy("code").agg(sure.alias("sure"), F.count("*").alias("all"))
+        closed = closed.where((F.col("sure") >= k) | (F.col("all") >= size["ids"])).select("code")
+        asking = materialise(asking.join(closed, "code", "left_anti"), "asking")
+    return best
 
 
 def nearest_vectors(
-    vectors: DataFrame, k: int = 10, queries: str = "vec_id % 20 = 0", id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, k: int = 10, queries: str = "vec_id % 20 = 0", id_col: str = "vec_id",
+    vector_col: str = "embedding", bits: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, neighbour_id, distance): the k nearest other rows of every row that `queries` selects.
 
     Distance is the number of differing signs; ties go to the smaller id.
 
-    * Null ids, null vectors and vectors of another length are neither searched nor found.
+    * Null ids and null or empty vectors are neither searched nor found. A null or NaN
+      component counts as not positive.
+    * Vectors may have any one length. Where a table holds several, `bits` names the one to
+      take; without it that is an error, as distances between lengths mean nothing.
     * Rows with equal vectors are neighbours at distance 0. Ids should be unique; a
       repeated id is found as often as it occurs, but not by itself.
     * Fewer than k other rows: as many as there are. Empty table: empty result.
@@ -177,20 +265,21 @@ def nearest_vectors(
         F.col(id_col).alias("id")
     ).distinct()
     codes = materialise(sign_codes(vectors, id_col, vector_col), "codes")
+    if bits is None:
+        least, bits = codes.agg(F.min("bits"), F.max("bits")).first()
+        if least != bits:
+            raise ValueError(f"{vector_col} holds vectors of {least} to {bits} components; choose one length by bits=")
+    codes = codes.where(F.col("bits") == F.lit(bits)).drop("bits")
     # of equal codes, no list needs more than k ids beside the query's own
     first = Window.partitionBy("code").orderBy("id")
     few = codes.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     entries = materialise(few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "entries")
     asked = materialise(codes.join(wanted, "id").select("id", "code").distinct(), "asked")
-    near = nearest_codes(entries, asked.select("code").distinct(), k + 1)
-    listed = near.select("query", "distance", F.explode("ids").alias("neighbour_id"))
-    best = Window.partitionBy("query").orderBy("distance", "neighbour_id")
-    listed = listed.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
-    listed = materialise(listed, "listed")
-    each = Window.partitionBy("query_id", "code").orderBy("distance", "neighbour_id")
+    near = nearest_codes(entries, asked.select("code").distinct(), k + 1, bits or 1)
+    listed = near.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))).alias("near"))
+    others = F.filter("near", lambda x: x["neighbour_id"] != F.col("query_id"))
     return (
-        asked.select(F.col("id").alias("query_id"), "code").join(listed.withColumnRenamed("query", "code"), "code")
-        .where("query_id <> neighbour_id")
-        .withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= k)
-        .select("query_id", "rank", "neighbour_id", "distance")
+        asked.select(F.col("id").alias("query_id"), "code").join(listed, "code")
+        .select("query_id", F.posexplode(F.slice(others, 1, k)).alias("place", "found"))
+        .select("query_id", (F.col("place") + 1).alias("rank"), "found.neighbour_id", "found.distance")
     )

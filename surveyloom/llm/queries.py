@@ -173,10 +173,11 @@ ORACLES: dict[str, str] = {
     """,
     "op8_multi_index_neighbours": """
     with codes as (
-        select vec_id, list_transform(embedding, lambda x: x > 0) as signs from embeddings where len(embedding) = 64
+        select vec_id, list_transform(embedding, lambda x: coalesce(x > 0 and not isnan(x), false)) as signs
+        from embeddings where len(embedding) > 0
     ), pairs as (
         select q.vec_id as query_id, v.vec_id as neighbour_id,
-            list_sum(list_transform(range(1, 65), lambda i: (q.signs[i] <> v.signs[i])::int))::int as distance
+            list_sum(list_transform(range(1, len(q.signs) + 1), lambda i: (q.signs[i] <> v.signs[i])::int))::int as distance
         from codes q join codes v on q.vec_id % 20 = 0 and q.vec_id <> v.vec_id
     ), ranked as (
         select *, row_number() over (partition by query_id order by distance, neighbour_id)::int as rank from pairs
