@@ -110,3 +110,59 @@ def test_words_against_a_pattern():
         runs = [part if "L" in part else " " * len(part) for part in kinds.split(" ")]
         codes = np.array([{"L": 2, "M": 1, " ": 0}[k] for k in kinds], dtype=np.uint8)
         assert langid.in_words(codes).tolist() == [k != " " for k in " ".join(runs)]
+
+
+def mixture_by_definition(words):
+    """Shares for one text, from each word's log-likelihood under each language and, last, noise."""
+    sources = len(words[0])
+
+    def em(share, members, steps):
+        for _ in range(steps):
+            new = dict.fromkeys(members, 0.0)
+            for word in words:
+                joint = {m: share[m] * np.exp(word[m] - max(word)) for m in members}
+                for m in members:
+                    new[m] += joint[m] / sum(joint.values()) / len(words)
+            share = new
+        return share
+
+    def fitted(share):
+        return sum(np.log(sum(s * np.exp(word[m] - max(word)) for m, s in share.items())) for word in words)
+
+    everyone = range(sources)
+    full = em(dict.fromkeys(everyone, 1 / sources), everyone, langid.EM_STEPS)
+    lead = max(range(sources - 1), key=lambda m: full[m])
+    rest = sorted((m for m in everyone if m != lead), key=lambda m: -full[m])
+    chosen = {lead: 1.0}
+    best = fitted(chosen)
+    for size in range(1, sources):
+        members = [lead, *rest[:size]]
+        start = {m: max(full[m], 1e-6) for m in members}
+        share = em({m: s / sum(start.values()) for m, s in start.items()}, members, 3)
+        value = fitted(share) - langid.PENALTY * 0.5 * np.log(len(words) + 1) * size  # a parameter a further source
+        if value <= best:
+            break
+        chosen, best = share, value
+    return [chosen.get(m, 0.0) for m in everyone]
+
+
+def test_mixtures_equal_their_definition():
+    draw = np.random.default_rng(5)
+    texts = []
+    for n in [1, 1, 2, 5, 20, 60, 60, 150] * 4:
+        truth = draw.dirichlet([0.3] * 4)
+        lean = np.zeros((n, 4))
+        lean[np.arange(n), draw.choice(4, n, p=truth)] = draw.uniform(0, 6, n)
+        texts.append(draw.normal(-20, 1, (n, 4)) + lean)
+    got = langid.mixtures(np.concatenate(texts).astype(np.float32), np.array([len(t) for t in texts]))
+    want = np.array([mixture_by_definition(t.tolist()) for t in texts])
+    assert ((got > 0).sum(1) == (want > 0).sum(1)).all() and len(set((want > 0).sum(1).tolist())) > 1
+    assert got == pytest.approx(want, abs=1e-3)
+
+
+def test_a_very_long_text_is_read_to_its_end(corpus, documents):
+    text = EN * 20_000 + DE * 22_000  # over 4 million letters, in several pieces
+    rows = predicted(corpus, documents([(1, text), (2, DE), (3, EN)]))
+    words = np.array([20_000 * len(EN.split()), 22_000 * len(DE.split())])
+    assert dict(zip(rows[1]["langs"], rows[1]["shares"]))["en"] == pytest.approx(words[0] / words.sum(), abs=0.08)
+    assert sorted(rows[1]["langs"]) == ["de", "en"] and (rows[2]["lang_pred"], rows[3]["lang_pred"]) == ("de", "en")
