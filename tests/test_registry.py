@@ -44,7 +44,10 @@ def test_query_equals_sql(spark, sf, con, name):
     assert compare(spark, con, sf, name) is None
 
 
-@pytest.mark.parametrize("name", ["mutual_information", "training_set", "covariance_report", "label_maps", "pad_batches"])
+@pytest.mark.parametrize("name", [
+    "mutual_information", "training_set", "covariance_report", "label_maps", "pad_batches", "contingency",
+    "covariance_matrix", "exact_sample", "generate_candidates", "kfold_assign", "prepare_numeric",
+])
 def test_no_slow_operators(spark, sf, name):
     plan = REGISTRY[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     for operator in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
