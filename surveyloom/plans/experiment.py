@@ -22,6 +22,7 @@ from surveyloom.operators.plausibility import (
     side_by_side,
     token_collisions,
     train_plausibility,
+    used_places,
     with_vectors,
 )
 from surveyloom.plans.training_set import (
@@ -115,6 +116,7 @@ def run_experiment(
         write_run(vectors.drop("features"), f"{out_dir}/text_dataset", f"f{k}")
         remaining = read_candidates(spark, f"{out_dir}/remain_dataset", f"f{k}")
         remaining = materialise(with_vectors(remaining, features, targets, sizes.base), "remaining")
+        selector = used_places(vectors)
         collisions = token_collisions(vectors, features, targets, sizes.base)
         folds = list(range(sizes.folds)) if sizes.run_folds is None else sizes.run_folds
         grid = grid_of(sizes.base, sizes.epochs, sizes.weight_decays)
@@ -124,7 +126,7 @@ def run_experiment(
             write_run(trials, f"{out_dir}/search", f"f{k}")
             grid = [best]
         points += [
-            Point(k, grid_no, params, fold, vectors, remaining, collisions)
+            Point(k, grid_no, params, fold, vectors, remaining, collisions, selector)
             for grid_no, params in enumerate(grid)
             for fold in folds
         ]
@@ -152,17 +154,18 @@ class Point:
 
     def __init__(
         self, k: int, grid_no: int, params: PlausibilityParams, fold: int, vectors: DataFrame,
-        remaining: DataFrame, collisions: float,
+        remaining: DataFrame, collisions: float, selector=None,
     ):
         self.k, self.grid_no, self.params, self.fold = k, grid_no, params, fold
         self.vectors, self.remaining, self.collisions = vectors, remaining, collisions
+        self.selector = selector
         self.run_id = run_name(k, grid_no, fold)
         self.settings = (k, grid_no, params.num_epochs, params.weight_decay, fold)
 
     def run(self, out_dir: str, config: SurveyConfig, real_numbers: DataFrame) -> None:
         """Train, evaluate the fold, score the held-back rows, compare, note the result."""
         train, test = ranks.fold_split(self.vectors, self.fold)
-        model = train_plausibility(train, self.params)
+        model = train_plausibility(train, self.params, selector=self.selector)
         save_model(model, run_path(f"{out_dir}/models", self.run_id))
         write_run(score(model, test), f"{out_dir}/scored_test", self.run_id)
         write_run(score(model, self.remaining), f"{out_dir}/scored_candidates", self.run_id)

@@ -231,3 +231,32 @@ def test_an_interrupted_grid_goes_on(spark, sf, tmp_path, monkeypatch):
     assert "f2-0-1" in ran and "f2-0-0" not in ran
     run(True)
     assert ran == []
+
+
+def test_models_are_as_wide_as_the_places_in_use(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    data = [(i, str(i % 7), str(i % 5), int(i % 7 == i % 5 or i % 11 == 0), i % 2) for i in range(400)]
+    rows = spark.createDataFrame(data, "id int, a string, b string, labels int, fold int")
+    vectors = scratch.materialise(plausibility.with_vectors(rows, ["a"], ["b"], PARAMS), "vectors")
+    model = plausibility.train_plausibility(vectors, PARAMS)
+    assert model.stages[-1].numFeatures == 7 + 5 + 35  # 2**20 places otherwise, most of them empty
+    whole = LogisticRegression(maxIter=PARAMS.max_iter, regParam=PARAMS.weight_decay, labelCol="labels", probabilityCol="_scores",
+                               rawPredictionCol="_raw", predictionCol="_predicted").fit(vectors)
+    both = plausibility.score(model, vectors).select("id", "plausibility").join(
+        plausibility.score(whole, vectors).select("id", F.col("plausibility").alias("other")), "id"
+    )
+    assert both.count() == 400 and both.where("abs(plausibility - other) > 1e-6").isEmpty()
+    # places that only unseen rows use count nothing
+    unseen = plausibility.with_vectors(spark.createDataFrame([("new", "other")], "a string, b string"), ["a"], ["b"], PARAMS)
+    own, other = (plausibility.score(m, unseen).first().plausibility for m in (model, whole))
+    assert own == pytest.approx(other, abs=1e-6)
+
+
+def test_places_of_dense_and_of_no_vectors(spark):
+    from pyspark.ml.linalg import Vectors
+
+    data = [(Vectors.dense([0.0, 1.0, 0.0]), 1), (Vectors.dense([0.0, 0.0, 2.0]), 0), (Vectors.sparse(3, [1], [1.0]), 1)]
+    vectors = spark.createDataFrame(data, ["features", "labels"])
+    assert plausibility.used_places(vectors).selectedFeatures == [1, 2]
+    assert plausibility.used_places(vectors.where("labels > 1")) is None

@@ -135,3 +135,8 @@ def test_survey_dealt_out_is_the_same_survey(spark, sf):
         spark.conf.unset(demo.PARTS_CONF)
     assert dealt.rdd.getNumPartitions() == 5
     assert dealt.exceptAll(plain).isEmpty() and plain.exceptAll(dealt).isEmpty()
+
+
+def test_the_survey_is_dealt_out_unasked(spark, sf, capsys):
+    demo.survey_num(spark, sf).explain()
+    assert "hashpartitioning(o_orderkey" in capsys.readouterr().out  # one row group would be one task up to the end
