@@ -1,20 +1,25 @@
 """Exact numbers for tokens: a distributed vocabulary in place of hashing.
 
 Tokens are counted with a map-side combine and numbered without a gap through their
-digests' buckets. Rows get their numbers by a join, so no list of tokens is ever on the
-driver and no two tokens share a place.
+digests' buckets. Rows get their numbers from a vocabulary that is sent to the tasks,
+where it is small, or by a join, so the driver never holds more than SENT_BYTES of
+tokens, and no two tokens share a place.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from surveyloom.operators.ranks import hash_rank
 from surveyloom.sources.scratch import materialise, scratch_path
 
+SENT_BYTES = 32 << 20  # of a vocabulary that is sent to the tasks
 SPARSE = 0  # how a stored vector says that it lists its non-zero places
 
 
@@ -31,8 +36,13 @@ def token_vocabulary(rows: DataFrame, tokens: Column, seed: str = "42", min_rows
 def token_numbers(rows: DataFrame, tokens: Column, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, numbers): a row's token numbers in the order of its list; -1 for a token that is not in the vocabulary.
 
-    Every row keeps its place, also one without tokens. Keys must be unique.
+    Every row keeps its place, also one without tokens. Keys must be unique. A
+    vocabulary of at most SENT_BYTES is sent to the tasks and rows stay whole; a larger
+    one is joined, token by token.
     """
+    size = F.sum(F.octet_length("token") + 16)
+    if (vocabulary.agg(size).first()[0] or 0) <= SENT_BYTES:
+        return _looked_up(rows, tokens, vocabulary, keys)
     placed = rows.select(*keys, F.posexplode_outer(tokens).alias("_place", "token"))
     found = placed.join(vocabulary.select("token", "number"), "token", "left")
     entry = F.struct("_place", F.coalesce("number", F.lit(-1).cast("bigint")).cast("int").alias("number"))
@@ -40,6 +50,32 @@ def token_numbers(rows: DataFrame, tokens: Column, vocabulary: DataFrame, keys:
     return found.groupBy(*keys).agg(F.transform(listed, lambda e: e["number"]).alias("numbers"))
 
 
+def _looked_up(rows: DataFrame, tokens: Column, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(vocabulary.select("token", "number").toArrow().combine_chunks())
+
+    def run(batches):
+        words = sent.value
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            number = pc.take(words["number"], pc.index_in(lists.flatten(), value_set=words["token"]))
+            if isinstance(number, pa.ChunkedArray):
+                number = number.combine_chunks()
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            numbers = pa.ListArray.from_arrays(pa.array(ends), pc.fill_null(number, -1).cast(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], numbers], names=[*batch.schema.names[:-1], "_numbers"])
+
+    listed = rows.select(*keys, F.coalesce(tokens, F.array().cast("array<string>")).alias("_tokens"))
+    schema = StructType([*listed.schema.fields[:-1], StructField("_numbers", ArrayType(IntegerType()))])
+    lists = F.collect_list("_numbers")
+    # rows that share their keys are one, in the order of places
+    placed = F.transform(lists, lambda one: F.transform(one, lambda n, i: F.struct(i.alias("place"), n.alias("number"))))
+    merged = F.transform(F.array_sort(F.flatten(placed)), lambda e: e["number"])
+    return listed.mapInArrow(run, schema).groupBy(*keys).agg(
+        F.when(F.size(lists) == 1, F.get(lists, F.lit(0))).otherwise(merged).alias("numbers")
+    )
+
+
 def with_exact_vectors(
     rows: DataFrame, tokens: Column, vocabulary: DataFrame, keys: list[str], name: str = "features"
 ) -> DataFrame:
