@@ -30,6 +30,7 @@ from surveyloom.sources.scratch import materialise, scratch_path
 register_pickle_by_value(sys.modules[__name__])  # tasks need no installed copy of the model
 PARTS = 8  # parts of the rows; the smallest batch is one part
 RATE_SCALE = 100  # the study's rates are for fine-tuning; a new model of few weights needs larger steps
+ROWS = 1 << 12  # rows at a time, so that the sums of all models stay in the caches
 BLOCK = 1 << 16  # weights of a model that are summed by one task
 MOST_WEIGHTS = 1 << 26  # weights of all models that a step sends to the tasks
 SMALLEST_BATCH = min(fv.SEARCH_CHOICES["per_device_train_batch_size"])
@@ -104,39 +105,31 @@ class FactorModel:
         head = self.weights[: self.heads]
         return np.concatenate([[-np.inf], head[0] + np.concatenate([[0.0], np.cumsum(np.exp(head[1:]))]), [np.inf]])
 
-    def gradient(self, numbers: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """The sum over rows of the loss's derivative by each weight."""
-        z, v, total = self.raw(numbers)
+    def by_score(self, z: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The loss's derivative by each row's score without head, and its sum over rows by the head."""
         head = self.weights[: self.heads]
         if self.params.task_type == ORDERED:
             edges = self.cuts()
             k = label.astype(np.int64)
             above, below = (_logistic(edges[k + e] - z) for e in (1, 0))
             inside = np.maximum(above - below, 1e-12)
-            g = 1 - above - below  # the derivative of -log(above - below) by the score
             by_cut = np.zeros(self.params.levels + 1)
             np.add.at(by_cut, k + 1, -above * (1 - above) / inside)
             np.add.at(by_cut, k, below * (1 - below) / inside)
             by_cut = by_cut[1:-1]
             later = np.cumsum(by_cut[::-1])[::-1]  # a step moves all cuts from there on
-            by_head = np.concatenate([later[:1], later[1:] * np.exp(head[1:])])
+            # the derivative of -log(above - below) by the score
+            return 1 - above - below, np.concatenate([later[:1], later[1:] * np.exp(head[1:])])
+        guess = z + head[0]
+        if self.params.task_type == CLASS:
+            g = _logistic(guess) - (label == self.params.positive)
         else:
-            guess = z + head[0]
-            if self.params.task_type == CLASS:
-                g = _logistic(guess) - (label == self.params.positive)
-            else:
-                g = guess - (label - self.mean) / self.spread
-            by_head = np.array([g.sum()])
-        n = self.size + 1
-        flat = numbers.ravel()
-        each = np.repeat(g, numbers.shape[1])
-        linear = np.bincount(flat, each, n)
-        by_factor = (g[:, None, None] * (total[:, None, :] - v)).reshape(len(flat), self.params.factors)
-        factors = np.zeros((n, self.params.factors))
-        for f in range(self.params.factors):
-            factors[:, f] = np.bincount(flat, by_factor[:, f], n)
-        linear[-1], factors[-1] = 0, 0
-        return np.concatenate([by_head, linear, factors.ravel()])
+            g = guess - (label - self.mean) / self.spread
+        return g, np.array([g.sum()])
+
+    def gradient(self, numbers: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """The sum over rows of the loss's derivative by each weight."""
+        return gradients([self], numbers, label)[0]
 
     def answer(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(score, prediction): for classes the probability of 1 and the class, else the estimate twice."""
@@ -151,6 +144,42 @@ class FactorModel:
         return reached[:, 1:-1].sum(1) * -1 + self.params.levels - 1, np.argmax(np.diff(reached, axis=1), 1).astype(float)
 
 
+def gradients(models: list[FactorModel], numbers: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
+    """Each model's gradient; the weights of all lie side by side, so a token is looked up and summed once for all."""
+    parts = [m.split(m.weights) for m in models]
+    widths = [factors.shape[1] for _, _, factors in parts]
+    ends = np.cumsum(widths)
+    each = [slice(end - width, end) for end, width in zip(ends, widths)]
+    factors = np.concatenate([f for _, _, f in parts], axis=1)
+    n, wide = factors.shape
+    # half the squares of a token's own factors go with its weight
+    own = np.stack([linear - 0.5 * (f**2).sum(1) for _, linear, f in parts], axis=1)
+    table = np.concatenate([factors, own], axis=1)
+    found = np.zeros((len(numbers), table.shape[1]))
+    for column in numbers.T:
+        found += table[column]
+    heads = []
+    for i, (model, place) in enumerate(zip(models, each)):
+        z = found[:, wide + i] + 0.5 * (found[:, place] ** 2).sum(1)
+        g, head = model.by_score(z, label)
+        found[:, place] *= g[:, None]
+        found[:, wide + i] = g
+        heads.append(head)
+    summed = np.zeros_like(table)
+    short = np.uint16 if n <= 1 << 16 else np.int64  # short numbers are sorted by counting
+    for column in numbers.T if len(numbers) else []:
+        order = np.argsort(column.astype(short), kind="stable")
+        ordered = column[order]
+        begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        summed[ordered[begins]] += np.add.reduceat(found[order], begins, axis=0)
+    summed[-1] = 0  # unknown tokens
+    done = []
+    for i, (head, place) in enumerate(zip(heads, each)):
+        linear = summed[:, wide + i]
+        done.append(np.concatenate([head, linear, (summed[:, place] - factors[:, place] * linear[:, None]).ravel()]))
+    return done
+
+
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -179,16 +208,22 @@ def part_gradients(part: DataFrame, models: list[tuple[int, FactorModel]]) -> Da
 
     def run(batches):
         sums = [[0, 0.0] for _ in sent.value]
+        alike: dict = {}  # models that see the same rows
+        for place, (_, model) in enumerate(sent.value):
+            alike.setdefault((model.fold, model.size), []).append(place)
         for batch in batches:
-            label, fold = batch.column("label").to_numpy(), batch.column("fold").to_numpy()
-            if not len(label):
-                continue
-            for total, (_, model) in zip(sums, sent.value):
-                mine = fold != model.fold if model.fold is not None else np.ones(len(fold), bool)
-                if mine.any():
-                    numbers = _numbers(batch.column("numbers"), model.size)[mine]
-                    total[0] += int(mine.sum())
-                    total[1] = total[1] + model.gradient(numbers, label[mine])
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                label, fold = rows.column("label").to_numpy(), rows.column("fold").to_numpy()
+                for (left_out, size), places in alike.items():
+                    mine = fold != left_out if left_out is not None else np.ones(len(fold), bool)
+                    if not mine.any():
+                        continue
+                    numbers = _numbers(rows.column("numbers"), size)[mine]
+                    found = gradients([sent.value[p][1] for p in places], numbers, label[mine])
+                    for p, gradient in zip(places, found):
+                        sums[p][0] += len(numbers)
+                        sums[p][1] = sums[p][1] + gradient
         for (seen, total), (number, _) in zip(sums, sent.value):
             if seen:
                 yield _blocks(number, seen, total)
@@ -245,9 +280,10 @@ def train_factors(
     batch = [[0, np.zeros_like(m.weights), 0] for m in fitted]
     steps = [0] * len(fitted)
     schema = "numbers array<int>, label double, fold int, part int"
+    stored = spark.read.schema(schema).parquet(path)  # its files are listed once
     for tick in range(max(m.params.ticks for m in fitted)):
         active = [(i, m) for i, m in enumerate(fitted) if tick < m.params.ticks]
-        part = spark.read.schema(schema).parquet(path).where(F.col("part") == tick % PARTS)
+        part = stored.where(F.col("part") == tick % PARTS)
         for row in part_gradients(part, active).collect():  # a line per model and block of weights
             held, lo = batch[row["model"]], row["block"] * BLOCK
             gradient = np.frombuffer(row["gradient"])

@@ -162,3 +162,34 @@ def test_tasks_by_type(spark):
     wrong = spark.createDataFrame([("a", "other", 1)], tasks.schema)
     with pytest.raises(ValueError, match="unknown task"):
         run_tasks(rows, wrong, ["a"], ["id"], FactorParams(), [0])
+
+
+def test_small_vocabularies_are_looked_up_and_large_ones_joined(spark, monkeypatch, capsys):
+    data = [(1, ["x", "y", None]), (1, ["z", "x"]), (2, None), (3, []), (None, ["y", "q"]), (4, ["x"])]
+    df = spark.createDataFrame(data, "id int, t array<string>")
+    words = vocabulary.token_vocabulary(df.where("id < 4"), F.col("t"))
+    looked_up = vocabulary.token_numbers(df, F.col("t"), words, ["id"])
+    monkeypatch.setattr(vocabulary, "SENT_BYTES", 0)
+    joined = vocabulary.token_numbers(df, F.col("t"), words, ["id"])
+    assert looked_up.schema["numbers"].dataType.elementType == joined.schema["numbers"].dataType.elementType
+    assert sorted(map(repr, looked_up.collect())) == sorted(map(repr, joined.collect()))
+    capsys.readouterr()
+    looked_up.explain()
+    assert "Generate" not in capsys.readouterr().out  # rows are not taken apart into tokens
+
+
+def test_gradients_side_by_side_are_those_of_each_model():
+    rng = np.random.default_rng(5)
+    models = [FactorModel(FactorParams(factors=f, task_type=t, levels=3, seed=f), 12) for f, t in ((3, "class"), (0, "class"), (2, "sequence"))]
+    for model in models:
+        model.weights = model.fresh() + rng.normal(0, 0.2, len(model.fresh()))
+    numbers, label = rng.integers(0, 13, (50, 4)), rng.integers(0, 2, 50).astype(float)  # with repeated and unknown tokens
+    for model, found in zip(models, factors.gradients(models, numbers, label)):
+        z, v, total = model.raw(numbers)
+        g, head = model.by_score(z, label)
+        linear, by_factor = np.zeros(13), np.zeros((13, model.params.factors))
+        np.add.at(linear, numbers, g[:, None])
+        np.add.at(by_factor, numbers, g[:, None, None] * (total[:, None, :] - v))
+        linear[-1], by_factor[-1] = 0, 0
+        assert found == pytest.approx(np.concatenate([head, linear, by_factor.ravel()]), abs=1e-12)
+    assert [len(g) for g in factors.gradients(models, numbers[:0], label[:0])] == [len(m.weights) for m in models]
