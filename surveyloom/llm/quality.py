@@ -1,7 +1,7 @@
 """Quality by perplexity: a modified Kneser-Ney byte model of trusted text.
 
-The model is fitted on at most `most_trusted` of the documents labelled good and not
-toxic, those with the smallest hashes of their ids. Counts are kept in shards, by the
+The documents labelled good and not toxic are parted by a hash of their ids: the model
+learns from all of one half, the thresholds come from all of the other. Counts are kept in shards, by the
 newest two context bytes; every block of documents asks the shards for its distinct
 grams (see blockjoin), and adds up what each of its documents needs.
 
@@ -36,6 +36,7 @@ PRIOR_BYTES = 64
 PRIOR_DOCS = 500
 FEW_SLACK = 0.2
 REJECTED_BYTES = 32 << 20
+ID_BYTES = 16  # of a document that is learnt from, as it is sent to the tasks
 BINS = 10_000  # per nat; scores lie between 0 and a few tens
 
 
@@ -136,7 +137,7 @@ def quantiles(scores: DataFrame, quantile: float) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, most_trusted: int = 20_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99) -> DataFrame:
     """(doc_id, lang, same, n_bytes, score, threshold, kept) for every row of docs (doc_id, lang, text).
 
     * Null lang: a language of its own. A language without trusted documents is held
@@ -151,11 +152,13 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, most_trust
         .where("good").select("doc_id"),
         "trusted",
     )
-    # half of a small set of trusted documents is left for the thresholds
-    sample = trusted.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
-    sample = sample.orderBy(F.xxhash64(F.lit("trusted"), "doc_id"), "doc_id").limit(most_trusted)
-    files = on_files(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text"))
-    marked = files.join(F.broadcast(sample.withColumn("picked", F.lit(True))), "doc_id", "left")  # most_trusted ids at most
+    # the other half is left for the thresholds, which must come from texts that the model has not seen
+    learners = trusted.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).withColumn("picked", F.lit(True))
+    plain = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    if ID_BYTES * learners.count() <= REJECTED_BYTES:
+        marked = on_files(plain).join(F.broadcast(learners), "doc_id", "left")
+    else:  # shuffled, so written once more, for blocks to lie together
+        marked = on_files(materialise(plain.join(learners, "doc_id", "left"), "marked"))
     marked = marked.withColumn("learnt", F.coalesce("picked", F.lit(False))).drop("picked")
     losses = materialise(byte_losses(marked), "losses")
 

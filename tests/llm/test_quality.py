@@ -105,3 +105,20 @@ def test_documents_that_do_not_come_straight_from_files(spark, documents):
     want = sorted(r["doc_id"] for r in quality.keep_fluent(docs, labels).collect())
     for other in (docs.repartition(4), docs.where("doc_id < 50").union(docs.where("doc_id >= 50"))):
         assert sorted(r["doc_id"] for r in quality.keep_fluent(other, labels).collect()) == want
+
+
+def test_all_of_one_half_of_the_trusted_documents_is_learnt_from(spark, monkeypatch):
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    half = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).count()
+    found = []
+
+    def noted(marked):
+        found.append(marked.where("learnt").count())
+        return marked.select("doc_id", "lang", F.lit(b"").alias("same"), "learnt", F.lit(2).alias("n_bytes"), F.lit(1.0).alias("loss"))
+
+    monkeypatch.setattr(quality, "byte_losses", noted)
+    assert quality.judge(docs, labels).count() == 50_000
+    monkeypatch.setattr(quality, "REJECTED_BYTES", 0)  # too many to be sent: joined
+    assert quality.judge(docs, labels).count() == 50_000
+    assert found == [half, half] and half > 20_000
