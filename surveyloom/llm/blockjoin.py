@@ -214,17 +214,34 @@ def whole_bucket(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Answers:
-    """Looks up the value of grams in the answers that a block has got."""
+    """Looks up the value of grams, all of them asked for, in the answers that a block has got.
+
+    Grams are ordered by a hash and found from where their hash's first bits begin: with
+    two such places a gram, one or two looks, where a search by halves takes twenty.
+    """
 
     def __init__(self, parts: list[tuple[bytes, bytes]]):
         if parts:
             grams = np.concatenate([unpack_sorted(g) for g, _ in parts])
             values = np.concatenate([unpack(v, np.float64) for _, v in parts])
-            order = np.argsort(grams)
+            bits = max(1, int(2 * len(grams)).bit_length())
+            self.shift = np.uint64(64 - bits)
+            home = self._home(grams)
+            order = np.argsort(home)
             self.grams, self.values = grams[order], values[order]
+            count = np.bincount(home, minlength=1 << bits)
+            self.begins = (np.cumsum(count) - count).astype(np.int32)
+
+    def _home(self, grams: np.ndarray) -> np.ndarray:
+        return (mix(grams.astype(np.uint64)) >> self.shift).astype(np.int64)
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
-        return self.values[np.searchsorted(self.grams, grams)]
+        at = self.begins[self._home(grams)]
+        left = np.flatnonzero(self.grams[at] != grams)
+        while len(left):
+            at[left] += 1
+            left = left[self.grams[at[left]] != grams[left]]
+        return self.values[at]
 
 
 def block_rows(docs: DataFrame, answers: DataFrame, buckets: int, score: Callable, schema) -> DataFrame:

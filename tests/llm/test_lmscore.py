@@ -140,3 +140,16 @@ def test_documents_that_do_not_come_straight_from_files(documents, spark):
 def test_parts_grow_with_the_buckets(spark):
     rows = spark.range(100).withColumnRenamed("id", "bucket")
     assert blockjoin.dealt(rows, 4000, "bucket").rdd.getNumPartitions() == 1000
+
+
+def test_answers_are_found_by_hash():
+    from surveyloom.llm.blockjoin import Answers, pack, pack_sorted
+
+    rng = np.random.default_rng(2)
+    grams = np.unique(rng.integers(0, 1 << 48, 20_000))
+    halves = [(grams[:12_000], np.arange(12_000.0)), (grams[10_000:], np.arange(10_000.0, len(grams)))]  # some come twice
+    found = Answers([(pack_sorted(g), pack(v)) for g, v in halves])
+    at = rng.integers(0, len(grams), 50_000)
+    assert (found(grams[at]) == at).all() and len(found(grams[:0])) == 0
+    assert Answers([(pack_sorted(grams[:1]), pack(np.array([7.0])))])(grams[[0, 0]]).tolist() == [7.0, 7.0]
+    assert len(found.begins) >= 2 * len(found.grams)
