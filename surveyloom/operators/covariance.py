@@ -61,15 +61,16 @@ def clamped(matrix: DataFrame, limit: float = fv.HEAT_LIMIT) -> DataFrame:
 
 
 def covariance_report(
-    real: DataFrame, scored: DataFrame, targets: list[str], labels: LabelMap
+    real: DataFrame | None, scored: DataFrame, targets: list[str], labels: LabelMap, true_cov: DataFrame | None = None
 ) -> DataFrame:
     """(row, col, true_cov, pred_cov, diff, frobenius_norm) of accepted candidates against real rows.
 
     Either table is read once; the norm comes from the rows of the difference, one
-    per pair of targets.
+    per pair of targets. ``true_cov`` is the covariance matrix of the real rows, where
+    it is known already.
     """
     encoded = encode_targets(accepted_rows(scored), targets, labels)
     accepted = covariance_matrix(encoded, [f"{t}_num" for t in targets], targets)
-    diff = covariance_diff(covariance_matrix(real, targets), accepted)
+    diff = covariance_diff(covariance_matrix(real, targets) if true_cov is None else true_cov, accepted)
     squares = F.sum(F.pow("diff", F.lit(2.0))).over(Window.partitionBy())
     return diff.withColumn("frobenius_norm", F.sqrt(squares))

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 from surveyloom.config import ExperimentConfig, PlausibilityParams, SurveyConfig
 from surveyloom.operators import clean, information, ranks
 from surveyloom.operators.candidates import generate_candidates
-from surveyloom.operators.covariance import covariance_report
+from surveyloom.operators.covariance import covariance_matrix, covariance_report
 from surveyloom.operators.labels import dictionary_of, domain_violations, variable_dictionary
 from surveyloom.operators.plausibility import (
+    SCORE,
     drawn_trials,
     fold_metrics,
     grid_of,
     load_model,
+    of_model,
     save_model,
     score,
+    score_by_all,
     search_best,
     side_by_side,
     token_collisions,
@@ -99,7 +102,10 @@ def run_experiment(
         "candidates",
     )
 
-    points = []
+    true_cov = materialise(covariance_matrix(cleaned.select(*targets), targets), "true_cov")
+    done = finished_runs(spark, out_dir) if resume else set()
+
+    points, left = [], []
     for k in sizes.feature_counts:
         features = ranked[:k]
         columns = [id_col, *features, *targets]
@@ -108,32 +114,44 @@ def run_experiment(
             all_real.select(*columns), all_candidates.select(*columns, "draw_no"), config,
             labels_of_names, features, sizes.train_candidates,
         )
-        write_run(built.remaining, f"{out_dir}/remain_dataset", f"f{k}")
-        # one hashing pass serves every grid point and fold; training reads only
-        # the vector and label columns of the stored tables
+        write_run(built.remaining, f"{out_dir}/remain_dataset", f"f{k}", varied=["text"])
         folded = assign_folds(built.training, sizes.folds, config, sizes.fold_by)
-        vectors = materialise(with_vectors(folded, features, targets, sizes.base), "vectors")
-        write_run(vectors.drop("features"), f"{out_dir}/text_dataset", f"f{k}")
+        write_run(folded, f"{out_dir}/text_dataset", f"f{k}", varied=["text"])
+        # hashed on the way to each step that needs them, which are few whatever the grid:
+        # stored vectors cost more to write and read than the rows cost to hash
+        training = read_run(spark, f"{out_dir}/text_dataset", f"f{k}")
+        vectors = with_vectors(training, features, targets, sizes.base)
         remaining = read_candidates(spark, f"{out_dir}/remain_dataset", f"f{k}")
-        remaining = materialise(with_vectors(remaining, features, targets, sizes.base), "remaining")
+        remaining = with_vectors(remaining, features, targets, sizes.base)
         selector = used_places(vectors)
-        collisions = token_collisions(vectors, features, targets, sizes.base)
+        collisions = token_collisions(training, features, targets, sizes.base)
         folds = list(range(sizes.folds)) if sizes.run_folds is None else sizes.run_folds
         grid = grid_of(sizes.base, sizes.epochs, sizes.weight_decays)
         if search_trials:
             drawn = drawn_trials(spark, sizes.base, search_trials, config.seed, sizes.search_epochs)
-            best, trials = search_best(vectors, drawn, folds, parallel=sizes.parallel_fits)
+            tried = materialise(vectors.select("labels", "fold", "features"), "vectors")
+            best, trials = search_best(tried, drawn, folds, parallel=sizes.parallel_fits)
             write_run(trials, f"{out_dir}/search", f"f{k}")
             grid = [best]
-        points += [
-            Point(k, grid_no, params, fold, vectors, remaining, collisions, selector)
-            for grid_no, params in enumerate(grid)
-            for fold in folds
-        ]
-    real_numbers = cleaned.select(*targets)
-    done = finished_runs(spark, out_dir) if resume else set()
-    left = [point for point in points if point.settings not in done]
-    side_by_side(lambda point: point.run(out_dir, config, real_numbers), left, sizes.parallel_fits)
+        mine = [Point(k, grid_no, params, fold, collisions) for grid_no, params in enumerate(grid) for fold in folds]
+        points += mine
+        mine = [point for point in mine if point.settings not in done]
+        if not mine:
+            continue
+        # all models of a table learn in the same scans, and score its rows in one
+        models = train_plausibility(vectors, [p.params for p in mine], selector=selector, unseen=[p.fold for p in mine])
+        varied = ["text", *[f"{SCORE}{i}" for i in range(len(models))]]
+        tested = materialise(score_by_all(models, vectors), "tested", varied, ["fold"])
+        judged = materialise(score_by_all(models, remaining), "judged", varied)
+        for i, (point, model) in enumerate(zip(mine, models)):
+            own = of_model(ranks.fold_split(tested, point.fold)[1], i)
+            left.append((point, model, own, of_model(judged, i)))
+
+    def run(work: tuple) -> None:
+        point, *rest = work
+        point.run(*rest, out_dir, config, true_cov)
+
+    side_by_side(run, left, sizes.parallel_fits)
     paths = [run_path(f"{out_dir}/ledger", point.run_id) for point in points]
     return spark.read.schema(LEDGER_SCHEMA).parquet(*paths)
 
@@ -152,27 +170,23 @@ def finished_runs(spark: SparkSession, out_dir: str) -> set[tuple]:
 class Point:
     """One model: a grid point on one fold."""
 
-    def __init__(
-        self, k: int, grid_no: int, params: PlausibilityParams, fold: int, vectors: DataFrame,
-        remaining: DataFrame, collisions: float, selector=None,
-    ):
+    def __init__(self, k: int, grid_no: int, params: PlausibilityParams, fold: int, collisions: float):
         self.k, self.grid_no, self.params, self.fold = k, grid_no, params, fold
-        self.vectors, self.remaining, self.collisions = vectors, remaining, collisions
-        self.selector = selector
+        self.collisions = collisions
         self.run_id = run_name(k, grid_no, fold)
         self.settings = (k, grid_no, params.num_epochs, params.weight_decay, fold)
 
-    def run(self, out_dir: str, config: SurveyConfig, real_numbers: DataFrame) -> None:
-        """Train, evaluate the fold, score the held-back rows, compare, note the result."""
-        train, test = ranks.fold_split(self.vectors, self.fold)
-        model = train_plausibility(train, self.params, selector=self.selector)
+    def run(
+        self, model, test: DataFrame, remaining: DataFrame, out_dir: str, config: SurveyConfig, true_cov: DataFrame
+    ) -> None:
+        """Store the model, its scores of the fold and of the held-back rows, compare, note the result."""
         save_model(model, run_path(f"{out_dir}/models", self.run_id))
-        write_run(score(model, test), f"{out_dir}/scored_test", self.run_id)
-        write_run(score(model, self.remaining), f"{out_dir}/scored_candidates", self.run_id)
+        write_run(test, f"{out_dir}/scored_test", self.run_id, varied=["text", "plausibility"])
+        write_run(remaining, f"{out_dir}/scored_candidates", self.run_id, varied=["text", "plausibility"])
         spark = test.sparkSession
         tested = read_run(spark, f"{out_dir}/scored_test", self.run_id)
         scored = read_run(spark, f"{out_dir}/scored_candidates", self.run_id)
-        diff = materialise(covariance_report(real_numbers, scored, config.targets, config.labels), "covariance")
+        diff = materialise(covariance_report(None, scored, config.targets, config.labels, true_cov), "covariance")
         write_run(diff, f"{out_dir}/covariance", self.run_id)
         accepted = scored.agg(F.count_if(F.col("prediction") == 1)).scalar()
         # undefined where fewer than two candidates were accepted: NaN, not absent

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from surveyloom.operators.labels import code_map_lines, code_map_text
+from surveyloom.sources.scratch import without_dictionary
 
 
 def run_name(feature_count: int, grid_no: int, fold: int | None = None) -> str:
@@ -24,9 +25,12 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     writer.parquet(path)
 
 
-def write_run(df: DataFrame, path: str, run_id: str, split: str | None = None) -> None:
-    """One run's rows, in its own folder; repeating a run replaces it, also by no rows."""
-    df.write.mode("overwrite").parquet(run_path(path, run_id, split))
+def write_run(
+    df: DataFrame, path: str, run_id: str, split: str | None = None, varied: list[str] | None = None
+) -> None:
+    """One run's rows, in its own folder; repeating a run replaces it, also by no rows. ``varied`` columns get no dictionary."""
+    writer = df.write.mode("overwrite").options(**without_dictionary(varied or []))
+    writer.parquet(run_path(path, run_id, split))
 
 
 def append_rows(df: DataFrame, path: str) -> None:
